@@ -1,0 +1,135 @@
+"""Items that occur together more often than chance.
+
+The plan is an external sort of packed pair codes: entities get dense 31-bit numbers, a pair in a file
+becomes one 64-bit code, codes are range-partitioned and sorted on disk by Spark (sorted runs are
+spilled and merged), and runs are counted over Arrow batches. The range key holds the file number too,
+so that a pair which occurs in a third of all files is cut into many runs on many tasks; the runs of a
+pair are few and are added up afterwards.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from vellumq.session import cut
+
+
+def normal(col: str) -> Column:
+    """Normal form of a value: white space runs as one space, trimmed, lower case, ё as е."""
+    return F.translate(F.lower(F.trim(F.regexp_replace(F.col(col), r"(?U)\s+", " "))), "ё", "е")
+
+
+def count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Run lengths of ``code`` over batches sorted by (code, file_id); equal rows count once."""
+    last_code = last_file = None
+    code = n = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        c = batch.column("code").to_numpy()
+        f = batch.column("file_id").to_numpy()
+        fresh = np.ones(len(c), bool)
+        fresh[1:] = (c[1:] != c[:-1]) | (f[1:] != f[:-1])
+        if last_code == c[0] and last_file == f[0]:
+            fresh[0] = False
+        last_code, last_file = c[-1], f[-1]
+        c = c[fresh]
+        if not len(c):
+            continue
+        starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+        codes, counts = c[starts], np.diff(np.r_[starts, len(c)])
+        if code is not None and codes[0] == code:
+            counts[0] += n
+        elif code is not None:
+            codes, counts = np.r_[code, codes], np.r_[n, counts]
+        code, n = codes[-1], counts[-1]
+        if len(codes) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(codes[:-1], pa.int64()), pa.array(counts[:-1], pa.int64())], ["code", "n"])
+    if code is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([code], pa.int64()), pa.array([n], pa.int64())], ["code", "n"])
+
+
+def run_counts(coded: DataFrame) -> DataFrame:
+    """``code, n``: the number of distinct file_ids of each code, by external sort and run-length count."""
+    runs = coded.repartitionByRange("code", "file_id").sortWithinPartitions("code", "file_id").mapInArrow(count_runs, "code bigint, n bigint")
+    return runs.groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def dense_numbers(df: DataFrame) -> DataFrame:
+    """``df`` with ``eid``, numbers from 0 without holes in partition order; no global sort.
+
+    Rows are numbered inside their partition; the driver sees one count per partition only.
+    """
+    numbered = cut(df.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    sizes = sorted((r["_p"], r["n"]) for r in numbered.groupBy("_p").agg(F.count("*").alias("n")).collect())
+    base, offsets = 0, []
+    for p, n in sizes:
+        offsets.append((p, base))
+        base += n
+    if base >= 1 << 31:
+        raise ValueError("more than 2^31 distinct items: pack the codes into two columns")
+    offset = F.broadcast(df.sparkSession.createDataFrame(offsets or [(0, 0)], "_p int, _base bigint"))
+    return numbered.join(offset, "_p").withColumn("eid", F.col("_m") + F.col("_base")).drop("_p", "_m", "_base")
+
+
+def cooccurrence(links: DataFrame, min_files: int = 5) -> DataFrame:
+    """Pairs of entities that share at least ``min_files`` file_ids, with counts and strength.
+
+    Input columns ``entity1, entity1_type, entity2, entity2_type, file_id``; others are ignored.
+    Result: ``entity1, entity1_type, entity2, entity2_type, n12, n1, n2, n_files, lift, odds_ratio,
+    log_odds_z``, the smaller (type, value) by code points first.
+
+    Defined cases: rows with a null file_id do not count at all. An end whose value or type is null is
+    no entity: the row still counts for the other end and for ``n_files``, not as a pair. An entity
+    paired with itself is no pair. Repeated rows count once. An empty table gives no rows.
+    ``odds_ratio`` has Haldane's correction (0.5 on each cell); ``log_odds_z`` is its logarithm over its
+    standard error.
+    """
+    rows = links.where("file_id is not null").select(
+        normal("entity1").alias("v1"), F.col("entity1_type").alias("t1"), normal("entity2").alias("v2"), F.col("entity2_type").alias("t2"), F.col("file_id").cast("bigint").alias("file_id")
+    )
+    rows = cut(rows.dropDuplicates())
+    n_files = rows.agg(F.count_distinct("file_id")).first()[0]
+    ends = rows.select(F.inline(F.array(F.struct(F.col("t1").alias("t"), F.col("v1").alias("v")), F.struct(F.col("t2").alias("t"), F.col("v2").alias("v"))))).where("t is not null and v is not null")
+    entities = cut(dense_numbers(ends.distinct()))
+    # numbers for both ends: a hot entity makes a skewed join, which AQE splits (the dictionary side is unique)
+    first = entities.select(F.col("t").alias("t1"), F.col("v").alias("v1"), F.col("eid").alias("e1"))
+    second = entities.select(F.col("t").alias("t2"), F.col("v").alias("v2"), F.col("eid").alias("e2"))
+    coded = cut(rows.join(first, ["t1", "v1"], "left").join(second, ["t2", "v2"], "left").select("e1", "e2", "file_id"))
+    pair = F.shiftleft(F.least("e1", "e2"), 32).bitwiseOR(F.greatest("e1", "e2"))
+    pairs = run_counts(coded.where("e1 is not null and e2 is not null and e1 <> e2").select(pair.alias("code"), "file_id")).where(F.col("n") >= min_files)
+    single = coded.select(F.explode(F.array("e1", "e2")).alias("code"), "file_id").where("code is not null")
+    singles = run_counts(single)
+    n1, n2 = (singles.select(F.col("code").alias(f"e{i}"), F.col("n").alias(f"m{i}")) for i in (1, 2))
+    counted = (
+        pairs.select(F.shiftright("code", 32).alias("e1"), F.col("code").bitwiseAND((1 << 32) - 1).alias("e2"), F.col("n").alias("n12"))
+        .join(n1, "e1")
+        .join(n2, "e2")
+        .join(first, "e1")
+        .join(second, "e2")
+    )
+    a, b = F.struct("t1", "v1", "m1"), F.struct(F.col("t2").alias("t1"), F.col("v2").alias("v1"), F.col("m2").alias("m1"))
+    x = counted.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "n12")
+    n = F.lit(int(n_files or 0))
+    out = x.select(
+        F.col("a.v1").alias("entity1"), F.col("a.t1").alias("entity1_type"), F.col("b.v1").alias("entity2"), F.col("b.t1").alias("entity2_type"),
+        "n12", F.col("a.m1").alias("n1"), F.col("b.m1").alias("n2"), n.cast("bigint").alias("n_files"),
+    )
+    c11, c10 = F.col("n12") + 0.5, F.col("n1") - F.col("n12") + 0.5
+    c01, c00 = F.col("n2") - F.col("n12") + 0.5, n - F.col("n1") - F.col("n2") + F.col("n12") + 0.5
+    odds = (c11 * c00) / (c10 * c01)
+    return (
+        out.withColumn("lift", F.col("n12") * n / (F.col("n1") * F.col("n2")).cast("double"))
+        .withColumn("odds_ratio", odds)
+        .withColumn("log_odds_z", F.log(odds) / F.sqrt(1 / c11 + 1 / c10 + 1 / c01 + 1 / c00))
+    )
+
+
+def associated(links: DataFrame, min_files: int = 5, min_lift: int = 8) -> DataFrame:
+    """Pairs of :func:`cooccurrence` with ``n12 * n_files >= min_lift * n1 * n2``, in whole numbers."""
+    return cooccurrence(links, min_files).where(F.col("n12") * F.col("n_files") >= F.lit(min_lift) * F.col("n1") * F.col("n2"))

@@ -1,0 +1,312 @@
+"""Near-duplicate texts by a prefix-tree join over sets of word 5-grams.
+
+All sets are ordered by one global order, rare n-grams first, and only the prefix that any partner with
+enough similarity must touch is kept. N-grams are dealt over partitions by hash; in a partition each
+document is the ordered sequence of its prefix n-grams there, and these sequences are put into a trie.
+A document walks down the trie from each of its n-grams, documents with the same sequence share the path,
+and a subtree is left when its lengths and positions can no longer reach the overlap that is needed. The
+overlaps of all partitions are added up, pairs that can't reach the threshold are dropped by the rest
+of the lengths, and what is left (nearly only true pairs) is verified exactly on the full sets.
+
+Equal sets are joined into one class before, so that copies are never compared with each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from vellumq.functions.words import words
+from vellumq.session import bound_arrow, cut
+
+GRAM = 5
+#: Slots of the frequency sketch that gives the global order, and the slots of one of its rows.
+SLOTS, BLOCK = 1 << 22, 1 << 12
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Grams:
+    """64-bit hashes of the word 5-grams of texts; hashes of words are kept while they are few."""
+
+    def __init__(self, most: int = 1_000_000):
+        self.seen: dict[str, int] = {}
+        self.most = most
+
+    def __call__(self, text: str | None, least_words: int) -> np.ndarray | None:
+        w = words(text)
+        if len(w) < max(least_words, GRAM):
+            return None
+        seen, digest = self.seen, xxhash.xxh3_64_intdigest
+        for x in set(w).difference(seen):
+            seen[x] = digest(x)
+        h = np.fromiter(map(seen.__getitem__, w), np.uint64, len(w))
+        if len(seen) > self.most:
+            seen.clear()
+        s = h[: len(h) - GRAM + 1].copy()
+        for k in range(1, GRAM):
+            s = (s ^ (s >> np.uint64(31))) * _MIX + h[k : len(h) - GRAM + 1 + k]
+        return np.unique(s ^ (s >> np.uint64(29)))
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, str]]:
+    return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+
+
+def _sketch(least_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, count, mask = Grams(), np.zeros(SLOTS, np.uint32), np.uint64(SLOTS - 1)
+        parts: list[np.ndarray] = []
+        held = 0
+
+        def add() -> None:
+            np.add(count, np.bincount(np.concatenate(parts), minlength=SLOTS).astype(np.uint32), out=count)
+            parts.clear()
+
+        for batch in batches:
+            for _, text in _texts(batch):
+                s = grams(text, least_words)
+                if s is not None:
+                    parts.append((s & mask).astype(np.int32))
+                    held += len(s)
+                    if held > 2_000_000:
+                        add()
+                        held = 0
+        if parts:
+            add()
+        blocks = count.reshape(-1, BLOCK)
+        used = np.flatnonzero(blocks.any(axis=1))
+        for at in range(0, len(used), 64):
+            some = used[at : at + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary())], ["block", "counts"])
+
+    return run
+
+
+def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counts in _texts(batch):
+            c = np.frombuffer(counts, np.uint32).astype(np.uint64)
+            total[block] = total[block] + c if block in total else c
+    if total:
+        scaled = [np.minimum(255, np.round(8 * np.log2(c + 1.0))).astype(np.uint8).tobytes() for c in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(scaled, pa.binary())], ["block", "counts"])
+
+
+def frequency_classes(docs: DataFrame, least_words: int) -> np.ndarray:
+    """A frequency class (0..255) for each of ``SLOTS`` hash slots, counted over all documents.
+
+    4 MB whatever the input: it only fixes the global order, so collisions cost time, never pairs.
+    """
+    blocks = docs.mapInArrow(_sketch(least_words), "block int, counts binary").repartition("block").mapInArrow(_add_blocks, "block int, counts binary")
+    out = np.zeros(SLOTS, np.uint8)
+    for row in blocks.collect():
+        out[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], np.uint8)
+    return out
+
+
+def prefix_size(n: int, threshold: float) -> int:
+    """N-grams of the ordered set that any set with the similarity must touch."""
+    return n - ceil(threshold * n - 1e-9) + 1
+
+
+def _prefixes(least_words: int, threshold: float, classes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, table, mask = Grams(), classes.value, np.uint64(SLOTS - 1)
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, text in _texts(batch):
+                s = grams(text, least_words)
+                if s is None:
+                    continue
+                c = table[(s & mask).astype(np.int64)]
+                order = np.lexsort((s, c))[: prefix_size(len(s), threshold)]
+                rows.append((i, xxhash.xxh3_128_digest(s.tobytes()), len(s), s[order].tobytes()))
+            cols = list(zip(*rows)) or [(), (), (), ()]
+            types = (pa.int64(), pa.binary(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "sig", "n", "prefix"])
+
+    return run
+
+
+def _deal(parts: int):
+    """Of each document, the n-grams of its prefix that fall to each part, with their positions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for rep, n, prefix in zip(*(batch.column(k).to_pylist() for k in ("rep", "n", "prefix"))):
+                s = np.frombuffer(prefix, np.uint64)
+                to = ((s >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(to, kind="stable")
+                cuts = np.flatnonzero(np.diff(to[order])) + 1
+                for at in np.split(order, cuts):
+                    for k, v in enumerate((int(to[at[0]]), rep, n, s[at].tobytes(), at.astype(np.int32).tobytes())):
+                        out[k].append(v)
+            types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["part", "rep", "n", "grams", "at"])
+
+    return run
+
+
+class Node:
+    """A trie node: children by n-gram, the documents whose sequence passes here, and the bounds of the subtree."""
+
+    __slots__ = ("children", "ends", "n_low", "n_high")
+
+    def __init__(self):
+        self.children: dict[int, Node] = {}
+        self.ends: list[tuple[int, int, int]] = []  # document, n, position of the first n-gram of the path
+        self.n_low, self.n_high = 1 << 30, 0
+
+
+def trie_join(docs: list[tuple[int, int, np.ndarray, np.ndarray]], threshold: float) -> Iterator[tuple[int, int, int, int, int]]:
+    """Pairs (a, b, n_a, n_b, overlap here) with a inserted before b; docs hold id, n, ordered n-grams, positions.
+
+    Sequences are inserted from each of their n-grams on, so a walk starts at the root child of an n-gram
+    in common. Documents go in by growing n; a walk at n_b skips subtrees whose longest set is below
+    ``threshold * n_b``, and documents whose positions leave too little for the overlap needed.
+    """
+    ratio = threshold / (1 + threshold)
+    every = np.concatenate([g for _, _, g, _ in docs]) if docs else np.empty(0, np.uint64)
+    u, c = np.unique(every, return_counts=True)
+    shared = u[c > 1]
+    root: dict[int, Node] = {}
+    if not len(shared):
+        return
+    for b, n_b, grams, at in sorted(docs, key=lambda d: (d[1], d[0])):
+        keep = shared[np.minimum(np.searchsorted(shared, grams), len(shared) - 1)] == grams
+        g, p = grams[keep].tolist(), at[keep].tolist()
+        if not g:
+            continue
+        mine = dict(zip(g, range(len(g))))
+        found: dict[int, list[int]] = {}
+        least = threshold * n_b - 1e-9
+        for k, gram in enumerate(g):
+            top = root.get(gram)
+            if top is None:
+                continue
+            met: dict[int, tuple[int, int]] = {}
+            walk = [(top, 1)]
+            while walk:
+                node, overlap = walk.pop()
+                if node.n_high < least:
+                    continue
+                for a, n_a, at_a in node.ends:
+                    if n_a < least or a in found:
+                        continue
+                    i, j = at_a, p[k]
+                    if min(i, j) + min(n_a - i, n_b - j) >= ratio * (n_a + n_b) - 1e-9:
+                        met[a] = (n_a, overlap)
+                for child_gram, child in node.children.items():
+                    walk.append((child, overlap + (child_gram in mine)))
+            for a, (n_a, overlap) in met.items():
+                found[a] = [n_a, overlap]
+        for a, (n_a, overlap) in found.items():
+            yield a, b, n_a, n_b, overlap
+        for k, gram in enumerate(g):
+            node = root.setdefault(gram, Node())
+            node.n_low, node.n_high = min(node.n_low, n_b), max(node.n_high, n_b)
+            for later in g[k + 1 :]:
+                node = node.children.setdefault(later, Node())
+                node.n_low, node.n_high = min(node.n_low, n_b), max(node.n_high, n_b)
+            node.ends.append((b, n_b, p[k]))
+
+
+def _join(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list] = {}
+        for batch in batches:
+            for part, rep, n, grams, at in zip(*(c.to_pylist() for c in batch.columns)):
+                parts.setdefault(part, []).append((rep, n, np.frombuffer(grams, np.uint64), np.frombuffer(at, np.int32)))
+        names, types = ["a", "b", "n_a", "n_b", "c"], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        rows: list[tuple] = []
+        for docs in parts.values():
+            for row in trie_join(docs, threshold):
+                rows.append(row)
+                if len(rows) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    return run
+
+
+def _full_sets(least_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams()
+        for batch in batches:
+            rows = [(i, s.tobytes()) for i, t in _texts(batch) if (s := grams(t, least_words)) is not None]
+            cols = list(zip(*rows)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], ["id", "grams"])
+
+    return run
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        both = [np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).size for x, y in zip(batch.column("g_a").to_pylist(), batch.column("g_b").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n_a"), batch.column("n_b"), pa.array(both, pa.int32())], ["a", "b", "n_a", "n_b", "shared"])
+
+
+def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "id", text_col: str = "extracted_text", least_words: int = 10) -> tuple[DataFrame, DataFrame]:
+    """``(members, links)``: members ``id, rep, n`` and links ``a, b, jaccard`` between representatives.
+
+    Documents with the same set of 5-grams have the same ``rep``, the smallest id among them. ``links`` has each
+    pair of representatives a < b whose sets have ``shared >= threshold * union``; none is lost. Documents
+    of fewer than ``least_words`` words, null and empty texts are in neither. Ids that come twice count once
+    (rows of an id have the same text). Other columns are ignored whatever their names.
+    """
+    spark = df.sparkSession
+    bound_arrow(spark)
+    docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    classes = spark.sparkContext.broadcast(frequency_classes(docs, least_words))
+    sets = cut(docs.mapInArrow(_prefixes(least_words, threshold, classes), "id bigint, sig binary, n int, prefix binary"))
+    reps = sets.groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    members = sets.select("id", "sig").distinct().join(reps.select("sig", "rep", "n"), "sig").select("id", "rep", "n")
+    parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
+    dealt = reps.select("rep", "n", "prefix").mapInArrow(_deal(parts), "part int, rep bigint, n int, grams binary, at binary")
+    met = dealt.repartition(parts, "part").mapInArrow(_join(threshold), "a bigint, b bigint, n_a int, n_b int, c int")
+    rest = lambda n: F.col(n) - (F.col(n) - F.ceil(threshold * F.col(n) - 1e-9) + 1)  # noqa: E731  n-grams behind the prefix
+    could = (
+        met.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("c").alias("c"))
+        .where(F.col("c") + F.greatest(rest("n_a"), rest("n_b")) >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    )
+    could = cut(could.select("a", "b", "n_a", "n_b"))
+    wanted = could.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    n_wanted = wanted.count()
+    wanted = F.broadcast(wanted) if n_wanted * 16 <= 32 << 20 else wanted
+    full = docs.join(wanted, "id", "left_semi").mapInArrow(_full_sets(least_words), "id bigint, grams binary").dropDuplicates(["id"])
+    full = cut(full)
+    both = could.join(full.select(F.col("id").alias("a"), F.col("grams").alias("g_a")), "a").join(full.select(F.col("id").alias("b"), F.col("grams").alias("g_b")), "b")
+    checked = both.mapInArrow(_verify, "a bigint, b bigint, n_a int, n_b int, shared int")
+    union = F.col("n_a") + F.col("n_b") - F.col("shared")
+    links = checked.where(F.col("shared") >= threshold * union - 1e-9).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("shared") / union).alias("jaccard"))
+    return members, links
+
+
+def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``id1 < id2`` of all near-duplicate documents: links between classes, and pairs inside a class."""
+    m1 = members.select(F.col("rep").alias("a"), F.col("id").alias("x"))
+    m2 = members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
+    across = links.select("a", "b").join(m1, "a").join(m2, "b").select(F.least("x", "y").alias("id1"), F.greatest("x", "y").alias("id2"))
+    inside = m1.join(m2, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("id1"), F.col("y").alias("id2"))
+    return across.unionByName(inside)
+
+
+def duplicate_groups(members: DataFrame, links: DataFrame) -> DataFrame:
+    """One row per document: ``id, class_id, copies, n_links``, links counted between different texts.
+
+    ``class_id`` is the representative of the equal texts, ``copies`` how many documents it stands for,
+    ``n_links`` the number of other classes that are near-duplicates.
+    """
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    classes = members.groupBy("rep").agg(F.count("*").alias("copies")).join(ends, "rep", "left")
+    return members.join(classes, "rep").select("id", F.col("rep").alias("class_id"), "copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

@@ -1,0 +1,85 @@
+"""Splitting oversized texts at natural boundaries, with overlap.
+
+One Java regular expression with bounded quantifiers cuts a text from left to right. Its alternatives
+stand in the order of boundary strength (paragraph, sentence, word, any character); each consumes as
+much as fits below the limit. SQL array functions then put the last ``overlap`` characters of the
+piece before in front of each piece. All of it stays in the JVM, in one pass without a shuffle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: White space of the boundary rules: space, tab, newline, carriage return, form feed.
+SPACE = r"[ \t\n\r\f]"
+PARAGRAPH = r"\n{2,}"
+SENTENCE = rf"(?:\n{{2,}}|(?<=[.!?…]){SPACE}+)"
+WORD = rf"{SPACE}+"
+
+
+def cut_pattern(limit: int, overlap: int) -> str:
+    """The extraction pattern. Every core but the last is at least ``overlap`` characters long."""
+    room = limit - overlap
+    least = max(1, min(overlap, room - 1))
+    return (
+        rf"(?s).{{1,{room}}}\z"
+        rf"|.{{{least},{room}}}(?<=\n\n)(?!\n)"
+        rf"|.{{{least},{room}}}(?<=[.!?…]{SPACE})(?!{SPACE})"
+        rf"|.{{{least},{room}}}(?<={SPACE})(?!{SPACE})"
+        rf"|.{{1,{room}}}"
+    )
+
+
+def longest_unit(text: Column, separator: str) -> Column:
+    """Characters of the longest unit between separators."""
+    return F.array_max(F.transform(F.split(text, separator), F.char_length))
+
+
+def boundary_of(text: Column, limit: int) -> Column:
+    """The strongest boundary that leaves no unit above the limit: paragraph, sentence, word or none."""
+    return (
+        F.when(longest_unit(text, PARAGRAPH) <= limit, "paragraph")
+        .when(longest_unit(text, SENTENCE) <= limit, "sentence")
+        .when(longest_unit(text, WORD) <= limit, "word")
+        .otherwise("none")
+    )
+
+
+def split_oversized(df: DataFrame, id_col: str = "id", text_col: str = "extracted_text", limit: int = 4000, overlap: int = 200) -> DataFrame:
+    """One row per oversized text: ``id, boundary, cores`` (array of strings, in order).
+
+    ``cores`` joined together are the text, each at most ``limit - overlap`` characters; see
+    :func:`pieces` for the pieces with their overlap. Texts that are null, empty or not above the limit
+    give no row. Repeated rows of an id give repeated rows here. Other columns of ``df`` are ignored,
+    whatever their names. ``overlap`` must be below half of the limit.
+    """
+    if not 0 <= overlap < limit / 2:
+        raise ValueError("overlap must be at least 0 and below half of the limit")
+    big = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")).where(F.char_length("_t") > limit)
+    return big.select(
+        "id",
+        boundary_of(F.col("_t"), limit).alias("boundary"),
+        F.regexp_extract_all(F.col("_t"), F.lit(cut_pattern(limit, overlap)), F.lit(0)).alias("cores"),
+    )
+
+
+def pieces(split: DataFrame, overlap: int = 200) -> DataFrame:
+    """Rows ``id, boundary, piece_no, n_pieces, start, overlap, piece`` from :func:`split_oversized`.
+
+    ``piece`` begins with the last ``overlap`` characters of the core before (none for the first piece);
+    ``start`` is the offset of the core in the text, from 0; ``overlap`` is the number of characters
+    that the piece shares with the one before.
+    """
+    before = F.expr(f"right(element_at(cores, i), {int(overlap)})") if overlap else F.lit("")
+    at = split.select("id", "boundary", F.posexplode("cores").alias("i", "core"), "cores")
+    at = at.withColumn("tail", F.when(F.col("i") > 0, before).otherwise(F.lit("")))
+    return at.select(
+        "id",
+        "boundary",
+        (F.col("i") + 1).cast("bigint").alias("piece_no"),
+        F.size("cores").cast("bigint").alias("n_pieces"),
+        F.expr("aggregate(slice(cores, 1, i), 0L, (a, x) -> a + char_length(x))").alias("start"),
+        F.char_length("tail").cast("bigint").alias("overlap"),
+        F.concat("tail", "core").alias("piece"),
+    ).dropDuplicates(["id", "piece_no"])
