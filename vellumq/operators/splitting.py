@@ -31,17 +31,18 @@ def cut_pattern(limit: int, overlap: int) -> str:
     )
 
 
-def longest_unit(text: Column, separator: str) -> Column:
-    """Characters of the longest unit between separators."""
-    return F.array_max(F.transform(F.split(text, separator), F.char_length))
+def fits(text: Column, separator: str, limit: int) -> Column:
+    """Whether no unit between separators is above the limit: bounded matches, each from the end of the one before, reach the end of the text."""
+    units = F.regexp_extract_all(text, F.lit(rf"(?s)\G.{{0,{limit}}}?(?:{separator}|\z)"), F.lit(0))
+    return F.aggregate(units, F.lit(0), lambda n, x: n + F.char_length(x)) == F.char_length(text)
 
 
 def boundary_of(text: Column, limit: int) -> Column:
     """The strongest boundary that leaves no unit above the limit: paragraph, sentence, word or none."""
     return (
-        F.when(longest_unit(text, PARAGRAPH) <= limit, "paragraph")
-        .when(longest_unit(text, SENTENCE) <= limit, "sentence")
-        .when(longest_unit(text, WORD) <= limit, "word")
+        F.when(fits(text, PARAGRAPH, limit), "paragraph")
+        .when(fits(text, SENTENCE, limit), "sentence")
+        .when(fits(text, WORD, limit), "word")
         .otherwise("none")
     )
 
