@@ -28,6 +28,8 @@ from vellumq.session import bound_arrow, cut
 GRAM = 5
 #: Slots of the frequency sketch that gives the global order, and the slots of one of its rows.
 SLOTS, BLOCK = 1 << 22, 1 << 12
+#: The frequency class of a slot that was counted once.
+ONCE = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -127,10 +129,11 @@ def _prefixes(least_words: int, threshold: float, classes):
                     continue
                 c = table[(s & mask).astype(np.int64)]
                 order = np.lexsort((s, c))[: prefix_size(len(s), threshold)]
-                rows.append((i, xxhash.xxh3_128_digest(s.tobytes()), len(s), s[order].tobytes()))
-            cols = list(zip(*rows)) or [(), (), (), ()]
-            types = (pa.int64(), pa.binary(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "sig", "n", "prefix"])
+                at = np.flatnonzero(c[order] > ONCE)  # an n-gram that occurs once in the corpus has no partner
+                rows.append((i, xxhash.xxh3_128_digest(s.tobytes()), len(s), s[order[at]].tobytes(), at.astype(np.int32).tobytes()))
+            cols = list(zip(*rows)) or [(), (), (), (), ()]
+            types = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "sig", "n", "prefix", "places"])
 
     return run
 
@@ -141,13 +144,15 @@ def _deal(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for rep, n, prefix in zip(*(batch.column(k).to_pylist() for k in ("rep", "n", "prefix"))):
-                s = np.frombuffer(prefix, np.uint64)
+            for rep, n, prefix, places in zip(*(batch.column(k).to_pylist() for k in ("rep", "n", "prefix", "places"))):
+                s, place = np.frombuffer(prefix, np.uint64), np.frombuffer(places, np.int32)
+                if not len(s):
+                    continue
                 to = ((s >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
                 order = np.argsort(to, kind="stable")
                 cuts = np.flatnonzero(np.diff(to[order])) + 1
                 for at in np.split(order, cuts):
-                    for k, v in enumerate((int(to[at[0]]), rep, n, s[at].tobytes(), at.astype(np.int32).tobytes())):
+                    for k, v in enumerate((int(to[at[0]]), rep, n, s[at].tobytes(), place[at].tobytes())):
                         out[k].append(v)
             types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["part", "rep", "n", "grams", "at"])
@@ -268,11 +273,11 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "id", t
     bound_arrow(spark)
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     classes = spark.sparkContext.broadcast(frequency_classes(docs, least_words))
-    sets = cut(docs.mapInArrow(_prefixes(least_words, threshold, classes), "id bigint, sig binary, n int, prefix binary"))
-    reps = sets.groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    sets = cut(docs.mapInArrow(_prefixes(least_words, threshold, classes), "id bigint, sig binary, n int, prefix binary, places binary"))
+    reps = sets.groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("places").alias("places"))
     members = sets.select("id", "sig").distinct().join(reps.select("sig", "rep", "n"), "sig").select("id", "rep", "n")
     parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
-    dealt = reps.select("rep", "n", "prefix").mapInArrow(_deal(parts), "part int, rep bigint, n int, grams binary, at binary")
+    dealt = reps.select("rep", "n", "prefix", "places").mapInArrow(_deal(parts), "part int, rep bigint, n int, grams binary, at binary")
     met = dealt.repartition(parts, "part").mapInArrow(_join(threshold), "a bigint, b bigint, n_a int, n_b int, c int")
     rest = lambda n: F.col(n) - (F.col(n) - F.ceil(threshold * F.col(n) - 1e-9) + 1)  # noqa: E731  n-grams behind the prefix
     could = (
