@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vellumq.llm.encoding import garbled_rows, texts_of
 from vellumq.llm.leakage import leaked_items
 from vellumq.llm.mixing import mixture
+from vellumq.llm.pii import personal_data, redacted
 from vellumq.llm.scans import repaired_scans, scan_defects
 from vellumq.session import table
 
@@ -27,6 +28,14 @@ def p5_restored(spark: SparkSession, sf: str) -> DataFrame:
     return garbled_rows(texts_of(table(spark, sf, "files"), table(spark, sf, "extraction_results")))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return personal_data(table(spark, sf, "files"))
+
+
+def p6_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return redacted(table(spark, sf, "files"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_leaks(spark, sf).select("doc_id", "item_id")
 
@@ -43,7 +52,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixture(table(spark, sf, "documents"), table(spark, sf, "source_weights"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p5_found, p5_restored, p8_found, p8_leaks, p9_mixture, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p5_found, p5_restored, p6_found, p6_redacted, p8_found, p8_leaks, p9_mixture, p9_shares)}
 
 _RUNS = """
 WITH d AS (SELECT doc_id, any_value(regexp_extract_all(replace(lower(text), 'ё', 'е'), '[\\p{L}\\p{N}_]+')) w FROM documents WHERE text IS NOT NULL GROUP BY doc_id),
