@@ -34,7 +34,7 @@ EMAIL = re.compile(_EMAIL, re.I)
 ROUNDS = 8
 LEAN = 1.0
 #: A token whose best label is so much worse than O is not decoded, unless it is beside one that is.
-SLACK = 5.0
+SLACK = 2.5
 #: Pieces of the labelled table that differ in names and digits alone: so many are kept.
 ALIKE = 5
 ODD = re.compile(r"[^\x00-\x7fА-яЁёÄÖÜäöüß«»№—–“”„…]+")
@@ -423,6 +423,18 @@ def learn(rows: list[tuple[str | None, str | None]]) -> Crf | None:
 # ---------------------------------------------------------------- decoding
 
 
+def decode_all(crf: Crf, texts: list[str], most: int = 1_000_000) -> list[list[tuple[str, int, int, str]]]:
+    """:func:`decode` over groups of texts of about ``most`` characters."""
+    out: list[list[tuple[str, int, int, str]]] = []
+    a = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size > most:
+            out += decode(crf, texts[a : i + 1])
+            a, size = i + 1, 0
+    return out + decode(crf, texts[a:]) if a < len(texts) else out
+
+
 def decode(crf: Crf, texts: list[str]) -> list[list[tuple[str, int, int, str]]]:
     """``kind, start, end, value as written`` of the entities of each text.
 
@@ -516,9 +528,9 @@ def _find(model):
         for batch in batches:
             ids, texts, raws = (c.to_pylist() for c in batch.columns)
             out: tuple[list, ...] = ([], [], [], [], [])
-            for k in range(0, len(ids), 200):
-                some = decode(crf, [t or "" for t in texts[k : k + 200]])
-                entries = [parse_entities(r) for r in raws[k : k + 200]]
+            for k in range(0, len(ids), 1000):
+                some = decode_all(crf, [t or "" for t in texts[k : k + 1000]])
+                entries = [parse_entities(r) for r in raws[k : k + 1000]]
                 flat = [(d, kind, v) for d, es in enumerate(entries) for kind, v in es if v.strip()]
                 alone = decode(crf, [in_list(kind, v) for _, kind, v in flat])
                 for d, spans in enumerate(some):
@@ -582,7 +594,7 @@ def _redact(model):
         crf = Crf(*model.value)
         for batch in batches:
             ids, texts = (c.to_pylist() for c in batch.columns)
-            spans = [s for k in range(0, len(ids), 200) for s in decode(crf, texts[k : k + 200])]
+            spans = decode_all(crf, texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([redact(t, s) for t, s in zip(texts, spans)]), pa.array([len(s) for s in spans], pa.int32())], ["id", "redacted", "n_spans"])
 
     return run
