@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vellumq.llm.encoding import garbled_rows, texts_of
 from vellumq.llm.leakage import leaked_items
+from vellumq.llm.mail import foreign_parts, newly_written
 from vellumq.llm.mixing import mixture
 from vellumq.llm.pii import personal_data, redacted
 from vellumq.llm.scans import repaired_scans, scan_defects
@@ -20,6 +21,14 @@ def p1_repaired(spark: SparkSession, sf: str) -> DataFrame:
     return repaired_scans(table(spark, sf, "files"))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return foreign_parts(table(spark, sf, "extraction_results"))
+
+
+def p3_written(spark: SparkSession, sf: str) -> DataFrame:
+    return newly_written(table(spark, sf, "extraction_results"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return p5_restored(spark, sf).select("table_name", "row_id")
 
@@ -52,7 +61,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixture(table(spark, sf, "documents"), table(spark, sf, "source_weights"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p5_found, p5_restored, p6_found, p6_redacted, p8_found, p8_leaks, p9_mixture, p9_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_written, p5_found, p5_restored, p6_found, p6_redacted, p8_found, p8_leaks, p9_mixture, p9_shares)}
 
 _RUNS = """
 WITH d AS (SELECT doc_id, any_value(regexp_extract_all(replace(lower(text), 'ё', 'е'), '[\\p{L}\\p{N}_]+')) w FROM documents WHERE text IS NOT NULL GROUP BY doc_id),
