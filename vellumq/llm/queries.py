@@ -9,6 +9,7 @@ from vellumq.llm.leakage import leaked_items
 from vellumq.llm.mail import foreign_parts, newly_written
 from vellumq.llm.mixing import mixture
 from vellumq.llm.pii import personal_data, redacted
+from vellumq.llm.reading import reading_levels, reading_profile
 from vellumq.llm.scans import repaired_scans, scan_defects
 from vellumq.session import table
 
@@ -61,7 +62,19 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixture(table(spark, sf, "documents"), table(spark, sf, "source_weights"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_written, p5_found, p5_restored, p6_found, p6_redacted, p8_found, p8_leaks, p9_mixture, p9_shares)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_levels(spark, sf).where("level >= 4").select("doc_id")
+
+
+def p10_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return reading_levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
+
+
+def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return reading_profile(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_written, p5_found, p5_restored, p6_found, p6_redacted, p8_found, p8_leaks, p9_mixture, p9_shares, p10_found, p10_levels, p10_profile)}
 
 _RUNS = """
 WITH d AS (SELECT doc_id, any_value(regexp_extract_all(replace(lower(text), 'ё', 'е'), '[\\p{L}\\p{N}_]+')) w FROM documents WHERE text IS NOT NULL GROUP BY doc_id),
