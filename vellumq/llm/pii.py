@@ -30,7 +30,10 @@ PLACEHOLDER = {"person": "[PERSON]", "email": "[EMAIL]", "phone": "[PHONE]", "id
 _EMAIL = r"[\w.+-]*\w(?:@| ?\(at\)\s| ?\[at\] ?|\s\(at\)\s)\w[\w-]*(?:(?:\.|\s?\(dot\)\s?|\s?\[dot\]\s?)\w[\w-]*)+"
 _NUMBER = r"\+?\(?\d[\d().-]*(?:[ \n\xa0][\d(][\d().-]*)*\d|\d"
 TOKEN = re.compile(rf"\s*(?:{_EMAIL}|{_NUMBER}|[^\W\d_]+(?:-[^\W\d_]+)*|\S)", re.I)
+#: The same for texts without a sign of an address, of which most are.
+PLAIN_TOKEN = re.compile(rf"\s*(?:{_NUMBER}|[^\W\d_]+(?:-[^\W\d_]+)*|\S)")
 EMAIL = re.compile(_EMAIL, re.I)
+_DIGITS = str.maketrans("012345678", "999999999")
 ROUNDS = 8
 LEAN = 1.0
 #: A token whose best label is so much worse than O is not decoded, unless it is beside one that is.
@@ -44,7 +47,8 @@ OFFSETS = (-2, -1, 0, 1, 2)
 
 def tokens(text: str) -> list[str]:
     """The tokens of a text, each with the white space before it."""
-    return TOKEN.findall(text)
+    low = text.lower()
+    return (TOKEN if "@" in text or "(at)" in low or "[at]" in low else PLAIN_TOKEN).findall(text)
 
 
 def shape(w: str) -> str:
@@ -88,6 +92,8 @@ class Crf:
     def row(self, token: str) -> int:
         """The table row with the scores that a token gives to its neighbourhood."""
         i = self.rows.get(token)
+        if i is None and (same := token.translate(_DIGITS)) != token and token.strip().lower() not in self.known and "@" not in token:
+            i = self.rows[token] = self.row(same)  # digits count by their number and place alone
         if i is None:
             f = [self.index[x] for x in features(token, self.known) if x in self.index]
             key = "\x00" + ",".join(map(str, f))
@@ -445,7 +451,7 @@ def decode(crf: Crf, texts: list[str]) -> list[list[tuple[str, int, int, str]]]:
     The texts are scored as one row of tokens, with two empty tokens between them so that they don't touch.
     """
     found: list[list[tuple[str, int, int, str]]] = [[] for _ in texts]
-    toks_of = [TOKEN.findall(t) for t in texts]
+    toks_of = [tokens(t) for t in texts]
     ids: list[int] = []
     begin = []
     get, row = crf.rows.get, crf.row
