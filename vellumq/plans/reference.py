@@ -1,0 +1,542 @@
+"""Queries of the engine's own operators over the index tables, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellumq.functions import text as T
+from vellumq.operators import classify as C
+from vellumq.operators import entities as E
+from vellumq.operators import fingerprints as U
+from vellumq.operators import graph as G
+from vellumq.operators import index as X
+from vellumq.operators import search as S
+from vellumq.operators import secrets as P
+from vellumq.operators import timeline as D
+from vellumq.operators import vectors as V
+from vellumq.operators.neardup import near_duplicates
+from vellumq.session import cut, table
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if it has any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_CURRENT = "cur AS (SELECT * FROM files QUALIFY row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC) = 1)"
+_ENT = """ent AS (SELECT DISTINCT f.id file_id, t.key kind, v.value ->> '$' AS value
+  FROM files f, json_each(CASE WHEN json_valid(f.entities_json) THEN f.entities_json END) t, json_each(t.value) v WHERE v.value IS NOT NULL)"""
+
+
+def files(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "files")
+
+
+def links(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "entity_links")
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents")
+
+
+# ------------------------------------------------------------------ index
+
+
+@query(f"WITH {_CURRENT} SELECT id, path, size, hash_md5 FROM cur WHERE path = (SELECT min(path) FROM files)")
+def idx_by_path(spark, sf):
+    f = files(spark, sf)
+    return X.by_path(f, f.agg(F.min("path")).first()[0]).select("id", "path", "size", "hash_md5")
+
+
+@query(f"WITH {_CURRENT} SELECT id, path FROM cur WHERE lower(hash_md5) = (SELECT min(lower(hash_md5)) FROM files)")
+def idx_by_hash(spark, sf):
+    f = files(spark, sf)
+    return X.by_hash(f, f.agg(F.min(F.lower("hash_md5"))).first()[0]).select("id", "path")
+
+
+@query(f"WITH {_CURRENT} SELECT id, path, size, extracted_text IS NOT NULL has_text FROM cur WHERE coalesce(length(entities_json), 0) > 2")
+def idx_listing(spark, sf):
+    return X.listing(files(spark, sf), with_entities_only=True).select("id", "path", "size", "has_text")
+
+
+@query(f"""WITH {_CURRENT}, a AS (SELECT count(*) n_files, sum(size)::BIGINT total_size FROM cur)
+SELECT n_files, total_size, (SELECT count(*) FROM entity_links) n_links,
+  CASE WHEN total_size < 1024 THEN format('{{:.1f}} B', total_size::DOUBLE) WHEN total_size < 1048576 THEN format('{{:.1f}} KB', total_size / 1024)
+       WHEN total_size < 1073741824 THEN format('{{:.1f}} MB', total_size / 1048576) WHEN total_size < 1099511627776 THEN format('{{:.1f}} GB', total_size / 1073741824)
+       ELSE format('{{:.1f}} TB', total_size / 1099511627776) END total_size_human FROM a""")
+def idx_stats(spark, sf):
+    return X.stats(files(spark, sf), links(spark, sf))
+
+
+@query(f"WITH {_CURRENT} SELECT lower(extension) extension, count(*) n FROM cur GROUP BY 1 ORDER BY n DESC, extension NULLS FIRST LIMIT 20")
+def idx_extensions(spark, sf):
+    return X.extension_histogram(files(spark, sf))
+
+
+@query(f"WITH {_CURRENT} SELECT id, path FROM cur WHERE lower(extension) IN ('.pdf', '.docx') ORDER BY id LIMIT 100")
+def idx_by_extension(spark, sf):
+    return X.by_extension(files(spark, sf), [".pdf", ".docx"]).select("id", "path")
+
+
+@query("SELECT DISTINCT id, path, 0.5 score FROM files WHERE (lower(extracted_text) LIKE '%договор%' OR lower(filename) LIKE '%договор%') AND (lower(extracted_text) LIKE '%рублей%' OR lower(filename) LIKE '%рублей%') ORDER BY id LIMIT 100")
+def idx_like(spark, sf):
+    return X.like_search(files(spark, sf), ["договор", "рублей"])
+
+
+_TOP = "(SELECT value FROM ent WHERE kind = 'ORGANIZATIONS' GROUP BY value ORDER BY count(*) DESC, value LIMIT 1)"
+
+
+@query(f"WITH {_ENT} SELECT DISTINCT f.id, f.path FROM ent JOIN files f ON f.id = ent.file_id WHERE lower(value) = lower({_TOP}) ORDER BY id LIMIT 100")
+def idx_by_entity(spark, sf):
+    f = files(spark, sf)
+    v = X.entity_rows(f).where("kind = 'ORGANIZATIONS'").groupBy("value").count().orderBy(F.desc("count"), "value").first()
+    return X.by_entity(f, v["value"] if v else "")
+
+
+@query(f"WITH {_ENT} SELECT * FROM (SELECT kind, value, n_files, row_number() OVER (PARTITION BY kind ORDER BY n_files DESC, value) AS rank FROM (SELECT kind, value, count(*) n_files FROM ent GROUP BY kind, value)) WHERE rank <= 15")
+def idx_entity_frequency(spark, sf):
+    return X.entity_frequency(files(spark, sf))
+
+
+@query(f"WITH {_ENT}, l AS (SELECT DISTINCT kind, lower(value) v FROM ent) SELECT kind, count(*) n, array_to_string(list_sort(list(v))[1:100], '|') first_values FROM l GROUP BY kind")
+def idx_entity_union(spark, sf):
+    return X.entity_union(files(spark, sf))
+
+
+@query()
+def idx_entity_pairs(spark, sf):
+    return X.entity_pairs(files(spark, sf))
+
+
+_HUB = "(SELECT lower(entity1) FROM entity_links WHERE entity1 IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+
+
+@query(f"SELECT entity1, entity1_type, entity2, entity2_type, sum(weight) weight, count(DISTINCT file_id) n_files FROM entity_links WHERE lower(entity1) = {_HUB} OR lower(entity2) = {_HUB} GROUP BY ALL ORDER BY weight DESC NULLS LAST, 1, 2, 3, 4 LIMIT 50")
+def idx_connections(spark, sf):
+    x = links(spark, sf)
+    hub = x.where("entity1 is not null").groupBy(F.lower("entity1").alias("e")).count().orderBy(F.desc("count"), "e").first()
+    return X.connections(x, hub["e"])
+
+
+@query("SELECT label, kind, sum(weight) weight FROM (SELECT entity1 label, entity1_type kind, weight FROM entity_links UNION ALL SELECT entity2, entity2_type, weight FROM entity_links) GROUP BY ALL ORDER BY weight DESC NULLS LAST, label, kind LIMIT 100")
+def idx_graph_nodes(spark, sf):
+    return X.graph_nodes(links(spark, sf))
+
+
+@query("SELECT entity1, entity1_type, entity2, entity2_type, sum(weight) weight, count(*) n FROM entity_links GROUP BY ALL ORDER BY weight DESC NULLS LAST, 1, 2, 3, 4 LIMIT 200")
+def idx_graph_edges(spark, sf):
+    return X.graph_edges(links(spark, sf))
+
+
+@query(f"WITH {_CURRENT} SELECT path || CASE WHEN id % 10 = 1 THEN '.new' ELSE '' END path, CASE WHEN id % 10 = 1 THEN 'new' WHEN id % 10 = 2 THEN 'changed' ELSE 'unchanged' END status FROM cur")
+def idx_changed(spark, sf):
+    f = files(spark, sf)
+    found = X.current(f, "id", "path", "mtime", "size").select(
+        F.concat("path", F.when(F.col("id") % 10 == 1, ".new").otherwise("")).alias("path"), "mtime", (F.col("size") + F.when(F.col("id") % 10 == 2, 1).otherwise(0)).alias("size")
+    )
+    return X.changed(found, f)
+
+
+@query(f"WITH {_CURRENT} SELECT id, path FROM cur WHERE path LIKE '/vol00/share/%' AND id % 7 = 0")
+def idx_missing(spark, sf):
+    f = files(spark, sf)
+    return X.missing(f, f.where("id % 7 <> 0").select("path"), "/vol00/share")
+
+
+@query("SELECT count(DISTINCT path) n_paths, count(DISTINCT id) n_ids, max(id) max_id FROM (SELECT path, id FROM files UNION ALL SELECT path || '.x', (SELECT max(id) FROM files) + row_number() OVER () FROM (SELECT DISTINCT path FROM files WHERE id % 50 = 0))")
+def idx_upsert(spark, sf):
+    f = files(spark, sf)
+    some = f.where("id % 50 = 0").drop("id").dropDuplicates(["path"])
+    updates = some.unionByName(some.withColumn("path", F.concat("path", F.lit(".x"))))
+    return X.upsert(f, updates).agg(F.count_distinct("path").alias("n_paths"), F.count_distinct("id").alias("n_ids"), F.max("id").alias("max_id"))
+
+
+@query("SELECT count(*) n FROM entity_links WHERE file_id IS NULL OR file_id NOT IN (SELECT id FROM files WHERE lower(extension) = '.txt')")
+def idx_delete(spark, sf):
+    f = files(spark, sf)
+    return X.delete_files(f, links(spark, sf), f.where("lower(extension) = '.txt'").select("id").distinct())[1].agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_CURRENT} SELECT id, path, size FROM cur ORDER BY size DESC, id LIMIT 20 OFFSET 40")
+def idx_page(spark, sf):
+    return X.page(X.current(files(spark, sf), "id", "path", "size"), [F.desc("size"), "id"], 40, 20)
+
+
+# ------------------------------------------------------------------ search and matching
+
+
+def _bm25(words: list[str], prefix: bool = True, any_word: bool = False) -> str:
+    """SQL of the ranked search."""
+    cols = S.WEIGHTS
+    terms = [[w] for w in words] + ([words] if len(words) > 1 else [])
+    one = lambda c, t: f"len(list_filter({c}, lambda x: {'starts_with(x, ' + chr(39) + t[0] + chr(39) + ')' if prefix else 'x = ' + chr(39) + t[0] + chr(39)}))" if len(t) == 1 else f"len(list_filter(range(1, len({c}) - {len(t) - 2}), lambda i: {c}[i:i+{len(t) - 1}] = {t}))"
+    tok = ", ".join(f"regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+') t_{c}" for c in cols)
+    tfs = ", ".join("(" + " + ".join(f"{w} * {one('t_' + c, t)}" for c, w in cols.items()) + f") tf{i}" for i, t in enumerate(terms))
+    dl = " + ".join(f"len(t_{c})" for c in cols)
+    n = len(terms)
+    dfs = ", ".join(f"count(*) FILTER (tf{i} > 0) df{i}" for i in range(n))
+    strength = " + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(n))
+    cond = (" OR " if any_word else " AND ").join(f"tf{i} > 0" for i in range(len(words)))
+    return f"""WITH a AS (SELECT id, any_value(path) path, {', '.join(f'any_value({c}) {c}' for c in cols if c != 'path')} FROM files GROUP BY id), t AS (SELECT id, path, {tok} FROM a),
+c AS (SELECT id, path, {dl} dl, {tfs} FROM t), s AS (SELECT count(*) n, avg(dl) avgdl, {dfs} FROM c),
+r AS (SELECT id, path, {strength} strength FROM c, s WHERE {cond} ORDER BY strength DESC, id LIMIT 100)
+SELECT id, path, round(least(1.0, 0.2 + 0.8 * strength / max(strength) OVER ()), 4) score FROM r"""
+
+
+@query(_bm25(["акт", "сверки"]))
+def fts_all_words(spark, sf):
+    return S.search(files(spark, sf), "Акт сверки").select("id", "path", "score")
+
+
+@query(_bm25(["ledger", "pumps"], any_word=True))
+def fts_any_word(spark, sf):
+    return S.search(files(spark, sf), "ledger pumps", any_word=True).select("id", "path", "score")
+
+
+@query(_bm25(["вертрагс", "договор"], prefix=False, any_word=True))
+def fts_whole_words(spark, sf):
+    return S.search(files(spark, sf), "вертрагс договор", prefix=False, any_word=True).select("id", "path", "score")
+
+
+@query("""WITH t AS (SELECT DISTINCT id, extracted_text FROM files), w AS (SELECT id, unnest(regexp_extract_all(lower(extracted_text), '[\\p{L}\\p{N}]+')) term FROM t)
+SELECT term, count(DISTINCT id) n_files, count(*) n_all FROM w GROUP BY term""")
+def fts_term_stats(spark, sf):
+    return S.term_stats(files(spark, sf).select("id", "extracted_text").distinct())
+
+
+@query("""WITH t AS (SELECT doc_id, text FROM documents), w AS (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+(?:[-''’][\\p{L}\\p{N}]+)*'), lambda x: lower(x)))) word FROM t)
+SELECT word, count(*) n FROM w GROUP BY word""")
+def txt_vocabulary(spark, sf):
+    return documents(spark, sf).select("doc_id", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query()
+def txt_stems(spark, sf):
+    v = documents(spark, sf).select(F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("word")).distinct()
+    return v.where(F.col("word").rlike("^[а-яё]+$")).select("word", T.stem("word").alias("stem"))
+
+
+@query("""SELECT doc_id, least(len(regexp_extract_all(lower(text), '(?:^|[^\\p{L}\\p{N}])(ledger)')), 200)::INT hits FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])ledger($|[^\\p{L}\\p{N}])')""")
+def txt_match(spark, sf):
+    m = T.Matcher("ledger", stems=False)
+    return documents(spark, sf).select("doc_id", m.hits(F.col("text")).cast("int").alias("hits")).where("hits > 0")
+
+
+@query()
+def txt_match_forms(spark, sf):
+    m = T.Matcher("сверка договоров")
+    return documents(spark, sf).select("doc_id", m.hits(F.col("text")).alias("hits"), m.coverage(F.col("text")).alias("coverage")).where("hits > 0")
+
+
+@query()
+def txt_relevance(spark, sf):
+    q = "сверки платежей"
+    return documents(spark, sf).where("text is not null").select("doc_id", T.scorer(q)("text").alias("score")).where("score > 0.1")
+
+
+@query("""WITH v AS (SELECT DISTINCT entity1 v FROM entity_links WHERE entity1_type = 'ORGANIZATIONS'), q AS (SELECT min(v) q FROM v),
+g AS (SELECT v, q, list_distinct(list_transform(range(1, length('  ' || v || '  ') - 1), lambda i: substr('  ' || lower(v) || '  ', i, 3))) a, list_distinct(list_transform(range(1, length('  ' || q || '  ') - 1), lambda i: substr('  ' || lower(q) || '  ', i, 3))) b FROM v, q)
+SELECT v AS value, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) * 100, 4) score FROM g WHERE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) >= 0.3""")
+def txt_fuzzy_names(spark, sf):
+    v = links(spark, sf).where("entity1_type = 'ORGANIZATIONS'").select(F.col("entity1").alias("value")).distinct()
+    q = v.agg(F.min("value")).first()[0] or ""
+    return v.select("value", F.round(T.trigram_jaccard(F.col("value"), F.lit(q)), 4).alias("score")).where("score >= 30")
+
+
+@query("SELECT doc_id, length(text) - length(replace(lower(text), 'ledger', 'edger')) n_marks FROM documents WHERE contains(lower(text), 'ledger') AND NOT regexp_matches(lower(text), '[\\p{L}\\p{N}]ledger')")
+def txt_highlight(spark, sf):
+    x = documents(spark, sf).where(F.lower("text").contains("ledger") & ~F.lower("text").rlike(r"[\p{L}\p{N}]ledger"))
+    return x.select("doc_id", ((F.char_length(T.highlight(F.col("text"), "ledger")) - F.char_length("text")) / 13).cast("int").alias("n_marks"))
+
+
+# ------------------------------------------------------------------ classification
+
+
+def _sum(keys: list[str]) -> str:
+    one = [f"len(list_filter(w, lambda x: starts_with(x, '{k}')))" for k in keys if " " not in k]
+    more = [f"len(regexp_extract_all(n, '(?:^|[^\\p{{L}}\\p{{N}}_]){k}(?:$|[^\\p{{L}}\\p{{N}}_])'))" for k in keys if " " in k]
+    return " + ".join(one + more)
+
+
+_CLASS = f"""c AS (SELECT doc_id, t, n, regexp_extract_all(n, '[\\p{{L}}\\p{{N}}_]+') w FROM (SELECT DISTINCT doc_id, coalesce(text, '') t, replace(lower(coalesce(text, '')), 'ё', 'е') n FROM documents)),
+h AS (SELECT doc_id, t, len(w) word_count, {', '.join(f'({_sum(k)}) c{i}' for i, k in enumerate(C.CATEGORIES.values()))}, ({_sum(C.POSITIVE)}) p, ({_sum(C.NEGATIVE)}) q,
+ len(regexp_extract_all(t, '[А-Яа-яЁё]')) cyr, len(regexp_extract_all(t, '[A-Za-z]')) lat FROM c),
+b AS (SELECT *, list_sort([{', '.join(f'{{c: c{i}, o: {-i}, name: {chr(39)}{k}{chr(39)}}}' for i, k in enumerate(C.CATEGORIES))}], 'DESC') l FROM h)"""
+
+
+@query(f"""WITH {_CLASS} SELECT doc_id AS id, CASE WHEN l[1].c > 0 THEN l[1].name ELSE 'общий' END category,
+ round(CASE WHEN trim(t) = '' THEN 0.0 WHEN l[1].c = 0 THEN 0.5 WHEN l[2].c > 0 THEN l[1].c / (l[1].c + l[2].c) ELSE 0.9 END, 6) confidence,
+ CASE WHEN cyr + lat = 0 THEN 'unknown' WHEN cyr / (cyr + lat) > 0.7 THEN 'ru' WHEN lat / (cyr + lat) > 0.7 THEN 'en' ELSE 'mixed' END AS language,
+ CASE WHEN p + q = 0 THEN 'neutral' WHEN p / (p + q) > 0.6 THEN 'positive' WHEN p / (p + q) < 0.4 THEN 'negative' ELSE 'neutral' END sentiment, word_count, length(t) char_count FROM b""")
+def cls_documents(spark, sf):
+    return C.classify(documents(spark, sf), "doc_id", "text").withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"WITH {_CLASS} SELECT CASE WHEN l[1].c > 0 THEN l[1].name ELSE 'общий' END category, count(*) n FROM b GROUP BY 1")
+def cls_distribution(spark, sf):
+    return C.distribution(C.classify(documents(spark, sf), "doc_id", "text"))
+
+
+@query("""WITH w AS (SELECT doc_id, word, pos FROM (SELECT doc_id, unnest(ws) word, generate_subscripts(ws, 1) pos FROM (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') ws FROM documents WHERE text IS NOT NULL)) WHERE length(word) > 4)
+SELECT doc_id AS id, word, count(*) n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(pos)) AS rank FROM w GROUP BY doc_id, word QUALIFY rank <= 5""")
+def cls_topics(spark, sf):
+    return C.topics(documents(spark, sf), "doc_id", "text")
+
+
+# ------------------------------------------------------------------ secrets
+
+
+@query("""WITH b AS (SELECT DISTINCT id, extracted_text t FROM files WHERE extracted_text IS NOT NULL AND length(extracted_text) > 0), h AS (SELECT id, unnest(regexp_extract_all(hex(encode(t)), '..')) x FROM b),
+c AS (SELECT id, x, count(*) n FROM h GROUP BY ALL), s AS (SELECT id, sum(n) s FROM c GROUP BY id) SELECT c.id, round(-sum(n / s * log2(n / s)) + 0.0, 4) entropy FROM c JOIN s ON c.id = s.id GROUP BY c.id""")
+def sec_entropy(spark, sf):
+    return files(spark, sf).where("length(extracted_text) > 0").select("id", F.round(P.entropy("extracted_text"), 4).alias("entropy")).dropDuplicates(["id"])
+
+
+_ART = {k: p for k, p in P.PATTERNS.items() if k in ("base64_blocks", "hex_blocks", "ethereum", "aws_access_key", "github_token")}
+
+
+@query("SELECT * FROM (SELECT id, " + ", ".join(f"max(len(regexp_extract_all(coalesce(extracted_text, ''), '{p}'))) {k}" for k, p in _ART.items()) + " FROM files GROUP BY id) WHERE " + " + ".join(_ART) + " > 0")
+def sec_artifacts(spark, sf):
+    x = P.artifacts(files(spark, sf), "id", "extracted_text").select("id", *_ART)
+    return x.where(" + ".join(_ART) + " > 0")
+
+
+@query()
+def sec_wallets(spark, sf):
+    return P.wallets(files(spark, sf), "id", "extracted_text")
+
+
+@query()
+def sec_keys(spark, sf):
+    return P.keys(files(spark, sf), "id", "extracted_text")
+
+
+# ------------------------------------------------------------------ duplicates
+
+_WORDS = "w AS (SELECT id, any_value(extracted_text) t, any_value(regexp_extract_all(replace(lower(extracted_text), 'ё', 'е'), '[\\p{L}\\p{N}_]+')) w FROM files WHERE extracted_text IS NOT NULL GROUP BY id)"
+
+
+@query(f"WITH {_WORDS} SELECT id, md5(t) md5, sha256(t) sha256, strlen(t) size, CASE WHEN len(w) >= 10 THEN len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) ELSE 0 END n_shingles FROM w")
+def dup_fingerprints(spark, sf):
+    return U.fingerprints(files(spark, sf), "id", "extracted_text")
+
+
+@query(f"WITH {_WORDS} SELECT sha256(t) sha256, strlen(t) size, count(*) n, min(id) first_id FROM w GROUP BY 1, 2 HAVING count(*) > 1")
+def dup_exact(spark, sf):
+    return U.exact_groups(U.fingerprints(files(spark, sf), "id", "extracted_text"))
+
+
+@query(f"WITH {_WORDS}, g AS (SELECT sha256(t), strlen(t) size, count(*) n FROM w GROUP BY 1, 2) SELECT sum(n) total, count(*) unique_texts, count(*) FILTER (n > 1) groups, sum((n - 1) * size) wasted_bytes FROM g")
+def dup_report(spark, sf):
+    return U.report(U.fingerprints(files(spark, sf), "id", "extracted_text"))
+
+
+@query(f"WITH {_WORDS} SELECT id, array_to_string(list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: substr(md5(array_to_string(w[i:i+4], ' ')), 1, 16))))[1:256], ',') sketch FROM w WHERE len(w) >= 10")
+def dup_sketches(spark, sf):
+    w = U.words(F.col("extracted_text"))
+    s = U.sketch(w, hasher=lambda x: F.substring(F.md5(x), 1, 16))
+    return files(spark, sf).where("extracted_text is not null").select("id", F.array_join(s, ",").alias("sketch"), F.size(w).alias("n")).where("n >= 10").select("id", "sketch").dropDuplicates(["id"])
+
+
+@query()
+def dup_simhash(spark, sf):
+    x = files(spark, sf).where("extracted_text is not null").select("id", U.sketch(U.words(F.col("extracted_text")), most=50_000).alias("h")).dropDuplicates(["id"])
+    return x.select("id", U.simhash("h").alias("simhash"))
+
+
+@query()
+def dup_near(spark, sf):
+    """Near-duplicate pairs of different texts at 0.8, between class representatives."""
+    members, near = near_duplicates(files(spark, sf), threshold=0.8)
+    return near
+
+
+# ------------------------------------------------------------------ dates and entities
+
+_DMY = r"(?:^|[^\p{L}\p{N}_])(\d{1,2}[./]\d{1,2}[./](?:19|20)\d{2})"
+
+
+@query("""WITH d AS (SELECT DISTINCT id, unnest(regexp_extract_all(extracted_text, '\\d{4}-\\d{2}-\\d{2}')) d FROM files) SELECT id, try_strptime(d, '%Y-%m-%d')::DATE AS date FROM d WHERE try_strptime(d, '%Y-%m-%d') IS NOT NULL""")
+def tml_iso_dates(spark, sf):
+    x = files(spark, sf).select("id", F.explode(F.regexp_extract_all("extracted_text", F.lit(r"\d{4}-\d{2}-\d{2}"), F.lit(0))).alias("d"))
+    return x.select("id", D.parse_date(F.col("d")).alias("date")).where("date is not null").distinct()
+
+
+@query()
+def tml_events(spark, sf):
+    return D.text_events(files(spark, sf)).select("id", "date", "pos", "event_type")
+
+
+@query()
+def tml_summary(spark, sf):
+    return D.summary(D.timeline(files(spark, sf)))
+
+
+@query("WITH e AS (SELECT DISTINCT id, unnest(regexp_extract_all(extracted_text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}')) email FROM files) SELECT id, email FROM e")
+def ner_emails(spark, sf):
+    return E.emails(files(spark, sf))
+
+
+@query()
+def ner_entities(spark, sf):
+    return E.extract_entities(files(spark, sf)).select("id", "kind", "value")
+
+
+@query()
+def ner_relations(spark, sf):
+    return E.text_relations(files(spark, sf))
+
+
+# ------------------------------------------------------------------ graph
+
+_NODE = "lower({t}) || '_' || regexp_replace(regexp_replace(replace(lower(trim({v})), 'ё', 'е'), '\\s+', '_', 'g'), '[^\\p{{L}}\\p{{N}}_]', '', 'g')"
+_EDGE = f"""l AS (SELECT {_NODE.format(t='entity1_type', v='entity1')} a, {_NODE.format(t='entity2_type', v='entity2')} b, entity1_type k1, entity2_type k2, coalesce(weight, 1.0) w, file_id FROM entity_links WHERE entity1 IS NOT NULL AND entity2 IS NOT NULL AND entity1_type IS NOT NULL AND entity2_type IS NOT NULL),
+e AS (SELECT least(a, b) src, greatest(a, b) dst, sum(w) weight, count(*) n, count(DISTINCT file_id) n_files FROM l WHERE a <> b GROUP BY 1, 2), nb AS (SELECT src a, dst b FROM e UNION SELECT dst, src FROM e)"""
+
+
+@query(f"WITH {_EDGE} SELECT * FROM e")
+def gr_edges(spark, sf):
+    return G.from_links(links(spark, sf))[1].drop("relation")
+
+
+@query(f"WITH {_EDGE} SELECT a AS id, count(*) degree FROM nb GROUP BY a ORDER BY degree DESC, id LIMIT 10")
+def gr_central(spark, sf):
+    return G.central_nodes(*G.from_links(links(spark, sf))).select("id", "degree")
+
+
+@query(f"WITH {_EDGE} SELECT kind, count(*) n FROM (SELECT id, min(kind) kind FROM (SELECT a id, k1 kind FROM l UNION ALL SELECT b, k2 FROM l) GROUP BY id) GROUP BY kind")
+def gr_node_types(spark, sf):
+    return G.node_types(G.from_links(links(spark, sf))[0])
+
+
+@query()
+def gr_components(spark, sf):
+    n, e = (cut(x) for x in G.from_links(links(spark, sf)))
+    return G.component_sizes(n, e)
+
+
+@query()
+def gr_pagerank(spark, sf):
+    n, e = (cut(x) for x in G.from_links(links(spark, sf)))
+    return G.pagerank(n, e).withColumn("rank", F.round("rank", 9))
+
+
+_START = "(SELECT a FROM nb GROUP BY a ORDER BY count(*), a LIMIT 1)"
+
+
+@query(f"""WITH RECURSIVE {_EDGE}, h0 AS (SELECT {_START} id), h1 AS (SELECT DISTINCT b id FROM nb JOIN h0 ON a = id WHERE b NOT IN (SELECT id FROM h0)),
+h2 AS (SELECT DISTINCT b id FROM nb JOIN h1 ON a = id WHERE b NOT IN (SELECT id FROM h0 UNION SELECT id FROM h1))
+SELECT id, 0 distance FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2""")
+def gr_hops(spark, sf):
+    _, e = G.from_links(links(spark, sf))
+    e = cut(e)
+    start = G.degrees(e).orderBy("degree", "id").first()["id"]
+    return G.hops(e, start, 2).select("id", "distance")
+
+
+@query()
+def gr_path(spark, sf):
+    _, e = G.from_links(links(spark, sf))
+    e = cut(e)
+    ends = [r["id"] for r in G.degrees(e).orderBy("degree", "id").limit(2).collect()]
+    return spark.createDataFrame(list(enumerate(G.shortest_path(e, *ends))) or [(0, None)], "step int, id string")
+
+
+@query()
+def gr_statistics(spark, sf):
+    return G.statistics(*(cut(x) for x in G.from_links(links(spark, sf))))
+
+
+@query()
+def gr_bridges(spark, sf):
+    return G.bridges(*(cut(x) for x in G.from_links(links(spark, sf))))
+
+
+@query()
+def gr_subgraph(spark, sf):
+    n, e = (cut(x) for x in G.from_links(links(spark, sf)))
+    hub = G.degrees(e).orderBy("degree", "id").first()["id"]
+    return G.subgraph(n, e, hub, 1)[1]
+
+
+# ------------------------------------------------------------------ vectors
+
+_COS = "list_dot_product(e.embedding::DOUBLE[], q.v) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.v, q.v)))"
+
+
+@query(f"WITH q AS (SELECT embedding::DOUBLE[] v FROM embeddings ORDER BY vec_id LIMIT 1) SELECT vec_id AS id, round({_COS}, 6) score FROM embeddings e, q WHERE {_COS} >= 0.1 ORDER BY {_COS} DESC, vec_id LIMIT 20")
+def vec_top_k(spark, sf):
+    e = table(spark, sf, "embeddings")
+    q = e.orderBy("vec_id").first()["embedding"]
+    return V.top_k(e, q, k=20, least=0.1).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH q AS (SELECT embedding::DOUBLE[] v, label FROM embeddings ORDER BY vec_id LIMIT 1) SELECT vec_id AS id, round({_COS}, 6) score FROM embeddings e, q WHERE e.label = q.label AND vec_id <> (SELECT min(vec_id) FROM embeddings) AND {_COS} >= -1 ORDER BY {_COS} DESC, vec_id LIMIT 10")
+def vec_similar_in_class(spark, sf):
+    e = table(spark, sf, "embeddings")
+    q = e.orderBy("vec_id").first()
+    return V.top_k(e, q["embedding"], k=10, least=-1.0, where=(F.col("label") == q["label"]) & (F.col("vec_id") != q["vec_id"])).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, e.vec_id AS id, {_COS} score FROM embeddings e, q WHERE e.vec_id <> query) SELECT query, id, round(score, 6) score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10")
+def vec_neighbours(spark, sf):
+    e = table(spark, sf, "embeddings")
+    block = [(r["vec_id"], r["embedding"]) for r in e.where("vec_id % 50 = 0").collect()]
+    return V.top_k_many(e, block, k=10).withColumn("score", F.round("score", 6))
+
+
+@query()
+def vec_chunks(spark, sf):
+    return V.chunks(documents(spark, sf), "doc_id", "text").select("chunk_id", "doc_id", "chunk_index", "chunk_count")
+
+
+@query()
+def vec_context(spark, sf):
+    """Chunks for a question: encode, score, keep three per document, fit into the room."""
+    c = V.chunks(documents(spark, sf), "doc_id", "text")
+    scored = c.select("chunk_id", "doc_id", "text", V.cosine(V.encoded("text"), V.encode("сверка договора с электронной копией")).alias("score"))
+    return V.context(scored.where("score is not null"))
+
+
+# ------------------------------------------------------------------ pipelines
+
+
+@query()
+def scan_pipeline(spark, sf):
+    """Match, score, snippet, filter and rank in one plan; only matching rows reach Python."""
+    q = "акт сверки"
+    m = T.Matcher(q)
+    f = files(spark, sf).select("id", "path", "filename", "extracted_text").where(m.hits(F.col("extracted_text")) > 0)
+    x = f.select("id", "path", T.scorer(q)("extracted_text").alias("score"), T.snippet(F.col("extracted_text"), "акт").alias("snippet")).dropDuplicates(["id"])
+    return x.where("score >= 0.1").orderBy(F.desc("score"), "id").limit(100)
+
+
+@query(f"WITH {_CURRENT} SELECT CASE WHEN extracted_text IS NULL THEN 'no_text' WHEN trim(extracted_text) = '' THEN 'empty' ELSE 'indexed' END status, count(*) n, sum(size)::BIGINT bytes FROM cur GROUP BY 1")
+def scan_status(spark, sf):
+    s = F.when(F.col("extracted_text").isNull(), "no_text").when(F.trim("extracted_text") == "", "empty").otherwise("indexed")
+    x = files(spark, sf).select("id", "indexed_at", "size", s.alias("status"))
+    return X.current(x, "id", "size", "status").groupBy("status").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+@query("SELECT folder, count(*) n, sum(files_total) total, sum(files_processed) processed, count(*) FILTER (finished_at IS NULL) unfinished FROM (SELECT DISTINCT * FROM scans) GROUP BY folder")
+def scan_history(spark, sf):
+    s = table(spark, sf, "scans").distinct()
+    return s.groupBy("folder").agg(F.count("*").alias("n"), F.sum("files_total").alias("total"), F.sum("files_processed").alias("processed"), F.count(F.when(F.col("finished_at").isNull(), 1)).alias("unfinished"))
+
+
+@query("SELECT result_id, parent_id, depth, CASE WHEN parent_id IS NULL THEN '' ELSE '--- [attachment] ---' END header, length(text) n_chars FROM (SELECT DISTINCT result_id, parent_id, depth, text FROM extraction_results WHERE error IS NULL)")
+def src_attachments(spark, sf):
+    x = table(spark, sf, "extraction_results").where("error is null").select("result_id", "parent_id", "depth", F.char_length("text").alias("n_chars")).distinct()
+    return x.select("result_id", "parent_id", "depth", F.when(F.col("parent_id").isNull(), "").otherwise("--- [attachment] ---").alias("header"), "n_chars")
