@@ -540,3 +540,22 @@ def scan_history(spark, sf):
 def src_attachments(spark, sf):
     x = table(spark, sf, "extraction_results").where("error is null").select("result_id", "parent_id", "depth", F.char_length("text").alias("n_chars")).distinct()
     return x.select("result_id", "parent_id", "depth", F.when(F.col("parent_id").isNull(), "").otherwise("--- [attachment] ---").alias("header"), "n_chars")
+
+
+# ------------------------------------------------------------------ streams (the same plans over a table)
+
+
+@query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS "end", event_type, count(*) n, round(sum(value), 4) total FROM events GROUP BY ALL""")
+def str_windows(spark, sf):
+    from vellumq.streaming.incremental import windowed_counts
+
+    return windowed_counts(table(spark, sf, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END s FROM events),
+h AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) n FROM h GROUP BY user_id, k""")
+def str_sessions(spark, sf):
+    from vellumq.streaming.incremental import sessions
+
+    return sessions(table(spark, sf, "events"))
