@@ -143,8 +143,12 @@ def _deal(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for rep, n, prefix, places in zip(*(batch.column(k).to_pylist() for k in ("rep", "n", "prefix", "places"))):
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            first: dict[bytes, tuple] = {}  # of equal sets in a batch one goes on
+            for i, sig, *rest in zip(*(batch.column(k).to_pylist() for k in ("id", "sig", "n", "prefix", "places"))):
+                if sig not in first or i < first[sig][0]:
+                    first[sig] = (i, *rest)
+            for sig, (rep, n, prefix, places) in first.items():
                 s, place = np.frombuffer(prefix, np.uint64), np.frombuffer(places, np.int32)
                 if not len(s):
                     continue
@@ -152,88 +156,97 @@ def _deal(parts: int):
                 order = np.argsort(to, kind="stable")
                 cuts = np.flatnonzero(np.diff(to[order])) + 1
                 for at in np.split(order, cuts):
-                    for k, v in enumerate((int(to[at[0]]), rep, n, s[at].tobytes(), place[at].tobytes())):
+                    for k, v in enumerate((int(to[at[0]]), sig, rep, n, s[at].tobytes(), place[at].tobytes())):
                         out[k].append(v)
-            types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["part", "rep", "n", "grams", "at"])
+            types = (pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["part", "sig", "rep", "n", "grams", "at"])
 
     return run
 
 
 class Node:
-    """A trie node: children by n-gram, the documents whose sequence passes here, and the bounds of the subtree."""
+    """A trie node: children by n-gram, the documents whose sequence ends here, and the longest set of the subtree."""
 
-    __slots__ = ("children", "ends", "n_low", "n_high")
+    __slots__ = ("children", "ends", "n_high")
 
     def __init__(self):
         self.children: dict[int, Node] = {}
         self.ends: list[tuple[int, int, int]] = []  # document, n, position of the first n-gram of the path
-        self.n_low, self.n_high = 1 << 30, 0
+        self.n_high = 0
 
 
-def trie_join(docs: list[tuple[int, int, np.ndarray, np.ndarray]], threshold: float) -> Iterator[tuple[int, int, int, int, int]]:
-    """Pairs (a, b, n_a, n_b, overlap here) with a inserted before b; docs hold id, n, ordered n-grams, positions.
+def trie_join(docs: list[list | tuple], threshold: float) -> Iterator[tuple[int, int, int, int, int]]:
+    """Pairs (a, b, n_a, n_b, overlap here) with a inserted before b.
 
-    Sequences are inserted from each of their n-grams on, so a walk starts at the root child of an n-gram
-    in common. Documents go in by growing n; a walk at n_b skips subtrees whose longest set is below
-    ``threshold * n_b``, and documents whose positions leave too little for the overlap needed.
+    docs hold id, n, and the bytes of the ordered n-grams and of their positions. Sequences are inserted from each of
+    their n-grams on, so a walk starts at the root child of an n-gram in common. Documents go in by growing n; a
+    walk at n_b skips subtrees whose longest set is below ``threshold * n_b``, and documents whose positions leave too little
+    for the overlap needed.
     """
     ratio = threshold / (1 + threshold)
-    every = np.concatenate([g for _, _, g, _ in docs]) if docs else np.empty(0, np.uint64)
-    u, c = np.unique(every, return_counts=True)
-    shared = u[c > 1]
-    root: dict[int, Node] = {}
-    if not len(shared):
+    docs = sorted(docs, key=lambda d: (d[1], d[0]))
+    every = np.frombuffer(b"".join(d[2] for d in docs), np.uint64)
+    places = np.frombuffer(b"".join(d[3] for d in docs), np.int32)
+    owner = np.repeat(np.arange(len(docs)), [len(d[2]) // 8 for d in docs])
+    _, gram, count = np.unique(every, return_inverse=True, return_counts=True)
+    keep = count[gram] > 1  # what one document alone has here leads to nobody
+    if not keep.any():
         return
-    for b, n_b, grams, at in sorted(docs, key=lambda d: (d[1], d[0])):
-        keep = shared[np.minimum(np.searchsorted(shared, grams), len(shared) - 1)] == grams
-        g, p = grams[keep].tolist(), at[keep].tolist()
-        if not g:
-            continue
-        mine = dict(zip(g, range(len(g))))
-        found: dict[int, list[int]] = {}
-        least = threshold * n_b - 1e-9
-        for k, gram in enumerate(g):
-            top = root.get(gram)
-            if top is None:
+    gram, places, owner = gram[keep], places[keep].tolist(), owner[keep]
+    starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    stops = np.r_[starts[1:], len(owner)].tolist()
+    gram = gram.tolist()
+    root: dict[int, Node] = {}
+    for d, lo, hi in zip(owner[starts].tolist(), starts.tolist(), stops):
+        b, n_b = docs[d][:2]
+        g, p = gram[lo:hi], places[lo:hi]
+        found: dict[int, tuple[int, int]] = {}
+        least, mine = threshold * n_b - 1e-9, None
+        for k, first in enumerate(g):
+            top = root.get(first)
+            if top is None or top.n_high < least:
                 continue
-            met: dict[int, tuple[int, int]] = {}
+            j, met = p[k], {}
             walk = [(top, 1)]
             while walk:
                 node, overlap = walk.pop()
-                if node.n_high < least:
-                    continue
-                for a, n_a, at_a in node.ends:
-                    if n_a < least or a in found:
-                        continue
-                    i, j = at_a, p[k]
-                    if min(i, j) + min(n_a - i, n_b - j) >= ratio * (n_a + n_b) - 1e-9:
+                for a, n_a, i in node.ends:
+                    if n_a >= least and a not in found and min(i, j) + min(n_a - i, n_b - j) >= ratio * (n_a + n_b) - 1e-9:
                         met[a] = (n_a, overlap)
-                for child_gram, child in node.children.items():
-                    walk.append((child, overlap + (child_gram in mine)))
-            for a, (n_a, overlap) in met.items():
-                found[a] = [n_a, overlap]
+                if node.children:
+                    if mine is None:
+                        mine = set(g)
+                    walk += [(child, overlap + (x in mine)) for x, child in node.children.items() if child.n_high >= least]
+            found |= met
         for a, (n_a, overlap) in found.items():
             yield a, b, n_a, n_b, overlap
-        for k, gram in enumerate(g):
-            node = root.setdefault(gram, Node())
-            node.n_low, node.n_high = min(node.n_low, n_b), max(node.n_high, n_b)
+        for k, first in enumerate(g):
+            node = root.get(first)
+            if node is None:
+                node = root[first] = Node()
+            node.n_high = n_b  # documents come by growing n
             for later in g[k + 1 :]:
-                node = node.children.setdefault(later, Node())
-                node.n_low, node.n_high = min(node.n_low, n_b), max(node.n_high, n_b)
+                child = node.children.get(later)
+                if child is None:
+                    child = node.children[later] = Node()
+                node = child
+                node.n_high = n_b
             node.ends.append((b, n_b, p[k]))
 
 
 def _join(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
+        parts: dict[int, dict[bytes, list]] = {}
         for batch in batches:
-            for part, rep, n, grams, at in zip(*(c.to_pylist() for c in batch.columns)):
-                parts.setdefault(part, []).append((rep, n, np.frombuffer(grams, np.uint64), np.frombuffer(at, np.int32)))
+            for part, sig, *doc in zip(*(c.to_pylist() for c in batch.columns)):
+                # equal sets have the same n-grams in each part, so all parts agree on the smallest id
+                one = parts.setdefault(part, {})
+                if sig not in one or doc[0] < one[sig][0]:
+                    one[sig] = doc
         names, types = ["a", "b", "n_a", "n_b", "c"], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
         rows: list[tuple] = []
         for docs in parts.values():
-            for row in trie_join(docs, threshold):
+            for row in trie_join(list(docs.values()), threshold):
                 rows.append(row)
                 if len(rows) >= 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
@@ -274,10 +287,11 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "id", t
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     classes = spark.sparkContext.broadcast(frequency_classes(docs, least_words))
     sets = cut(docs.mapInArrow(_prefixes(least_words, threshold, classes), "id bigint, sig binary, n int, prefix binary, places binary"))
-    reps = sets.groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("places").alias("places"))
-    members = sets.select("id", "sig").distinct().join(reps.select("sig", "rep", "n"), "sig").select("id", "rep", "n")
-    parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
-    dealt = reps.select("rep", "n", "prefix", "places").mapInArrow(_deal(parts), "part int, rep bigint, n int, grams binary, at binary")
+    reps = sets.groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+    members = sets.select("id", "sig").distinct().join(reps, "sig").select("id", "rep", "n")
+    # a part holds the prefixes of all documents in one worker, so there are more of them for more documents
+    parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, sets.count() // 2000)
+    dealt = sets.mapInArrow(_deal(parts), "part int, sig binary, rep bigint, n int, grams binary, at binary")
     met = dealt.repartition(parts, "part").mapInArrow(_join(threshold), "a bigint, b bigint, n_a int, n_b int, c int")
     rest = lambda n: F.col(n) - (F.col(n) - F.ceil(threshold * F.col(n) - 1e-9) + 1)  # noqa: E731  n-grams behind the prefix
     could = (
