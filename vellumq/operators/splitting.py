@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumq.functions.text import let
+
 #: White space of the boundary rules: space, tab, newline, carriage return, form feed.
 SPACE = r"[ \t\n\r\f]"
 PARAGRAPH = r"\n{2,}"
@@ -72,15 +74,24 @@ def pieces(split: DataFrame, overlap: int = 200) -> DataFrame:
     ``start`` is the offset of the core in the text, from 0; ``overlap`` is the number of characters
     that the piece shares with the one before.
     """
-    before = F.expr(f"right(element_at(cores, i), {int(overlap)})") if overlap else F.lit("")
-    at = split.select("id", "boundary", F.posexplode("cores").alias("i", "core"), "cores")
-    at = at.withColumn("tail", F.when(F.col("i") > 0, before).otherwise(F.lit("")))
-    return at.select(
-        "id",
-        "boundary",
-        (F.col("i") + 1).cast("bigint").alias("piece_no"),
-        F.size("cores").cast("bigint").alias("n_pieces"),
-        F.expr("aggregate(slice(cores, 1, i), 0L, (a, x) -> a + char_length(x))").alias("start"),
-        F.char_length("tail").cast("bigint").alias("overlap"),
-        F.concat("tail", "core").alias("piece"),
-    ).dropDuplicates(["id", "piece_no"])
+    size = int(overlap)
+
+    def rows(cores: Column) -> Column:
+        lengths = F.transform(cores, lambda x: F.char_length(x).cast("bigint"))
+        tail = lambda i: F.when(i > 0, F.right(F.element_at(cores, i), F.lit(size))).otherwise(F.lit("")) if size else F.lit("")
+        return let(
+            lengths,
+            lambda n: F.transform(
+                cores,
+                lambda x, i: F.struct(
+                    (i + 1).cast("bigint").alias("piece_no"),
+                    F.size(n).cast("bigint").alias("n_pieces"),
+                    F.aggregate(F.slice(n, F.lit(1), i), F.lit(0).cast("bigint"), lambda a, y: a + y).alias("start"),
+                    F.least(F.lit(size), F.when(i > 0, F.element_at(n, i)).otherwise(0)).cast("bigint").alias("overlap"),
+                    F.concat(tail(i), x).alias("piece"),
+                ),
+            ),
+        )
+
+    # the pieces are built inside the row and only they leave it
+    return split.select("id", "boundary", F.inline(let(F.col("cores"), rows))).dropDuplicates(["id", "piece_no"])
