@@ -39,6 +39,8 @@ DEVICE = re.compile(r"отправлено (?:с|из)|sent from|get outlook|von
 LEGAL_START = re.compile(r"(?:внимание|disclaimer|hinweis|notice|confidentiality notice|achtung)\b.{0,3}:|(?:настоящ|данн|эт)\w+ (?:сообщени|письм|документ)\w* (?:и |предназ|содерж|явля|не )|содержание (?:этого |данного )?письма|this (?:message|e-?mail|communication)\b|nothing in this|the (?:content|information)s? (?:of|in) this|any (?:views|opinions)|(?:diese|die vorliegende) (?:nachricht|e-?mail|mitteilung)|der inhalt dieser|jede haftung", re.I)
 LEGAL = re.compile(r"meant only|addressee|attachments|binding|без согласия|приложени\w* предназнач|author\b|ограниченного доступа|конфиденциальн|предназначен\w* только|адресат|получили .{0,20}ошибк|запрещен|оферт|обязательств .{0,40}|юридическ|distribution|confidential|intended (?:only|solely)|disclaimer|liability|privileged|received .{0,30}error|bestimmt|vertraulich|irrtümlich|rechtlich|verbindlich|haftung|unauthori[sz]ed|views expressed|вирус|virus|не является|copying|notify the sender|löschen|unbefugt", re.I)
 INTRO = re.compile(r"(?:wrote|writes|schrieb|пишет|писал|написал)\w*(?:\([^)]*\))?[^\n]{0,40}:\s*$|(?:original|forwarded|исходн|пересланн|пересыла|ursprüngliche|weitergeleitet)\w* (?:message|mail|сообщени|nachricht|письмо)|begin forwarded", re.I)
+SUBJECT = re.compile(r"(?:Тема|Subject|Betreff): ")
+REPLY = re.compile(r"^(?:\s*(?:re|fwd?|aw|wg|отв|пер)\s*:)+", re.I)
 SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n")
 
 
@@ -262,7 +264,7 @@ def labelled_table(mails: int = 1500, seed: int = 11) -> tuple[np.ndarray, np.nd
             k += len(b["lines"])
         y = [owner[i] for i in at]
         x = features(bs, sender)
-        counts = np.array([[log1p(r.choice([0, 0, 1, 3]) if c in (2, 3) else 0), log1p(r.choice([0, 2, 9, 40]) if c in (2, 3) else r.choice([0, 0, 1])), r.choice([0, 0, 0.5, 1]) if c == 1 else r.choice([0, 0, 0, 0.3])] for c in y]).reshape(len(y), 3)
+        counts = np.array([[log1p(r.choice([0, 0, 1, 3] if c in (2, 3) else [0, 0, 0, 1, 2])), log1p(r.choice([0, 2, 9, 40] if c in (2, 3) else [0, 0, 1, 3, 20])), r.choice([0, 0, 0.5, 1, 1] if c == 1 else [0, 0, 0, 0, 0.3, 1])] for c in y]).reshape(len(y), 3)
         xs.append(np.hstack([x, counts]))
         ys += y
     return np.vstack(xs), np.array(ys)
@@ -311,39 +313,40 @@ def _prepare(logp):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fix = Restorer(logp.value, [])
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             for i, t in zip(*(c.to_pylist() for c in batch.columns)):
                 t = fix.text(t)[0]
                 got = head_and_body(t)
                 if got:
                     head, body = got
                     m = re.search(r"<([^>]*)>", head[0])
-                    for col, x in zip(out, (i, head[0].partition(": ")[2], (m.group(1) if m else head[0]).lower(), body)):
+                    subject = next((x.partition(": ")[2] for x in head if SUBJECT.match(x)), "")
+                    for col, x in zip(out, (i, head[0].partition(": ")[2], (m.group(1) if m else head[0]).lower(), REPLY.sub("", subject).strip().lower(), body)):
                         col.append(x)
-            types = (pa.int64(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["id", "sender", "address", "body"])
+            types = (pa.int64(), *[pa.string()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["id", "sender", "address", "subject", "body"])
 
     return run
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each mail the keys of its blocks (kind 0, with the sender: kind 1) and of its sentences that are not marked as quoted (kind 2)."""
+    """Of each mail the keys of its blocks (kind 0, with the sender: kind 1) and of its sentences with the thread's subject (kind 2)."""
     for batch in batches:
         out: tuple[list, ...] = ([], [], [])
-        for i, address, body in zip(*(batch.column(k).to_pylist() for k in ("id", "address", "body"))):
+        for i, address, subject, body in zip(*(batch.column(k).to_pylist() for k in ("id", "address", "subject", "body"))):
             for b in blocks(body):
                 s = normal(b["lines"])
                 if len(s) >= 4:
-                    rows = {(0, key(s)), (1, key(f"{address} {s}"))} | {(2, k) for k in sentence_keys(b["lines"])}
+                    rows = {(0, key(s)), (1, key(f"{address} {s}"))} | {(2, k) for k in sentence_keys(b["lines"], subject)}
                     for kind, k in rows:
                         for col, x in zip(out, (i, kind, k)):
                             col.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64()))], ["id", "kind", "key"])
 
 
-def sentence_keys(lines: list[str]) -> list[int]:
-    """Keys of the sentences of at least five words."""
-    return [key(s) for x in SENTENCE.split(" ".join(lines)) if (s := " ".join(words(x))).count(" ") >= 4]
+def sentence_keys(lines: list[str], subject: str) -> list[int]:
+    """Keys of the sentences of at least five words, in the thread of a subject; a mail without subject has no thread."""
+    return [key(f"{subject}\n{s}") for x in SENTENCE.split(" ".join(lines)) if subject and (s := " ".join(words(x))).count(" ") >= 4]
 
 
 def _classify(models):
@@ -362,7 +365,7 @@ def _classify(models):
                     if len(s) >= 4:
                         c[k, 0] = log1p(known.get((1, key(f"{r['address']} {s}")), 1) - 1)
                         c[k, 1] = log1p(known.get((0, key(s)), 1) - 1)
-                    ks = sentence_keys(b["lines"])
+                    ks = sentence_keys(b["lines"], r["subject"])
                     c[k, 2] = sum(known.get((2, q), 1) > 1 for q in ks) / len(ks) if ks else 0
                 all_blocks.append(bs)
                 xs.append(np.hstack([x, c]))
@@ -393,7 +396,7 @@ def newly_written(results: DataFrame, id_col: str = "result_id", text_col: str =
     bound_arrow(spark)
     x = results.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null and text <> ''")
     b = spark.sparkContext.broadcast
-    mail = cut(x.mapInArrow(_prepare(b(model(x))), "id bigint, sender string, address string, body string").dropDuplicates(["id"]))
+    mail = cut(x.mapInArrow(_prepare(b(model(x))), "id bigint, sender string, address string, subject string, body string").dropDuplicates(["id"]))
     keys = mail.mapInArrow(_keys, "id bigint, kind int, key bigint").distinct()
     # a key of a third of all mails is counted with partial sums; the join back is on (kind, key), which AQE splits
     often = keys.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1")

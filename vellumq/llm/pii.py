@@ -567,9 +567,13 @@ def _find(model):
 
 def fit(files: DataFrame, most: int = 900) -> tuple:
     """Train on at most ``most`` files with computed entities, half of them with the rarer types (those of smallest hash). Without any there is nothing to learn."""
-    known = files.where("entities is not null and length(entities) > 2 and text is not null").select("text", "entities", F.xxhash64("id").alias("h"))
-    rare = F.col("entities").rlike("LOCATIONS|CONTACTS|DOCUMENTS")
-    some = [r for x, n in ((known.where(rare), most // 2), (known.where(~rare), most - most // 2)) for r in x.orderBy("h").limit(n).collect()]
+    known = files.where("entities is not null and length(entities) > 2 and text is not null").select("id", F.xxhash64("id").alias("h"), F.col("entities").rlike("LOCATIONS|CONTACTS|DOCUMENTS").alias("rare"))
+    # ids first: a top-k of whole texts would bring a sample of each partition to the driver
+    ids = [r["id"] for x, n in ((known.where("rare"), most // 2), (known.where("not rare"), most - most // 2)) for r in x.orderBy("h", "id").limit(n).collect()]
+    if not ids:
+        return {}, set(), np.zeros((len(OFFSETS), 0, N), np.float32), np.zeros((N, N), np.float32)
+    wanted = F.broadcast(files.sparkSession.createDataFrame([(i,) for i in set(ids)], "id bigint"))  # at most ``most`` rows
+    some = files.where("entities is not null and text is not null").join(wanted, "id", "left_semi").dropDuplicates(["id"]).orderBy("id").select("text", "entities").collect()
     crf = learn([(r["text"], r["entities"]) for r in some])
     if crf is None:
         return {}, set(), np.zeros((len(OFFSETS), 0, N), np.float32), np.zeros((N, N), np.float32)
