@@ -182,7 +182,7 @@ def _walk(adjacent: dict[str, list[str]], source: str):
     return order, paths, before, far
 
 
-def centralities(nodes: DataFrame, edges: DataFrame, most_edges: int = 500_000) -> DataFrame:
+def centralities(nodes: DataFrame, edges: DataFrame, most_edges: int = 50_000) -> DataFrame:
     """``id, betweenness, closeness``: one breadth-first search per node, spread over the tasks.
 
     The neighbours of all nodes go to each task, so graphs of more than ``most_edges`` edges are refused.
@@ -251,10 +251,11 @@ def bridges_of(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return out
 
 
-def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def bridges(nodes: DataFrame, edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
     """``src, dst`` of the bridges; pairs with several relations count as one edge.
 
-    Nodes of degree one are peeled off in the DataFrame first (their edges are bridges); what remains is searched component by component.
+    Nodes of degree one are peeled off in the DataFrame first (their edges are bridges); what remains is searched component by component,
+    each in one task, so a component of more than ``most_edges`` edges is refused.
     """
     pairs = cut(edges.select("src", "dst").distinct())
     found = None
@@ -267,7 +268,9 @@ def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         found = cutoff if found is None else found.unionByName(cutoff)
         pairs = cut(pairs.join(cutoff, ["src", "dst"], "left_anti"))
     part = components(pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct(), pairs)
-    tagged = pairs.join(part.select(F.col("id").alias("src"), "component"), "src")
+    tagged = cut(pairs.join(part.select(F.col("id").alias("src"), "component"), "src"))
+    if tagged.groupBy("component").count().where(F.col("count") > most_edges).limit(1).count():
+        raise ValueError("a component is too large for one task; take a subgraph")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(bridges_of(list(zip(group["src"], group["dst"]))), columns=["src", "dst"])

@@ -56,8 +56,7 @@ def human_size(size: Column) -> Column:
 def stats(files: DataFrame, links: DataFrame) -> DataFrame:
     """One row: ``n_files, total_size, total_size_human, n_links``."""
     a = current(files).agg(F.count("*").alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"))
-    n = links.agg(F.count("*").alias("n_links"))
-    return a.join(F.broadcast(n)).withColumn("total_size_human", human_size(F.col("total_size")))
+    return a.withColumn("n_links", F.lit(links.count())).withColumn("total_size_human", human_size(F.col("total_size")))
 
 
 def extension_histogram(files: DataFrame, limit: int = 20) -> DataFrame:

@@ -7,6 +7,7 @@ the scan. Document frequencies and the average length are one aggregate row.
 from __future__ import annotations
 
 import re
+from math import log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,16 +54,15 @@ def search(files: DataFrame, query: str, limit: int = 100, prefix: bool = True,
     counts = [sum((F.lit(w) * _count(F.col(f"_{c}"), t, prefix and len(t) == 1) for c, w in WEIGHTS.items()), F.lit(0.0)).alias(f"tf{i}") for i, t in enumerate(terms)]
     length = sum((F.size(f"_{c}") for c in WEIGHTS), F.lit(0)).alias("dl")
     rows = rows.select("id", "path", length, *counts).dropDuplicates(["id"])
-    n = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))))
-    scored = rows.join(F.broadcast(n))  # one row
+    n = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms)))).first()
     has = [F.col(f"tf{i}") > 0 for i in range(len(words))]
     both = has[0]
     for h in has[1:]:
         both = (both | h) if any_word else (both & h)
-    norm = K1 * (1 - B + B * F.col("dl") / F.col("avg"))
-    idf = lambda i: F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
-    strength = sum((idf(i) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + norm) for i in range(len(terms))), F.lit(0.0))
-    top = scored.where(both).select("id", "path", strength.alias("strength")).orderBy(F.desc("strength"), "id").limit(limit)
+    norm = K1 * (1 - B + B * F.col("dl") / F.lit(float(n["avg"] or 1.0)))
+    idf = lambda i: max(log((n["n"] - n[f"df{i}"] + 0.5) / (n[f"df{i}"] + 0.5)), 1e-6)
+    strength = sum((F.lit(idf(i)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + norm) for i in range(len(terms))), F.lit(0.0))
+    top = rows.where(both).select("id", "path", strength.alias("strength")).orderBy(F.desc("strength"), "id").limit(limit)
     best = F.max("strength").over(Window.partitionBy())  # over the limited rows alone
     score = F.when(best <= 1e-9, 1.0).otherwise(F.least(F.lit(1.0), 0.2 + 0.8 * F.col("strength") / best))
     return top.withColumn("score", F.round(score, 4))

@@ -50,7 +50,7 @@ def parse_date(text: Column) -> Column:
     )
 
 
-def dates_of(text: str, most: int = 200, most_chars: int = 100_000, apart: int = 200) -> list[tuple[date, str, int]]:
+def dates_of(text: str, most: int = 200, most_chars: int | None = None, apart: int = 200) -> list[tuple[date, str, int]]:
     """``(date, context, position)`` of a text: longer matches win, a date again within ``apart`` characters counts once."""
     sample, found = text[:most_chars], []
     for pattern, (y, m, d) in PATTERNS:

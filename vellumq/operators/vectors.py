@@ -63,6 +63,28 @@ def top_k_many(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: in
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2000, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
+    """:func:`top_k_many` for all rows of ``queries`` against all vectors; blocks of queries go to the tasks one after the other."""
+    out, some = None, []
+
+    def flush() -> None:
+        nonlocal out
+        part = top_k_many(vectors, some.copy(), k, id_col, col)
+        out = part if out is None else out.unionByName(part)
+        some.clear()
+
+    width = None
+    for r in queries.select(id_col, col).where(F.col(col).isNotNull()).toLocalIterator():
+        width = width or len(r[col])
+        if len(r[col]) == width:
+            some.append((r[id_col], r[col]))
+        if len(some) == block:
+            flush()
+    if some or out is None:
+        flush()
+    return out
+
+
 def chunk_text(text: str | None, size: int = 80, overlap: int = 15) -> list[str]:
     """Chunks of whole sentences up to ``size`` words; a chunk repeats trailing sentences of up to ``overlap`` words; longer sentences are cut with that stride."""
     out: list[str] = []

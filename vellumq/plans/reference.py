@@ -140,25 +140,26 @@ def idx_graph_edges(spark, sf):
     return X.graph_edges(links(spark, sf))
 
 
-@query(f"WITH {_CURRENT} SELECT path || CASE WHEN id % 10 = 1 THEN '.new' ELSE '' END path, CASE WHEN id % 10 = 1 THEN 'new' WHEN id % 10 = 2 THEN 'changed' ELSE 'unchanged' END status FROM cur")
+@query(f"WITH {_CURRENT} SELECT path || CASE WHEN lower(extension) = '.csv' THEN '.new' ELSE '' END path, CASE WHEN lower(extension) = '.csv' THEN 'new' WHEN lower(extension) = '.log' THEN 'changed' ELSE 'unchanged' END status FROM cur")
 def idx_changed(spark, sf):
     f = files(spark, sf)
-    found = X.current(f, "id", "path", "mtime", "size").select(
-        F.concat("path", F.when(F.col("id") % 10 == 1, ".new").otherwise("")).alias("path"), "mtime", (F.col("size") + F.when(F.col("id") % 10 == 2, 1).otherwise(0)).alias("size")
+    ext = F.lower("extension")  # as if tables had moved and logs had grown since
+    found = X.current(f, "id", "path", "extension", "mtime", "size").select(
+        F.concat("path", F.when(ext == ".csv", ".new").otherwise("")).alias("path"), "mtime", (F.col("size") + F.when(ext == ".log", 1).otherwise(0)).alias("size")
     )
     return X.changed(found, f)
 
 
-@query(f"WITH {_CURRENT} SELECT id, path FROM cur WHERE path LIKE '/vol00/share/%' AND id % 7 = 0")
+@query(f"WITH {_CURRENT} SELECT id, path FROM cur WHERE path LIKE '/vol00/share/%' AND lower(extension) = '.txt'")
 def idx_missing(spark, sf):
     f = files(spark, sf)
-    return X.missing(f, f.where("id % 7 <> 0").select("path"), "/vol00/share")
+    return X.missing(f, f.where("coalesce(lower(extension), '') <> '.txt'").select("path"), "/vol00/share")
 
 
-@query("SELECT count(DISTINCT path) n_paths, count(DISTINCT id) n_ids, max(id) max_id FROM (SELECT path, id FROM files UNION ALL SELECT path || '.x', (SELECT max(id) FROM files) + row_number() OVER () FROM (SELECT DISTINCT path FROM files WHERE id % 50 = 0))")
+@query("SELECT count(DISTINCT path) n_paths, count(DISTINCT id) n_ids, max(id) max_id FROM (SELECT path, id FROM files UNION ALL SELECT path || '.x', (SELECT max(id) FROM files) + row_number() OVER () FROM (SELECT DISTINCT path FROM files WHERE lower(extension) = '.csv'))")
 def idx_upsert(spark, sf):
     f = files(spark, sf)
-    some = f.where("id % 50 = 0").drop("id").dropDuplicates(["path"])
+    some = f.where("lower(extension) = '.csv'").drop("id").dropDuplicates(["path"])
     updates = some.unionByName(some.withColumn("path", F.concat("path", F.lit(".x"))))
     return X.upsert(f, updates).agg(F.count_distinct("path").alias("n_paths"), F.count_distinct("id").alias("n_ids"), F.max("id").alias("max_id"))
 
@@ -493,8 +494,7 @@ def vec_similar_in_class(spark, sf):
 @query(f"WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, e.vec_id AS id, {_COS} score FROM embeddings e, q WHERE e.vec_id <> query) SELECT query, id, round(score, 6) score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10")
 def vec_neighbours(spark, sf):
     e = table(spark, sf, "embeddings")
-    block = [(r["vec_id"], r["embedding"]) for r in e.where("vec_id % 50 = 0").collect()]
-    return V.top_k_many(e, block, k=10).withColumn("score", F.round("score", 6))
+    return V.neighbours(e, e.where("vec_id % 50 = 0"), k=10).withColumn("score", F.round("score", 6))
 
 
 @query()
