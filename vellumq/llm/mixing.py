@@ -126,7 +126,8 @@ def thresholds(sized: DataFrame, wanted: dict[str, float]) -> dict[str, int]:
 def plan(sized: DataFrame, weights: DataFrame, total: int | None = None) -> tuple[dict[str, tuple[int, int]], list[dict]]:
     """``source -> (whole copies, hash threshold of one more)`` and the rows of weights, cleaned."""
     rows = [r.asDict() for r in weights.select(source_name("source").alias("source"), F.col("target_share").cast("double").alias("w"), F.col("max_repeats").cast("int").alias("m")).distinct().where("source is not null").collect()]
-    have = {r["source"]: r["t"] for r in sized.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+    listed = [r["source"] for r in rows]  # sources that aren't listed may be many, and aren't used
+    have = {r["source"]: r["t"] for r in sized.where(F.col("source").isin(listed)).groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
     shares, repeats = {r["source"]: r["w"] or 0.0 for r in rows}, {r["source"]: r["m"] or 0 for r in rows}
     budget = budgets(have, shares, repeats, total)
     whole = {s: min(repeats[s], floor(b / have[s] + 1e-12)) for s, b in budget.items()}
