@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 BOMS = [(b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")]
 CYRILLIC = ["cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic"]
@@ -75,3 +80,20 @@ def is_binary(data: bytes) -> bool:
     if not head or any(head.startswith(m) for m, _ in BOMS) or utf16_without_bom(head):
         return False
     return b"\x00" in head or sum(b < 32 and b not in (9, 10, 12, 13, 27) for b in head) > 0.1 * len(head)
+
+
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("encoding", StringType())]))
+def decoded(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Text and encoding of a binary column; null and empty contents give an empty text."""
+    for s in contents:
+        yield pd.DataFrame([decode(bytes(b)) if b else ("", "utf-8") for b in s], columns=["text", "encoding"])
+
+
+def head_and_tail(data: bytes, most: int, mark: str = "\n[...]\n") -> str:
+    """A long file as its first 80 and last 20 per cent of ``most`` bytes, with a mark between; cuts fall on four bytes for UTF-32."""
+    if len(data) <= most:
+        return decode(data)[0]
+    a, b = most * 8 // 10 // 4 * 4, (len(data) - most * 2 // 10) // 4 * 4
+    name = detect(data)
+    plain = {"utf-8-sig": "utf-8", "utf-16": "utf-16-le" if data[:2] == b"\xff\xfe" else "utf-16-be", "utf-32": "utf-32-le" if data[:4] == b"\xff\xfe\x00\x00" else "utf-32-be"}
+    return data[:a].decode(name, "ignore") + mark + data[b:].decode(plain.get(name, name), "ignore")
