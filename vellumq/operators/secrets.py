@@ -117,3 +117,61 @@ def keys(df: DataFrame, id_col: str, text_col: str, most: int = 20) -> DataFrame
         x = x.select("id", "kind", F.when(F.char_length("v") > most, F.concat(F.substring("v", 1, most), F.lit("...(truncated)"))).otherwise(F.col("v")).alias("value"))
         out = x if out is None else out.unionByName(x)
     return out.distinct()
+
+
+def verdicts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, entropy, encryption, n_artifacts, is_encrypted, confidence`` of texts with any artifact.
+
+    ``encryption`` is private_key, gpg, certificate, unknown or none, from PEM heads and from entropy with many encoded blocks.
+    """
+    t = F.col(text_col)
+    pem = F.array_distinct(F.regexp_extract_all(t, F.lit(PATTERNS["pem"]), F.lit(1)))
+    x = df.where(t.isNotNull()).select(F.col(id_col).alias("id"), t.alias("t"), pem.alias("pem"), *(F.regexp_count(t, F.lit(p)).alias(n) for n, p in PATTERNS.items() if n not in ("pem", "bitcoin")))
+    kinds = [n for n in PATTERNS if n not in ("pem", "bitcoin")]
+    n = sum(((F.col(k) > 0).cast("int") for k in kinds), F.size("pem"))
+    x = x.withColumn("n_artifacts", n).where("n_artifacts > 0").withColumn("entropy", entropy("t")).dropDuplicates(["id"])
+    kind = F.when(F.exists("pem", lambda p: p.contains("PRIVATE KEY")), "private_key").when(F.exists("pem", lambda p: p.contains("PGP")), "gpg").when(F.exists("pem", lambda p: p.contains("CERTIFICATE")), "certificate").otherwise("none")
+    x = x.withColumn("kind", kind)
+    sure = F.col("kind").isin("gpg", "private_key")
+    yes = sure | ((F.col("entropy") > 7.5) & (F.col("base64_blocks") > 5)) | ((F.col("hex_blocks") > 3) & (F.col("entropy") > 7.0))
+    score = F.when(sure, 0.6).otherwise(0.0) + F.when(F.size("pem") > 0, 0.3).otherwise(0.0)
+    score = score + F.when(F.col("entropy") > 7.8, 0.2).when(F.col("entropy") > 7.5, 0.1).otherwise(0.0) + F.when(F.col("n_artifacts") >= 5, 0.15).otherwise(0.05)
+    return x.select("id", "entropy", F.when(yes & (F.col("kind") == "none"), "unknown").otherwise(F.col("kind")).alias("encryption"), "n_artifacts", yes.alias("is_encrypted"), F.least(score, F.lit(1.0)).alias("confidence"))
+
+
+def inspect(data: bytes) -> tuple[str, float, str]:
+    """``format, entropy, encryption`` of a file's bytes: flags inside known formats, heads of encrypted ones, even entropy of unknown ones."""
+    kind = next((n for n, at, code in MAGIC if data[at : at + len(code) // 2].hex().upper() == code), "unknown")
+    e = entropy_of(data[:65536])
+    if kind == "zip":
+        import io
+        import zipfile
+
+        try:
+            locked = any(i.flag_bits & 1 for i in zipfile.ZipFile(io.BytesIO(data)).infolist())
+        except zipfile.BadZipFile:
+            locked = False
+        return kind, e, "zip" if locked else "none"
+    if kind == "pdf":
+        return kind, e, "pdf" if b"/Encrypt" in data else "none"
+    if kind == "ole":
+        return kind, e, "ole" if "EncryptedPackage".encode("utf-16-le") in data else "none"
+    if kind in ("luks", "openssl", "pgp_armour"):
+        return kind, e, kind
+    if data[3:11] == b"-FVE-FS-":
+        return "bitlocker", e, "bitlocker"
+    if kind == "unknown" and len(data) >= 65536:
+        blocks = [data[i * len(data) // 4 : i * len(data) // 4 + 16384] for i in range(4)]
+        if all(entropy_of(b) > 7.9 for b in blocks):
+            return kind, e, "possible_container"
+    return kind, e, "none"
+
+
+def inspected(files: DataFrame) -> DataFrame:
+    """``path, format, entropy, encryption`` of files with their content, one file at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(p, *inspect(bytes(c))) for p, c in zip(b["path"], b["content"])], columns=["path", "format", "entropy", "encryption"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, format string, entropy double, encryption string")

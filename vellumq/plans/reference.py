@@ -175,6 +175,14 @@ def idx_page(spark, sf):
     return X.page(X.current(files(spark, sf), "id", "path", "size"), [F.desc("size"), "id"], 40, 20)
 
 
+@query("""WITH d AS (SELECT DISTINCT file_id, lower(entity1) a, entity1_type ta, lower(entity2) b, entity2_type tb FROM entity_links WHERE file_id IS NOT NULL)
+SELECT least(ta, tb) AS type1, greatest(ta, tb) AS type2, count(*) n_links, count(DISTINCT file_id) n_files FROM d WHERE ta IS NOT NULL AND tb IS NOT NULL GROUP BY 1, 2""")
+def idx_link_types(spark, sf):
+    d = links(spark, sf).where("file_id is not null and entity1_type is not null and entity2_type is not null")
+    d = d.select("file_id", F.lower("entity1").alias("a"), F.col("entity1_type").alias("ta"), F.lower("entity2").alias("b"), F.col("entity2_type").alias("tb")).distinct()
+    return d.groupBy(F.least("ta", "tb").alias("type1"), F.greatest("ta", "tb").alias("type2")).agg(F.count("*").alias("n_links"), F.count_distinct("file_id").alias("n_files"))
+
+
 # ------------------------------------------------------------------ search and matching
 
 
@@ -324,6 +332,11 @@ def sec_keys(spark, sf):
     return P.keys(files(spark, sf), "id", "extracted_text")
 
 
+@query()
+def sec_verdicts(spark, sf):
+    return P.verdicts(files(spark, sf), "id", "extracted_text").withColumn("entropy", F.round("entropy", 6))
+
+
 # ------------------------------------------------------------------ duplicates
 
 _WORDS = "w AS (SELECT id, any_value(extracted_text) t, any_value(regexp_extract_all(replace(lower(extracted_text), 'ё', 'е'), '[\\p{L}\\p{N}_]+')) w FROM files WHERE extracted_text IS NOT NULL GROUP BY id)"

@@ -309,6 +309,47 @@ def fb2(data: bytes, name: str, depth: int) -> Result:
     return "\n".join(s for e in text if (s := "".join(e.itertext()).strip())), {}, []
 
 
+@register(".mobi .prc .azw .azw3")
+def mobi(data: bytes, name: str, depth: int) -> Result:
+    """Records of a Palm database, unpacked where they are packed; protected books are an error."""
+    n = struct.unpack(">H", data[76:78])[0]
+    starts = [struct.unpack(">I", data[78 + 8 * i : 82 + 8 * i])[0] for i in range(n)] + [len(data)]
+    head = data[starts[0] : starts[1]]
+    packing, _, _, records, _, locked = struct.unpack(">HHIHHH", head[:14])
+    if locked:
+        raise ValueError("protected book")
+    if packing not in (1, 2):
+        raise ValueError(f"unknown packing {packing}")
+    out = bytearray()
+    for i in range(1, min(records, n - 1) + 1):
+        part = data[starts[i] : starts[i + 1]]
+        out += _palm(part) if packing == 2 else part
+    charset = "utf-8" if len(head) >= 32 and struct.unpack(">I", head[28:32])[0] == 65001 else "cp1252"
+    title, text = html_to_text(bytes(out).decode(charset, "replace"))
+    return text, {"title": title, "encoding": charset}, []
+
+
+def _palm(part: bytes) -> bytes:
+    """PalmDOC: literals, runs of literals, references back and blanks before letters."""
+    out, i = bytearray(), 0
+    while i < len(part):
+        c = part[i]
+        i += 1
+        if 1 <= c <= 8:
+            out += part[i : i + c]
+            i += c
+        elif c < 0x80:
+            out.append(c)
+        elif c >= 0xC0:
+            out += b" " + bytes([c ^ 0x80])
+        elif i < len(part):
+            pair = (c << 8 | part[i]) & 0x3FFF
+            i += 1
+            for _ in range((pair & 7) + 3):
+                out.append(out[-(pair >> 3)] if 0 < pair >> 3 <= len(out) else 32)
+    return bytes(out)
+
+
 @register(".pdf")
 def pdf(data: bytes, name: str, depth: int) -> Result:
     """By pypdf if it is installed; else the strings that the content streams show, which holds for simple fonts."""
