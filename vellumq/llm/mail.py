@@ -72,7 +72,7 @@ def blocks(body: str) -> list[dict]:
                 here = None
             blank = True
             continue
-        banner = bool(BANNER.fullmatch(s))
+        banner = len(s) <= 200 and bool(BANNER.fullmatch(s))
         starts = banner or (len(s) < 110 and bool(INTRO.search(s))) or (len(s) <= 48 and len(s.split()) <= 6 and bool(CLOSING.match(s))) or (len(s) <= 64 and bool(DEVICE.match(s))) or bool(LEGAL_START.match(s) and (LEGAL.search(s) or len(s) < 100))
         if here is None or here["depth"] != depth or starts or (here["lines"] and here["closed"]):
             here = {"depth": depth, "lines": [], "blank": blank, "sep": sep, "closed": False}
@@ -107,7 +107,7 @@ def features(bs: list[dict], sender: str) -> np.ndarray:
         n = len(b["lines"])
         first, last = b["lines"][0], b["lines"][-1]
         contacts = len(CONTACT.findall(text))
-        name_lines = sum(bool(NAME.fullmatch(x)) for x in b["lines"])
+        name_lines = sum(len(x) <= 80 and bool(NAME.fullmatch(x)) for x in b["lines"])
         org_lines = sum(len(x) < 50 and bool(re.search(r"«.+»|\b(?:Ltd|LLC|Inc|PLC|Group|GmbH|AG|KG)\b\.?$", x)) for x in b["lines"])
         header_lines = sum(bool(HEADER.fullmatch(x)) for x in b["lines"])
         intro = bool(INTRO.search(first[:160])) or bool(INTRO.search(flat)) and n <= 3
@@ -121,11 +121,11 @@ def features(bs: list[dict], sender: str) -> np.ndarray:
         prev_closing = bool(prev and len(prev["lines"]) == 1 and len(prev_first) <= 48 and CLOSING.match(prev_first) and prev_first[-1] not in ".?")
         rows.append([
             b["depth"], n, len(flat), len(flat) / n, i, len(bs) - 1 - i, contacts / n, contacts, name_lines / n, org_lines / n,
-            header_lines / n, float(intro), float(when), float(intro and when), b["sep"], float(bool(BANNER.fullmatch(first))), float(closing), float(prev_closing), legal, legal / max(1, len(w)) * 10,
+            header_lines / n, float(intro), float(when), float(intro and when), b["sep"], float(len(first) <= 200 and bool(BANNER.fullmatch(first))), float(closing), float(prev_closing), legal, legal / max(1, len(w)) * 10,
             float(device), own, float(last[-1:] in ".!?"), float(last[-1:] == ":"), len(w), float(b["blank"]), float(bool(LEGAL_START.match(first))), quoted_before, float(bool(re.search(r"\b(?:не|not|nicht|kein)\b.{0,3} ?(?:конфиденц|confidential|vertraulich|geheim)", flat, re.I))),
             sum(c.isdigit() for c in flat) / max(1, len(flat)), float(len(first) < 48 and first[-1:] == ","),
         ])
-        if b["depth"] or intro and (when or header_lines or BANNER.fullmatch(first)):
+        if b["depth"] or intro and (when or header_lines or len(first) <= 200 and BANNER.fullmatch(first)):
             quoted_before = 1.0
     return np.array(rows, float).reshape(len(bs), N_OWN)
 
@@ -295,7 +295,7 @@ def decide(bs: list[dict], scores: np.ndarray) -> list[int]:
             part[i] = 3
         elif n == 1 and DEVICE.match(first) and first[-1] not in "?!:" and len(first) <= 64:
             part[i] = 2
-        elif 2 <= n <= 6 and len(first) <= 48 and CLOSING.match(first) and first[-1] not in ".?!" and NAME.fullmatch(b["lines"][1]):
+        elif 2 <= n <= 6 and len(first) <= 48 and CLOSING.match(first) and first[-1] not in ".?!" and len(b["lines"][1]) <= 80 and NAME.fullmatch(b["lines"][1]):
             part[i] = 2
         elif part[i] == 1:
             text = " ".join(b["lines"])
@@ -304,7 +304,7 @@ def decide(bs: list[dict], scores: np.ndarray) -> list[int]:
             if begins and not marked:
                 rest = True
     for i, b in enumerate(bs):  # a line before an introduction or a signature belongs to it
-        if BANNER.fullmatch(b["lines"][0]) and len(b["lines"]) == 1 and i + 1 < len(bs) and part[i + 1]:
+        if len(b["lines"]) == 1 and len(b["lines"][0]) <= 200 and BANNER.fullmatch(b["lines"][0]) and i + 1 < len(bs) and part[i + 1]:
             part[i] = part[i + 1]
     return part
 
