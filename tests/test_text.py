@@ -91,3 +91,11 @@ def test_fingerprints(spark):
     a, b = s.where("id = 1"), s.where("id = 3").select(F.col("s").alias("s2"))
     v = a.join(b).select(U.sketch_similarity(F.col("s"), F.col("s2")).alias("v"), U.hamming(U.simhash("s"), U.simhash("s2")).alias("h")).first()
     assert abs(v["v"] - 36 / 37) < 1e-9 and v["h"] < 20
+
+
+def test_matching_finds_misread_words(spark):
+    rows = [(1, "Подписан акт сверки."), (2, "Подписан акт сперки."), (3, "Подписан акт cверки."), (4, "акт приёма"), (5, None), (6, "")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    got = T.matching(df, "акт сверки", "t").withColumn("score", T.scorer("акт сверки")("t"))
+    assert {r["id"]: r["score"] > 0.5 for r in got.collect()} == {1: True, 2: True, 3: True} and got.columns == ["id", "t", "score"]
+    assert T.matching(df, "", "t").count() == 0

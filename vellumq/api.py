@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumq.functions.text import Matcher, scorer, snippet
+from vellumq.functions.text import Matcher, matching, scorer, snippet
 from vellumq.operators import answers, classify, entities, fingerprints, graph, index, search, secrets, timeline
 from vellumq.operators.neardup import duplicate_groups, near_duplicates
 from vellumq.sources import extract, sinks
@@ -75,9 +75,9 @@ class Index:
         return search.search(self.files, query, limit, **options).where(F.col("score") >= least)
 
     def scan(self, query: str, limit: int = 100, least: float = 0.1) -> DataFrame:
-        """Files that match a query in any form of its words, with relevance and a snippet."""
+        """Files that match a query in any form of its words or with misread characters, with relevance and a snippet."""
         m = Matcher(query)
-        x = self.files.where(m.hits(F.col("extracted_text")) > 0)
+        x = matching(self.files, query, "extracted_text")
         scored = x.select("id", "path", "filename", scorer(query)("extracted_text").alias("score"), snippet(F.col("extracted_text"), m.words[0] if m.words else "").alias("snippet"))
         return scored.dropDuplicates(["id"]).where(F.col("score") >= least).orderBy(F.desc("score"), "id").limit(limit)
 

@@ -528,10 +528,9 @@ def vec_context(spark, sf):
 
 @query()
 def scan_pipeline(spark, sf):
-    """Match, score, snippet, filter and rank in one plan; only matching rows reach Python."""
+    """Match (by the words, else by likeness), score, snippet, filter and rank in one plan."""
     q = "акт сверки"
-    m = T.Matcher(q)
-    f = files(spark, sf).select("id", "path", "filename", "extracted_text").where(m.hits(F.col("extracted_text")) > 0)
+    f = T.matching(files(spark, sf).select("id", "path", "filename", "extracted_text"), q, "extracted_text")
     x = f.select("id", "path", T.scorer(q)("extracted_text").alias("score"), T.snippet(F.col("extracted_text"), "акт").alias("snippet")).dropDuplicates(["id"])
     return x.where("score >= 0.1").orderBy(F.desc("score"), "id").limit(100)
 
