@@ -1,5 +1,6 @@
 """Index operators on small tables."""
 
+import json
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -56,3 +57,11 @@ def test_search_ranks_and_survives_signs(spark):
         S.search(f, q).collect()
     assert S.search(f, "***").count() == 0
     assert S.search(table(spark, []), "дом").count() == 0
+
+
+def test_all_pairs_of_long_lists(spark):
+    people, places = [f"p{i:02}" for i in range(30)], [f"q{i}" for i in range(3)]
+    f = table(spark, [(1, "/1", "", json.dumps({"PERSONS": people, "LOCATIONS": places}))] * 2)
+    got = [(r["entity1"], r["entity2"]) for r in X.entity_pairs(f).collect()]
+    assert len(got) == len(set(got)) == 33 * 32 // 2
+    assert X.entity_pairs(f, per_type=10, most=50).count() == 50 and X.entity_pairs(f, per_type=10).count() == 13 * 12 // 2

@@ -109,16 +109,17 @@ def entity_union(files: DataFrame, cap: int = 100) -> DataFrame:
     return low.groupBy("kind").agg(F.count("*").alias("n")).join(firsts, "kind")
 
 
-def entity_pairs(files: DataFrame, per_type: int = 10, most: int = 300) -> DataFrame:
-    """Links of each file from its lists, inside one row: up to ``per_type`` values per type, pairs i < j, up to ``most``.
+def entity_pairs(files: DataFrame, per_type: int | None = None, most: int | None = None) -> DataFrame:
+    """Links of each file from its lists, inside one row: all pairs i < j of its values, or of the first ``per_type`` of each type, up to ``most``.
 
     Values that differ by case alone make no pair. Types come in order; ends are ordered by (type, value).
     """
     m = entities()
+    values = lambda k: F.coalesce(m[k], F.array().cast("array<string>"))
     typed = F.flatten(
         F.transform(
             F.array_sort(F.map_keys(m)),
-            lambda k: F.transform(F.slice(F.coalesce(m[k], F.array().cast("array<string>")), 1, per_type), lambda v: F.struct(F.trim(v).alias("v"), k.alias("k"))),
+            lambda k: F.transform(values(k) if per_type is None else F.slice(values(k), 1, per_type), lambda v: F.struct(F.trim(v).alias("v"), k.alias("k"))),
         )
     )
     kept = F.filter(typed, lambda x: F.length(x["v"]) > 0)
@@ -126,12 +127,16 @@ def entity_pairs(files: DataFrame, per_type: int = 10, most: int = 300) -> DataF
     # the first of values that are equal but for case
     first = F.expr("filter(e, (x, i) -> not exists(slice(e, 1, i), y -> lower(y.v) = lower(x.v) and y.k = x.k))")
     x = x.withColumn("e", first)
-    pairs = F.expr(
-        "flatten(transform(e, (a, i) -> transform(filter(slice(e, i + 2, size(e)), b -> lower(a.v) <> lower(b.v)),"
+    # the pairs of one value at a time, so that no array holds those of a row
+    of = (
+        "transform(filter(slice(e, i + 2, size(e)), b -> lower(a.v) <> lower(b.v)),"
         " b -> case when struct(a.k, a.v) <= struct(b.k, b.v) then struct(a.v as entity1, a.k as entity1_type, b.v as entity2, b.k as entity2_type)"
-        " else struct(b.v as entity1, b.k as entity1_type, a.v as entity2, a.k as entity2_type) end)))"
+        " else struct(b.v as entity1, b.k as entity1_type, a.v as entity2, a.k as entity2_type) end)"
     )
-    return x.select("file_id", F.explode(F.slice(pairs, 1, most)).alias("p")).select("p.*", "file_id")
+    if most is not None:
+        whole = F.expr(f"flatten(transform(e, (a, i) -> {of}))")
+        return x.select("file_id", F.explode(F.slice(whole, 1, most)).alias("p")).select("p.*", "file_id")
+    return x.select("file_id", "e", F.posexplode("e").alias("i", "a")).select("file_id", F.explode(F.expr(of)).alias("p")).select("p.*", "file_id")
 
 
 def connections(links: DataFrame, entity: str, limit: int = 50) -> DataFrame:
