@@ -13,6 +13,7 @@ from vellumq.operators import entities as E
 from vellumq.operators import fingerprints as U
 from vellumq.operators import secrets as P
 from vellumq.operators import timeline as D
+from vellumq.plans import reference as R
 
 
 @pytest.mark.parametrize("word,stem", [("договорами", "договор"), ("красивейший", "красив"), ("читавшись", "чита"), ("книги", "книг"), ("радость", "радост"), ("автомобилей", "автомобил"), ("времени", "времен"), ("Table", "table"), ("да", "да")])
@@ -99,3 +100,23 @@ def test_matching_finds_misread_words(spark):
     got = T.matching(df, "акт сверки", "t").withColumn("score", T.scorer("акт сверки")("t"))
     assert {r["id"]: r["score"] > 0.5 for r in got.collect()} == {1: True, 2: True, 3: True} and got.columns == ["id", "t", "score"]
     assert T.matching(df, "", "t").count() == 0
+
+
+def test_nothing_of_a_long_text_is_cut():
+    days = [f"{d:02}.{m:02}.{y}" for y in (2001, 2002) for m in range(1, 13) for d in range(1, 26)]
+    assert len(D.dates_of(" и ".join(days))) == 600
+    text = " ".join(f"почта a{i}@b{i}.com;" for i in range(150))
+    assert len(E.extract(text)["CONTACTS"]) == 150
+    text = "Иванов Пётр работает в компании Ромашка.\n" * 70
+    assert sum(r[0] == "works_for" for r in E.relations_of(text, {"PERSONS": ["Иванов Пётр"], "ORGANIZATIONS": ["Ромашка"]})) == 70
+    assert E.places("$5 a b a B A ſ", {"X": ["a b a", "$5", "s"]}) == [(0, 2, "$5", "X"), (3, 8, "a b a", "X"), (13, 14, "s", "X")]
+    assert E.places("$5 a b a B A", {"X": ["a b a", "$5"]}) == [(0, 2, "$5", "X"), (3, 8, "a b a", "X")]
+
+
+def test_simhash_of_all_shingles(spark, tmp_path):
+    t = " ".join(f"w{i}" for i in range(110_000))
+    df = spark.createDataFrame([(1, t)], "id long, extracted_text string")
+    df.write.parquet(str(tmp_path / "files.parquet"))
+    h = [r[0] for r in df.select(F.explode(U.shingles(U.words(F.col("extracted_text")))).alias("s")).select(F.xxhash64("s")).collect()]
+    want = sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+    assert len(h) == 109_996 and R.dup_simhash(spark, str(tmp_path)).first()["simhash"] % (1 << 64) == want

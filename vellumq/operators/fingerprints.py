@@ -31,9 +31,10 @@ def shingles(tokens: Column) -> Column:
     return let(tokens, runs)
 
 
-def sketch(tokens: Column, hasher=F.xxhash64, most: int = SKETCH) -> Column:
-    """The smallest hashes of the shingles, in order."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(shingles(tokens), lambda s: hasher(s)))), 1, most)
+def sketch(tokens: Column, hasher=F.xxhash64, most: int | None = SKETCH) -> Column:
+    """The smallest hashes of the shingles, in order; all of them if ``most`` is none."""
+    hashes = F.array_sort(F.array_distinct(F.transform(shingles(tokens), lambda s: hasher(s))))
+    return hashes if most is None else F.slice(hashes, 1, most)
 
 
 def sketch_similarity(a: Column, b: Column, most: int = SKETCH) -> Column:

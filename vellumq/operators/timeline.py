@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import date
 
@@ -50,7 +51,7 @@ def parse_date(text: Column) -> Column:
     )
 
 
-def dates_of(text: str, most: int = 200, most_chars: int | None = None, apart: int = 200) -> list[tuple[date, str, int]]:
+def dates_of(text: str, most: int | None = None, most_chars: int | None = None, apart: int = 200) -> list[tuple[date, str, int]]:
     """``(date, context, position)`` of a text: longer matches win, a date again within ``apart`` characters counts once."""
     sample, found = text[:most_chars], []
     for pattern, (y, m, d) in PATTERNS:
@@ -62,13 +63,14 @@ def dates_of(text: str, most: int = 200, most_chars: int | None = None, apart: i
                 continue
             if 1900 <= when.year <= 2100:
                 found.append((*hit.span(), when))
-    free: list[tuple[int, int, date]] = []
+    free: list[tuple[int, int, date]] = []  # by start; they never overlap, so the neighbours tell
     for a, b, when in sorted(found, key=lambda x: (x[0] - x[1], x[0])):
-        if all(b <= c or a >= e for c, e, _ in free):
-            free.append((a, b, when))
+        k = bisect_left(free, (a,))
+        if (k == 0 or free[k - 1][1] <= a) and (k == len(free) or b <= free[k][0]):
+            free.insert(k, (a, b, when))
     out: list[tuple[date, str, int]] = []
     last: dict[date, int] = {}
-    for a, b, when in sorted(free):
+    for a, b, when in free:
         if when in last and a - last[when] < apart:
             continue
         last[when] = a

@@ -366,7 +366,7 @@ def dup_sketches(spark, sf):
 
 @query()
 def dup_simhash(spark, sf):
-    x = files(spark, sf).where("extracted_text is not null").select("id", U.sketch(U.words(F.col("extracted_text")), most=50_000).alias("h")).dropDuplicates(["id"])
+    x = files(spark, sf).where("extracted_text is not null").select("id", U.sketch(U.words(F.col("extracted_text")), most=None).alias("h")).dropDuplicates(["id"])
     return x.select("id", U.simhash("h").alias("simhash"))
 
 

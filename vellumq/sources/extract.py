@@ -37,7 +37,7 @@ from vellumq.functions.charset import decode, is_binary
 
 Result = tuple[str, dict, list[tuple[str, str]]]
 #: Limits of nested archives and of a text.
-MOST_DEPTH, MOST_TOTAL, MOST_MEMBER, MOST_MEMBERS, MOST_CHARS = 3, 500 << 20, 200 << 20, 20_000, 5_000_000
+MOST_DEPTH, MOST_TOTAL, MOST_MEMBER, MOST_MEMBERS = 3, 500 << 20, 200 << 20, 20_000
 
 _REGISTRY: list[tuple[int, frozenset[str], Callable[[bytes, str, int], Result]]] = []
 
@@ -69,17 +69,21 @@ def extract_bytes(data: bytes, name: str, depth: int = 0) -> dict:
             try:
                 text, meta, inner = f(data, name, depth)
                 parts = [text, *(f"--- [вложение] {n} ---\n{t}" for n, t in inner)]
-                return {"text": "\n\n".join(p for p in parts if p)[:MOST_CHARS], "metadata": {k: str(v)[:1000] for k, v in list(meta.items())[:20]}, "n_attachments": len(inner), "error": None}
+                return {"text": "\n\n".join(p for p in parts if p), "metadata": {k: str(v)[:1000] for k, v in list(meta.items())[:20]}, "n_attachments": len(inner), "error": None}
             except Exception as e:  # noqa: BLE001  (any broken file is a row with an error)
                 return {"text": None, "metadata": {}, "n_attachments": 0, "error": f"{type(e).__name__}: {e}"[:500]}
     return {"text": None, "metadata": {}, "n_attachments": 0, "error": f"unsupported: {ext or 'no extension'}"}
 
 
-def nested(members: Iterator[tuple[str, bytes]], depth: int) -> tuple[list[tuple[str, str]], dict]:
-    """Texts of archive members within the limits; names that leave the archive are counted and never written."""
+def nested(members: Iterator[tuple[str, bytes | None]], depth: int) -> tuple[list[tuple[str, str]], dict]:
+    """Texts of archive members within the limits (``limited`` counts what is beyond them); names that leave the archive are counted and never written."""
     out, meta, total, n = [], Counter(), 0, 0
     for name, data in members:
         n += 1
+        if data is None:
+            meta["limited"] += 1
+            out.append((name, ""))
+            continue
         total += len(data)
         if n > MOST_MEMBERS or total > MOST_TOTAL:
             meta["limited"] += 1
@@ -89,8 +93,10 @@ def nested(members: Iterator[tuple[str, bytes]], depth: int) -> tuple[list[tuple
         if depth >= MOST_DEPTH or extension_of(name) not in supported():
             out.append((name, ""))
             continue
-        out.append((name, extract_bytes(data, name, depth + 1)["text"] or ""))
-    return out, dict(meta) | {"members": n}
+        got = extract_bytes(data, name, depth + 1)
+        meta["limited"] += int(got["metadata"].get("limited", 0))
+        out.append((name, got["text"] or ""))
+    return out, dict(+meta) | {"members": n}
 
 
 # ---------------------------------------------------------------- text formats
@@ -164,7 +170,7 @@ def csv_rows(data: bytes, name: str, depth: int) -> Result:
     sep = max(counts, key=lambda d: counts[d])
     csv.field_size_limit(1 << 30)
     try:
-        rows = [" | ".join(c[:10_000] for c in r) for r in csv.reader(io.StringIO(text), delimiter=sep) if r]
+        rows = [" | ".join(r) for r in csv.reader(io.StringIO(text), delimiter=sep) if r]
         return "\n".join(rows), {"encoding": enc, "delimiter": sep, "rows": len(rows)}, []
     except csv.Error:
         return text, {"encoding": enc, "malformed": True}, []
@@ -429,7 +435,7 @@ def zip_archive(data: bytes, name: str, depth: int) -> Result:
 
     def members() -> Iterator[tuple[str, bytes]]:
         for i in z.infolist():
-            if i.is_dir() or i.flag_bits & 1 or i.file_size > MOST_MEMBER:
+            if i.is_dir() or i.flag_bits & 1:
                 continue
             n = i.filename
             if not i.flag_bits & 0x800 and not n.isascii():
@@ -437,7 +443,7 @@ def zip_archive(data: bytes, name: str, depth: int) -> Result:
                     n = n.encode("cp437").decode("cp866")
                 except UnicodeError:
                     pass
-            yield n, z.read(i)
+            yield n, z.read(i) if i.file_size <= MOST_MEMBER else None
 
     inner, meta = nested(members(), depth)
     return "\n".join(n for n, _ in inner), meta | {"encrypted_members": locked}, [(n, t) for n, t in inner if t]
@@ -446,7 +452,7 @@ def zip_archive(data: bytes, name: str, depth: int) -> Result:
 @register(".tar .tgz .tbz2 .txz")
 def tar_archive(data: bytes, name: str, depth: int) -> Result:
     with tarfile.open(fileobj=io.BytesIO(data), mode="r|*") as t:
-        inner, meta = nested(((m.name, t.extractfile(m).read(MOST_MEMBER)) for m in t if m.isfile()), depth)
+        inner, meta = nested(((m.name, t.extractfile(m).read() if m.size <= MOST_MEMBER else None) for m in t if m.isfile()), depth)
     return "\n".join(n for n, _ in inner), meta, [(n, t) for n, t in inner if t]
 
 
