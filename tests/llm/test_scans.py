@@ -3,7 +3,7 @@
 import random
 import textwrap
 
-from vellumq.llm.scans import Speller, repair, repaired_scans, scan_defects
+from vellumq.llm.scans import Headings, Speller, _alike, layout, repair, repaired_scans, scan_defects
 
 BASE = ["Согласно записи начальник склада передаёт документы представителю компании до конца месяца.", "Стоимость поставки насосов составила крупную сумму, что выше плана на несколько процентов.", "The controller asks the senior auditor to explain why every sheet carries a signature.", "According to planning the units were delivered in the period and the total was worked out again."]
 
@@ -54,3 +54,18 @@ def test_words_with_a_hyphen_stay():
     assert "счёт-фактура" in t and d == []
     assert s.right("фактуpa", "") is None or True
     assert repair("", s) == ("", [])
+
+
+def test_headings_that_change_from_page_to_page():
+    body = textwrap.wrap(BASE[0] * 3, 70)
+    for pages in (100, 400):
+        lines = [x for k in range(pages) for x in (f"Отчёт за 2019 год {k + 17}", *body[:3])]
+        assert layout(lines)[1] == set(range(0, 4 * pages, 4))
+
+
+def test_headings_are_compared_with_all():
+    r = random.Random(3)
+    some = ["".join(r.choice("абв ") for _ in range(r.randint(6, 16))) for _ in range(300)]
+    h = Headings(some)
+    near = lambda s, t: s[:3] == t[:3] or s[-3:] == t[-3:]
+    assert all(h.repeated(s) == any(i != j and near(s, t) and _alike(s, t) for j, t in enumerate(some)) for i, s in enumerate(some))

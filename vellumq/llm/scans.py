@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from math import log
 
@@ -37,6 +37,8 @@ CONFUSIONS = [
 ]
 #: Cost above which a word is left alone.
 MOST_COST = 1.3
+#: Likeness from which two headings are the same one.
+LIKE = 0.84
 
 WORDS = re.compile(r"[^\W_]+(?:\.(?=[^\W\d_]{2}))?[^\W_]*")
 TOKEN = re.compile(r"[^\W_]+")
@@ -215,22 +217,15 @@ def layout(lines: list[str]) -> tuple[set[int], set[int]]:
     if not short:
         return numbers, set()
     first = min((i for i, x in enumerate(lines) if x.strip()), default=0)
-    near: dict[str, list[int]] = {}  # lines that share their beginning or their end are compared
-    for i, s in short.items():
-        near.setdefault(s[:3], []).append(i)
-        near.setdefault("$" + s[-3:], []).append(i)
-    same: dict[str, list[int]] = {}  # in a text of very many short lines, lines of the same outline
-    for i, s in short.items():
-        same.setdefault(outline(s), []).append(i)
+    heads = Headings(short.values())
     kept: dict[int, str] = {}
     for i, s in short.items():
-        some = {*near[s[:3]], *near["$" + s[-3:]]}
-        alike = [j for j in some if j != i and _alike(s, short[j])] if len(some) <= 150 else [j for j in same[outline(s)] if j != i]
+        repeated = heads.repeated(s)
         small = len(s) <= 0.62 * width
         marked, runs = _page_break(lines, i, numbers)
         inside = i + 1 < len(lines) and lines[i + 1].strip("\x0c \t") != ""
-        if alike:
-            is_head = i == first or first in alike or marked or (small and (runs or inside))
+        if repeated:
+            is_head = i == first or first in short and heads.same(s, short[first]) or marked or (small and (runs or inside))
         else:
             is_head = small and marked and runs
         if is_head:
@@ -238,30 +233,55 @@ def layout(lines: list[str]) -> tuple[set[int], set[int]]:
     return numbers, set(kept) if any(i != first for i in kept) else set()
 
 
-def _outlines() -> tuple[dict[int, str], list[tuple[str, str]]]:
-    """Characters that are confused with each other, as one of them."""
-    one: dict[str, str] = {}
-    find = lambda c: find(one[c]) if one.get(c, c) != c else c
-    for right, seen, _ in CONFUSIONS:
-        if len(seen) == 1:
-            a, b = find(right), find(seen)
-            if a != b:
-                one[b] = a
-    return {ord(c): find(c) for c in one}, [(seen, right) for right, seen, _ in CONFUSIONS if len(seen) == 2]
-
-
-_ONE, _TWO = _outlines()
-
-
-def outline(s: str) -> str:
-    """A heading with all characters that are confused with each other made one."""
-    for seen, right in _TWO:
-        s = s.replace(seen, right)
-    return s.translate(_ONE)
+class Headings:
+    """The different headings of a text and how many lines have each."""
+
+    def __init__(self, lines: Iterable[str]):
+        self.count = Counter(lines)
+        self.known: dict[str, bool] = {}
+        self.near: dict[str, list[str]] = {}  # headings that share their beginning or their end are compared
+        for s in self.count:
+            self.near.setdefault(s[:3], []).append(s)
+            self.near.setdefault("$" + s[-3:], []).append(s)
+        self.bags: dict[str, tuple[dict[str, int], np.ndarray, np.ndarray]] = {}
+
+    def bag(self, key: str) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+        """Columns of the characters, counts of characters and lengths of the headings with a key."""
+        if key not in self.bags:
+            some = self.near[key]
+            column = {c: k for k, c in enumerate(sorted(set("".join(some))))}
+            counts = np.zeros((len(some), len(column)), np.int16)
+            for row, s in enumerate(some):
+                for c in s:
+                    counts[row, column[c]] += 1
+            self.bags[key] = column, counts, np.array([len(s) for s in some])
+        return self.bags[key]
+
+    def same(self, s: str, t: str) -> bool:
+        """Whether a line with t is compared with one with s and is like it."""
+        return (s[:3] == t[:3] or s[-3:] == t[-3:]) and _alike(s, t)
+
+    def repeated(self, s: str) -> bool:
+        """Whether another line is like s. Only headings with too few characters in common to be like it are passed over, so nothing is lost."""
+        if s not in self.known:
+            self.known[s] = self.count[s] > 1 or any(self._found(s, key) for key in (s[:3], "$" + s[-3:]))
+        return self.known[s]
+
+    def _found(self, s: str, key: str) -> bool:
+        some = self.near[key]
+        if len(some) == 1:
+            return False
+        column, counts, lengths = self.bag(key)
+        mine = np.zeros(len(column), np.int16)
+        for c in s:
+            mine[column[c]] += 1
+        apart = np.abs(counts - mine).sum(axis=1)
+        rows = np.flatnonzero((np.abs(lengths - len(s)) <= 3) & (apart <= (1 - LIKE) * (lengths + len(s)) + 1e-6))
+        return any(some[k] != s and _alike(s, some[k]) for k in rows[np.argsort(apart[rows], kind="stable")])
 
 
 def _alike(s: str, t: str) -> bool:
-    return s == t or abs(len(s) - len(t)) <= 3 and SequenceMatcher(None, s, t, autojunk=False).ratio() >= 0.84
+    return s == t or abs(len(s) - len(t)) <= 3 and SequenceMatcher(None, s, t, autojunk=False).ratio() >= LIKE
 
 
 def _page_break(lines: list[str], i: int, numbers: set[int]) -> tuple[bool, bool]:
