@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from vellumq.functions.text import Matcher, matching, scorer, snippet
 from vellumq.operators import answers, classify, entities, fingerprints, graph, index, search, secrets, timeline
-from vellumq.operators.neardup import duplicate_groups, near_duplicates
 from vellumq.sources import extract, sinks
 
 
@@ -90,9 +89,10 @@ class Index:
     def crypto(self) -> DataFrame:
         return secrets.artifacts(self.files, "id", "extracted_text")
 
-    def dedup(self, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-        """The report of equal texts, and a row per document with its class and links."""
-        return fingerprints.report(fingerprints.fingerprints(self.files, "id", "extracted_text")), duplicate_groups(*near_duplicates(self.files, threshold))
+    def dedup(self, threshold: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The report of equal texts, and the near pairs between classes of equal sketches with the members of the classes."""
+        members, pairs = fingerprints.near_pairs(self.files, "id", "extracted_text", threshold)
+        return fingerprints.report(fingerprints.fingerprints(self.files, "id", "extracted_text")), members, pairs
 
     def timeline(self) -> DataFrame:
         return timeline.timeline(self.files).orderBy("date", "id", "pos")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from vellumq.functions.text import let
+from vellumq.session import cut
 
 #: Words of a shingle, least words of a text, hashes of a sketch.
 SHINGLE, LEAST, SKETCH = 5, 10, 256
@@ -87,3 +88,28 @@ def report(prints: DataFrame) -> DataFrame:
         F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("unique_texts"), F.count(F.when(F.col("n") > 1, 1)).alias("groups"),
         F.coalesce(F.sum((F.col("n") - 1) * F.col("size")), F.lit(0)).alias("wasted_bytes"),
     )
+
+
+def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, hasher=F.xxhash64) -> tuple[DataFrame, DataFrame]:
+    """``(members, pairs)``: members ``id, rep`` and pairs ``a < b, similarity`` of representatives whose sketches are that similar.
+
+    Texts with equal sketches have one representative, the smallest id. Two sketches can reach the threshold only if they share one of their rarest
+    ``n - ceil(threshold * n) + 1`` hashes, so candidates come from an equi-join on those; hashes that one class alone has are left out
+    first. The similarity is that of the sketches, rounded to four digits. Texts of less than ten words and nulls are in neither;
+    repeated rows of an id count once.
+    """
+    x = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), sketch(words(F.col(text_col)), hasher).alias("s")).where(F.size("s") > 0)
+    x = cut(x.dropDuplicates(["id"]).withColumn("key", F.xxhash64("s")))
+    classes = cut(x.groupBy("key", "s").agg(F.min("id").alias("rep")))
+    members = x.select("id", "key", "s").join(classes, ["key", "s"]).select("id", "rep")
+    each = classes.select("rep", F.size("s").alias("n"), F.explode("s").alias("h"))
+    shared = each.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    # the place of a hash in the order by rarity: hashes of one class alone come first and lead nowhere
+    order = each.join(shared, "h").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("m", "h"))).alias("o"))
+    room = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("o"))
+    front = order.where(room > 0).select("rep", F.explode(F.slice("o", F.lit(1), room.cast("int"))).alias("x")).select("rep", "x.h")
+    one, two = front.select("h", F.col("rep").alias("a")), front.select("h", F.col("rep").alias("b"))
+    could = one.join(two, "h").where("a < b").select("a", "b").distinct()
+    both = could.join(classes.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(classes.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
+    scored = both.select("a", "b", sketch_similarity(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    return members, scored.withColumn("similarity", F.round("similarity", 4))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumq.operators.numbering import dense_numbers
+
 META = ["id", "path", "filename", "extension", "size", "mtime", "hash_md5", "indexed_at"]
 ENTITY_MAP = "map<string,array<string>>"
 
@@ -172,8 +174,6 @@ def upsert(files: DataFrame, updates: DataFrame) -> DataFrame:
 
     ``updates`` has the columns of ``files`` but id. New ids follow the order of path within partitions and need no global sort.
     """
-    from vellumq.operators.cooccur import dense_numbers
-
     base = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
     known = files.select("path", "id").distinct()
     u = updates.join(known, "path", "left")

@@ -15,7 +15,6 @@ from vellumq.operators import search as S
 from vellumq.operators import secrets as P
 from vellumq.operators import timeline as D
 from vellumq.operators import vectors as V
-from vellumq.operators.neardup import near_duplicates
 from vellumq.session import cut, table
 
 QUERIES: dict = {}
@@ -370,11 +369,14 @@ def dup_simhash(spark, sf):
     return x.select("id", U.simhash("h").alias("simhash"))
 
 
-@query()
+@query(f"""WITH {_WORDS}, k AS (SELECT id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: substr(md5(array_to_string(w[i:i+4], ' ')), 1, 16))))[1:256] s FROM w WHERE len(w) >= 10),
+c AS (SELECT min(id) rep, s FROM k GROUP BY s), e AS (SELECT rep, unnest(s) h FROM c), p AS (SELECT DISTINCT x.rep a, y.rep b FROM e x JOIN e y ON x.h = y.h AND x.rep < y.rep),
+u AS (SELECT a, b, x.s sa, y.s sb, list_intersect(x.s, y.s) i, list_sort(list_distinct(list_concat(x.s, y.s))) v FROM p JOIN c x ON x.rep = a JOIN c y ON y.rep = b),
+j AS (SELECT a, b, CASE WHEN len(sa) < 256 AND len(sb) < 256 THEN len(i) / len(v) ELSE len(list_intersect(v[1:256], i)) / len(v[1:256]) END similarity FROM u)
+SELECT a, b, round(similarity, 4) similarity FROM j WHERE similarity >= 0.8""")
 def dup_near(spark, sf):
-    """Near-duplicate pairs of different texts at 0.8, between class representatives."""
-    members, near = near_duplicates(files(spark, sf), threshold=0.8)
-    return near
+    """Near pairs of different texts at 0.8, between class representatives."""
+    return U.near_pairs(files(spark, sf), "id", "extracted_text", 0.8, hasher=lambda x: F.substring(F.md5(x), 1, 16))[1]
 
 
 # ------------------------------------------------------------------ dates and entities
