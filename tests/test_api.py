@@ -16,8 +16,8 @@ def test_folder(spark, tmp_path):
     assert {r["filename"] for r in x.scan("договоры поставки").collect()} == {"contract.txt", "copy.txt"}
     assert [r["path"].rpartition("/")[2] for r in x.search("сервер").collect()] == ["memo.txt"]
     assert x.status().first()["n_files"] == 3 and {r["category"] for r in x.classify().collect()} == {"юридический", "техническая"}
-    exact, groups = x.dedup()
-    assert exact.first()["groups"] == 1 and groups.where("copies = 2").count() == 2
+    exact, members, pairs = x.dedup()
+    assert exact.first()["groups"] == 1 and members.groupBy("rep").count().where("count = 2").count() == 1 and pairs.count() == 0
     assert "2024-03-15" in {str(r["date"]) for r in x.timeline().collect()}
     nodes, edges = x.graph()
     assert nodes.count() >= 4 and edges.count() >= 3
