@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from vellumq.functions.words import words
 from vellumq.learn.gbt import Boosted, fit
-from vellumq.llm.encoding import Restorer, model
+from vellumq.llm.encoding import Restorer, prepared
 from vellumq.session import bound_arrow, cut
 
 PARTS = ["new", "quoted", "signature", "disclaimer"]
@@ -309,9 +309,9 @@ def decide(bs: list[dict], scores: np.ndarray) -> list[int]:
     return part
 
 
-def _prepare(logp):
+def _prepare(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fix = Restorer(logp.value, [])
+        fix = Restorer(*shared.value)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for i, t in zip(*(c.to_pylist() for c in batch.columns)):
@@ -396,7 +396,7 @@ def newly_written(results: DataFrame, id_col: str = "result_id", text_col: str =
     bound_arrow(spark)
     x = results.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null and text <> ''")
     b = spark.sparkContext.broadcast
-    mail = cut(x.mapInArrow(_prepare(b(model(x))), "id bigint, sender string, address string, subject string, body string").dropDuplicates(["id"]))
+    mail = cut(x.mapInArrow(_prepare(b(prepared(x))), "id bigint, sender string, address string, subject string, body string").dropDuplicates(["id"]))
     keys = mail.mapInArrow(_keys, "id bigint, kind int, key bigint").distinct()
     # a key of a third of all mails is counted with partial sums; the join back is on (kind, key), which AQE splits
     often = keys.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1")
