@@ -1,11 +1,13 @@
 """Near-duplicates against brute force over sets of 5-grams."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 
 from vellumq.functions.words import words
-from vellumq.llm.neardup import all_pairs, duplicate_groups, near_duplicates, prefix_size
+from vellumq.llm.neardup import all_pairs, band_of, bitmap, duplicate_groups, near_duplicates, prefix_size, trie_join
 
 SCHEMA = "id bigint, extracted_text string, text string, rep int, n string, sig int, a int, b int"
 
@@ -33,13 +35,13 @@ def corpus():
     return docs
 
 
-@pytest.mark.parametrize("threshold", [0.7, 0.8])
-def test_against_brute_force(spark, threshold):
+@pytest.mark.parametrize("threshold,hot", [(0.7, 256), (0.8, 256), (0.7, 2), (0.8, 9)])
+def test_against_brute_force(spark, threshold, hot):
     docs = corpus()
     df = spark.createDataFrame([(i, t, "x", 1, "y", 2, 3, 4) for i, t in [*docs.items(), *list(docs.items())[:20]]], SCHEMA)
     sets = {i: g for i, t in docs.items() if t and (g := grams(t))}
     want = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])}
-    members, links = near_duplicates(df, threshold)
+    members, links = near_duplicates(df, threshold, hot=hot)
     got = [(x["id1"], x["id2"]) for x in all_pairs(members, links).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     groups = {x["id"]: x for x in duplicate_groups(members, links).collect()}
@@ -55,5 +57,24 @@ def test_empty(spark):
     assert members.count() == 0 and links.count() == 0
 
 
+def test_long_sequences_are_inserted_once():
+    n, docs = 3000, 3
+    doc, gram = np.repeat(np.arange(docs), n), np.tile(np.arange(n), docs)
+    began = time.time()
+    got = sorted(trie_join(doc, gram, gram, np.full(docs, n), 0.7))
+    assert got == [(0, 1, n), (0, 2, n), (1, 2, n)] and time.time() - began < 2
+
+
+def test_bands_and_bitmaps_lose_nothing():
+    r = np.random.default_rng(4)
+    for t in (0.7, 0.8):
+        assert all(band_of(b, t) - band_of(a, t) in (0, 1) for b in range(5, 400) for a in range(int(np.ceil(t * b)), b + 1))
+        for _ in range(50):
+            a = np.unique(r.integers(0, 1 << 60, 80).astype(np.uint64))
+            b = np.union1d(a[r.integers(0, 20) :], r.integers(0, 1 << 60, 9).astype(np.uint64))
+            x, y = (np.frombuffer(bitmap(s, 14, t), np.uint8) for s in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_prefix_size():
     assert prefix_size(10, 0.7) == 4 and prefix_size(1, 0.8) == 1
