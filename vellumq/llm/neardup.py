@@ -16,6 +16,7 @@ Equal sets are joined into one class before, so that copies are never compared w
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from math import ceil, log, log2
 
@@ -87,7 +88,7 @@ def _sets(least_words: int):
         for at in range(0, len(used), 64):
             some = used[at : at + 64]
             none = [None] * len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((none, none, none, [blocks[i].tobytes() for i in some], some), types)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((none, none, none, [zlib.compress(blocks[i].tobytes(), 1) for i in some], some), types)], names)
 
     return run
 
@@ -97,7 +98,7 @@ def _add_blocks(noise: float):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in _texts(batch):
-                c = np.frombuffer(counts, np.uint32).astype(np.uint64)
+                c = np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.uint64)
                 total[block] = total[block] + c if block in total else c
         if total:
             scaled = [np.where(c == 1, ONCE, np.clip(np.round(8 * np.log2(np.maximum(c - noise, 0) + 1.0)), ONCE + 1, 255)).astype(np.uint8).tobytes() for c in total.values()]
@@ -372,7 +373,7 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(part):
             bits = np.zeros(1 << 16, bool)
             bits[part & 0xFFFF] = True
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[0] >> 16)], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["block", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[0] >> 16)], pa.int32()), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["block", "bits"])
 
 
 def _wanted(bits):
@@ -425,7 +426,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "id", t
     bits = np.zeros(1 << (WANTED_BITS - 3), np.uint8)
     for r in could.select("sa", "sb").mapInArrow(_slots, "block int, bits binary").toLocalIterator():
         at = r["block"] << 13
-        bits[at : at + 8192] |= np.frombuffer(r["bits"], np.uint8)
+        bits[at : at + 8192] |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     full = sets.select("sig", "grams").mapInArrow(_wanted(spark.sparkContext.broadcast(bits)), "sig binary, grams binary").groupBy("sig").agg(F.first("grams").alias("grams"))
     full = cut(full)
     both = could.join(full.select(F.col("sig").alias("sa"), F.col("grams").alias("g_a")), "sa").join(full.select(F.col("sig").alias("sb"), F.col("grams").alias("g_b")), "sb")
