@@ -67,11 +67,11 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, str]]:
 
 
 def _sets(least_words: int):
-    """Of each text its id, the hash and the size of its set and the set itself; at the end of a partition the counts of the sketch, by blocks."""
+    """Of each text its id, the hash and the size of its set; at the end of a partition the counts of the sketch, by blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, count, mask = Grams(), np.zeros(SLOTS, np.uint32), np.uint64(SLOTS - 1)
-        names = ["id", "sig", "n", "grams", "block"]
+        names = ["id", "sig", "n", "counts", "block"]
         types = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32())
         for batch in batches:
             rows = []
@@ -81,7 +81,7 @@ def _sets(least_words: int):
                     rows.append((i, xxhash.xxh3_128_digest(s.tobytes()), len(s), s))
             if rows:
                 np.add(count, np.bincount((np.concatenate([r[3] for r in rows]) & mask).astype(np.int32), minlength=SLOTS).astype(np.uint32), out=count)
-                cols = [*list(zip(*rows))[:3], [r[3].tobytes() for r in rows], [None] * len(rows)]
+                cols = [*list(zip(*rows))[:3], [None] * len(rows), [None] * len(rows)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
         blocks = count.reshape(-1, BLOCK)
         used = np.flatnonzero(blocks.any(axis=1))
@@ -112,7 +112,7 @@ def frequency_classes(sets: DataFrame, noise: float) -> np.ndarray:
 
     4 MB whatever the input: it only fixes the global order and which n-grams are dealt by blocks, so collisions cost time, never pairs.
     """
-    counts = sets.where("block is not null").select("block", F.col("grams").alias("counts"))
+    counts = sets.where("block is not null").select("block", "counts")
     out = np.zeros(SLOTS, np.uint8)
     for row in counts.repartition("block").mapInArrow(_add_blocks(noise), "block int, counts binary").collect():
         out[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], np.uint8)
@@ -147,18 +147,18 @@ RECORD = np.dtype([("gram", "<u8"), ("sig", "V16"), ("n", "<i4"), ("place", "<i4
 GUEST, SECOND = 1, 2
 
 
-def _deal(parts: int, threshold: float, hot: int, classes):
-    """The prefixes of sets, dealt over parts: ``part, band, records, bits``; band is -1 for what goes into the trie."""
+def _deal(least_words: int, parts: int, threshold: float, hot: int, classes):
+    """The prefixes of the sets of texts, dealt over parts: ``part, band, records, bits``; band is -1 for what goes into the trie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, mask = classes.value, np.uint64(SLOTS - 1)
+        grams, table, mask = Grams(), classes.value, np.uint64(SLOTS - 1)
         hot_class = 8 * log2(hot + 1)
         for batch in batches:
-            sets = dict(zip(batch.column("sig").to_pylist(), batch.column("grams").to_pylist()))  # of equal sets in a batch one goes on
+            made = (grams(t, least_words) for _, t in _texts(batch))
+            sets = {xxhash.xxh3_128_digest(s.tobytes()): s for s in made if s is not None}  # of equal sets in a batch one goes on
             plain: list[np.ndarray] = []
             groups: dict[tuple[int, int], list[tuple]] = {}
-            for sig, raw in sets.items():
-                s = np.frombuffer(raw, np.uint64)
+            for sig, s in sets.items():
                 n = len(s)
                 c = table[(s & mask).astype(np.int64)]
                 order = np.lexsort((s, c))[: prefix_size(n, threshold)]
@@ -359,16 +359,12 @@ def _join(threshold: float):
     return run
 
 
-#: Bits of the set hashes in the bitmap of those that are verified.
+#: Bits of the row keys in the bitmap of those that are verified.
 WANTED_BITS = 28
 
 
-def _slots_of(sigs: list[bytes]) -> np.ndarray:
-    return (np.frombuffer(b"".join(sigs), "<u8")[::2] & np.uint64((1 << WANTED_BITS) - 1)).astype(np.int64)
-
-
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    slots = np.unique(np.concatenate([np.empty(0, np.int64), *(_slots_of(b.column(k).to_pylist()) for b in batches for k in (0, 1))]))
+    slots = np.unique(np.concatenate([np.empty(0, np.int64), *(b.column(0).to_numpy() & ((1 << WANTED_BITS) - 1) for b in batches)]))
     for part in np.split(slots, np.flatnonzero(np.diff(slots >> 16)) + 1):
         if len(part):
             bits = np.zeros(1 << 16, bool)
@@ -376,12 +372,17 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([int(part[0] >> 16)], pa.int32()), pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["block", "bits"])
 
 
-def _wanted(bits):
+def _full_sets(least_words: int, bits):
+    """The sets of the texts whose row key is in a bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = bits.value
+        grams, there = Grams(), bits.value
         for batch in batches:
-            at = _slots_of(batch.column("sig").to_pylist())
-            yield batch.filter(pa.array((there[at >> 3] & (128 >> (at & 7)).astype(np.uint8)) != 0))
+            at = batch.column("key").to_numpy() & ((1 << WANTED_BITS) - 1)
+            some = batch.filter(pa.array((there[at >> 3] & (128 >> (at & 7)).astype(np.uint8)) != 0))
+            made = (grams(t, least_words) for t in some.column("text").to_pylist())
+            sets = {xxhash.xxh3_128_digest(raw): raw for s in made if s is not None for raw in (s.tobytes(),)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.binary()), pa.array(list(sets.values()), pa.binary())], ["sig", "grams"])
 
     return run
 
@@ -404,7 +405,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "id", t
     spark = df.sparkSession
     bound_arrow(spark)
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    every = cut(docs.mapInArrow(_sets(least_words), "id bigint, sig binary, n int, grams binary, block int"))
+    every = cut(docs.mapInArrow(_sets(least_words), "id bigint, sig binary, n int, counts binary, block int"))
     sets = every.where("id is not null")
     total = sets.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("grams")).first()
     noise = total["grams"] / SLOTS
@@ -414,7 +415,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "id", t
     members = sets.select("id", "sig").distinct().join(reps, "sig").select("id", "rep", "n")
     # a part holds its n-grams in one worker, so there are more of them for more n-grams
     parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, int((total["grams"] * (1 - threshold) + total["docs"]) / PART))
-    dealt = sets.select("sig", "grams").mapInArrow(_deal(parts, threshold, hot, classes), "part int, band int, records binary, bits binary")
+    dealt = docs.mapInArrow(_deal(least_words, parts, threshold, hot, classes), "part int, band int, records binary, bits binary")
     met = dealt.repartition(parts, "part").mapInArrow(_join(threshold), "sa binary, sb binary, n_a int, n_b int, c int")
     rest = lambda n: F.ceil(threshold * F.col(n) - 1e-9) - 1  # noqa: E731  n-grams behind the prefix
     could = (
@@ -422,13 +423,14 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "id", t
         .where(F.col("c") + F.greatest(rest("n_a"), rest("n_b")) >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9)
     )
     could = cut(could.select("sa", "sb", "n_a", "n_b"))
-    # the sets to verify are found by a bitmap of fixed size (32 MB) before they are joined
+    # the texts whose sets are verified are found by a bitmap of fixed size (32 MB)
+    wanted = could.select(F.explode(F.array("sa", "sb")).alias("sig")).distinct().join(reps, "sig").select(F.xxhash64("rep").alias("key"))
     bits = np.zeros(1 << (WANTED_BITS - 3), np.uint8)
-    for r in could.select("sa", "sb").mapInArrow(_slots, "block int, bits binary").toLocalIterator():
+    for r in wanted.mapInArrow(_slots, "block int, bits binary").toLocalIterator():
         at = r["block"] << 13
         bits[at : at + 8192] |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    full = sets.select("sig", "grams").mapInArrow(_wanted(spark.sparkContext.broadcast(bits)), "sig binary, grams binary").groupBy("sig").agg(F.first("grams").alias("grams"))
-    full = cut(full)
+    shared = spark.sparkContext.broadcast(bits)
+    full = docs.select(F.xxhash64("id").alias("key"), "text").mapInArrow(_full_sets(least_words, shared), "sig binary, grams binary").groupBy("sig").agg(F.first("grams").alias("grams"))
     both = could.join(full.select(F.col("sig").alias("sa"), F.col("grams").alias("g_a")), "sa").join(full.select(F.col("sig").alias("sb"), F.col("grams").alias("g_b")), "sb")
     checked = both.mapInArrow(_verify, "sa binary, sb binary, n_a int, n_b int, shared int")
     union = F.col("n_a") + F.col("n_b") - F.col("shared")
