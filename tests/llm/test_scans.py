@@ -3,7 +3,7 @@
 import random
 import textwrap
 
-from vellumq.llm.scans import Headings, Speller, _alike, layout, repair, repaired_scans, scan_defects
+from vellumq.llm.scans import Facts, Headings, _alike, deletes, keys_of_lexicon, keys_of_seen, lay_out, layout, repair, repaired_scans, scan_defects, within
 
 BASE = ["Согласно записи начальник склада передаёт документы представителю компании до конца месяца.", "Стоимость поставки насосов составила крупную сумму, что выше плана на несколько процентов.", "The controller asks the senior auditor to explain why every sheet carries a signature.", "According to planning the units were delivered in the period and the total was worked out again."]
 
@@ -49,11 +49,34 @@ def test_defects_and_repair(spark):
 
 
 def test_words_with_a_hyphen_stay():
-    s = Speller({"счет": 50, "фактура": 40, "счета": 9, "фактуры": 30}, {})
-    t, d = repair("Нужна счёт-\nфактура на оплату", s)
+    known = Facts([(w, None, n, None, None) for w, n in {"счет": 50, "фактура": 40, "счета": 9, "фактуры": 30}.items()])
+    t, d = repair(*lay_out("Нужна счёт-\nфактура на оплату"), known)
     assert "счёт-фактура" in t and d == []
-    assert s.right("фактуpa", "") is None or True
-    assert repair("", s) == ("", [])
+    assert repair(*lay_out(""), known) == ("", [])
+    t, d = repair(*lay_out("Нужна по-\nставка на склад\n\nНовый абзац"), Facts([("поставка", None, 9, None, None)]))
+    assert t == "Нужна поставка на склад\n\nНовый абзац" and d == ["hyphenation"]
+
+
+def test_the_word_before_chooses():
+    facts = Facts([("кaт", "черный", 0, "кот", "кит"), ("кaт", "синий", 0, "кит", "кит")])
+    assert repair("0Чёрный кaт и синий Кaт, просто кaт", [], facts) == ("Чёрный кот и синий Кит, просто кит", ["misread"])
+
+
+def test_index_reaches_all_words_within_the_edits():
+    r = random.Random(7)
+    word = lambda n: "".join(r.choice("абвгд") for _ in range(n))
+    for n in [*range(4, 30), 60, 200]:
+        for _ in range(20):
+            right = word(n)
+            seen = list(right)
+            for _ in range(r.randint(0, 1)):
+                del seen[r.randrange(len(seen))]
+            for _ in range(r.randint(0, 2 if n > 5 else 1)):
+                seen.insert(r.randint(0, len(seen)), r.choice("xyz"))
+            seen = "".join(seen)
+            if len(seen) >= 3 and (len(seen) > 4 or deletes(seen, 1) & deletes(right, 1)):
+                assert within(seen, right) and keys_of_seen(seen) & keys_of_lexicon(right), (seen, right)
+    assert not within("абвгдежз", "абзгдхжу") and within("tliat", "that") and not within("абв", "абвгде")
 
 
 def test_headings_that_change_from_page_to_page():
