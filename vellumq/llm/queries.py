@@ -136,6 +136,31 @@ s AS (SELECT id, count(*) n FROM g GROUP BY id),
 c AS (SELECT x.id id1, y.id id2, count(*) c FROM g x JOIN g y ON x.h = y.h AND x.id < y.id GROUP BY ALL)
 """
 
+_WS = "(' ', chr(9), chr(10), chr(13), chr(12))"
+_AT = "list_max(list_filter(range(s + {low}, least(s + {high}, n) + 1), lambda p: {cond}))"
+_NL = "coalesce(a[{0}] = chr(10), false)"
+_SPACE = f"coalesce(a[{{0}}] IN {_WS}, false)"
+_STOP = "coalesce(a[{0}] IN ('.', '!', '?', '…'), false)"
+_nl, _sp, _st = _NL.format, _SPACE.format, _STOP.format
+_CUT = f"""coalesce(
+  CASE WHEN n - s <= 3800 THEN n END,
+  {_AT.format(low=200, high=3800, cond=f"{_nl('p')} AND {_nl('p - 1')} AND NOT {_nl('p + 1')}")},
+  CASE WHEN n - s <= 4000 THEN n END,
+  {_AT.format(low=1, high=4000, cond=f"({_nl('p')} AND {_nl('p - 1')}) OR ({_nl('p + 1')} AND {_nl('p + 2')}) OR ({_nl('p')} AND {_nl('p + 1')})")},
+  {_AT.format(low=200, high=3800, cond=f"{_sp('p')} AND NOT {_sp('p + 1')} AND ({_st('p - 1')} OR ({_sp('p - 1')} AND ({_st('p - 2')} OR ({_sp('p - 2')} AND {_st('p - 3')}))))")},
+  {_AT.format(low=1, high=4000, cond=f"{_st('p')} AND {_sp('p + 1')}")},
+  CASE WHEN {_st('s')} AND {_sp('s + 1')} THEN least(s + 4000, s + coalesce(list_min(list_filter(range(1, 4001), lambda k: NOT {_sp('s + k + 1')})), 4000)) END,
+  {_AT.format(low=200, high=3800, cond=f"{_sp('p')} AND NOT {_sp('p + 1')}")},
+  {_AT.format(low=1, high=4000, cond=f"{_sp('p')} OR {_sp('p + 1')}")},
+  s + 3800)"""
+_PIECES = f"""WITH RECURSIVE b AS (SELECT DISTINCT id, string_split(extracted_text, '') a, length(extracted_text) n FROM files WHERE length(extracted_text) > 4000),
+r AS (SELECT id, a, n, 0::BIGINT s, NULL::BIGINT e, 0 no FROM b UNION ALL SELECT id, a, n, e, {_CUT.replace("(s ", "(e ").replace("s +", "e +").replace("n - s", "n - e").replace("a[s]", "a[e]")}, no + 1 FROM (SELECT id, a, n, coalesce(e, 0) e, no FROM r) WHERE e < n),
+c AS (SELECT id, no, s, array_to_string(a[s + 1:e], '') core, lag(array_to_string(a[s + 1:e], '')) OVER (PARTITION BY id ORDER BY no) before, count(*) OVER (PARTITION BY id) n_pieces FROM r WHERE no > 0),
+v AS (SELECT *, least(200, 4000 - length(core)) room FROM c),
+w AS (SELECT *, regexp_extract(right(before, room + 1), '(?s)[ \t\n\r\f]([^ \t\n\r\f].*)$', 1) words FROM v),
+t AS (SELECT *, CASE WHEN before IS NULL THEN '' WHEN length(before) <= room THEN before WHEN words <> '' THEN words WHEN room > 0 THEN right(before, room) ELSE '' END tail FROM w)
+SELECT t.id, f.boundary, no::BIGINT piece_no, n_pieces, s AS start, length(tail) AS overlap, tail || core piece FROM t JOIN ({{boundary}}) f ON f.id = t.id"""
+
 SQL = {
     "p2_found": f"SELECT entity1, entity1_type, entity2, entity2_type FROM ({_PAIRS}) WHERE n12 * n_files >= 8 * n1 * n2",
     "p2_strength": f"""SELECT *, round(n12 * n_files / (n1 * n2), 6) lift,
@@ -150,3 +175,4 @@ SELECT id, CASE
     "p7_found": f"""WITH {_GRAMS} SELECT id1, id2 FROM c JOIN s a ON a.id = id1 JOIN s b ON b.id = id2 WHERE c >= 0.7 * (a.n + b.n - c)""",
     "p8_found": f"{_RUNS} SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (h)",
 }
+SQL["p4_pieces"] = _PIECES.replace("{boundary}", SQL["p4_found"])

@@ -1,9 +1,11 @@
 """Splitting oversized texts at natural boundaries, with overlap.
 
 One Java regular expression with bounded quantifiers cuts a text from left to right. Its alternatives
-stand in the order of boundary strength (paragraph, sentence, word, any character); each consumes as
-much as fits below the limit. SQL array functions then put the last ``overlap`` characters of the
-piece before in front of each piece. All of it stays in the JVM, in one pass without a shuffle.
+stand in the order of boundary strength (paragraph, sentence, word, any character), each with a group of its own; each consumes as
+much as fits below the limit. A stronger boundary is left only if none is within the limit, so the weakest group that was needed for a text is
+also the first kind of boundary that leaves no unit above the limit. SQL array functions then put the end of the
+piece before in front of each piece, as far as the limit leaves room, from the start of a word on. All of it stays in the JVM, in one
+pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -15,22 +17,24 @@ from vellumq.functions.text import let
 
 #: White space of the boundary rules: space, tab, newline, carriage return, form feed.
 SPACE = r"[ \t\n\r\f]"
-PARAGRAPH = r"\n{2,}"
-SENTENCE = rf"(?:\n{{2,}}|(?<=[.!?…]){SPACE}+)"
-WORD = rf"{SPACE}+"
+END = "[.!?…]"
+SENTENCE = rf"(?:\n{{2,}}|(?<={END}){SPACE}+)"
+NAMES = ["paragraph", "sentence", "word", "none"]
 
 
 def cut_pattern(limit: int, overlap: int) -> str:
-    """The extraction pattern. Every core but the last is at least ``overlap`` characters long."""
+    """The extraction pattern; its groups 1 to 3 are paragraph, sentence and word.
+
+    In each group cuts that leave room for the overlap and come behind the white space are preferred; the others are any place at the
+    white space within the limit.
+    """
     room = limit - overlap
     least = max(1, min(overlap, room - 1))
-    return (
-        rf"(?s).{{1,{room}}}\z"
-        rf"|.{{{least},{room}}}(?<=\n\n)(?!\n)"
-        rf"|.{{{least},{room}}}(?<=[.!?…]{SPACE})(?!{SPACE})"
-        rf"|.{{{least},{room}}}(?<={SPACE})(?!{SPACE})"
-        rf"|.{{1,{room}}}"
-    )
+    near, far = rf".{{{least},{room}}}", rf".{{1,{limit}}}"
+    paragraph = rf".{{1,{room}}}\z|{near}(?<=\n\n)(?!\n)|{far}\z|{far}(?:(?<=\n\n)|(?=\n\n)|(?<=\n)(?=\n))"
+    sentence = rf"{near}(?<={END}{SPACE}{{1,3}})(?!{SPACE})|{far}(?<={END})(?={SPACE})|(?<={END}){SPACE}{{1,{limit}}}"
+    word = rf"{near}(?<={SPACE})(?!{SPACE})|{far}(?:(?<={SPACE})|(?={SPACE}))"
+    return rf"(?s)({paragraph})|({sentence})|({word})|.{{1,{room}}}"
 
 
 def fits(text: Column, separator: str, limit: int) -> Column:
@@ -39,56 +43,59 @@ def fits(text: Column, separator: str, limit: int) -> Column:
     return F.aggregate(units, F.lit(0), lambda n, x: n + F.char_length(x)) == F.char_length(text)
 
 
-def boundary_of(text: Column, limit: int) -> Column:
-    """The strongest boundary that leaves no unit above the limit: paragraph, sentence, word or none."""
-    return (
-        F.when(fits(text, PARAGRAPH, limit), "paragraph")
-        .when(fits(text, SENTENCE, limit), "sentence")
-        .when(fits(text, WORD, limit), "word")
-        .otherwise("none")
-    )
-
-
 def split_oversized(df: DataFrame, id_col: str = "id", text_col: str = "extracted_text", limit: int = 4000, overlap: int = 200) -> DataFrame:
     """One row per oversized text: ``id, boundary, cores`` (array of strings, in order).
 
-    ``cores`` joined together are the text, each at most ``limit - overlap`` characters; see
-    :func:`pieces` for the pieces with their overlap. Texts that are null, empty or not above the limit
+    ``cores`` joined together are the text, each at most ``limit`` characters; see :func:`pieces` for the pieces with their overlap. ``boundary`` is the
+    weakest kind of boundary that the cuts needed. Texts that are null, empty or not above the limit
     give no row. Repeated rows of an id give repeated rows here. Other columns of ``df`` are ignored,
     whatever their names. ``overlap`` must be below half of the limit.
     """
     if not 0 <= overlap < limit / 2:
         raise ValueError("overlap must be at least 0 and below half of the limit")
     big = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")).where(F.char_length("_t") > limit)
-    return big.select(
-        "id",
-        boundary_of(F.col("_t"), limit).alias("boundary"),
-        F.regexp_extract_all(F.col("_t"), F.lit(cut_pattern(limit, overlap)), F.lit(0)).alias("cores"),
+    pattern = F.lit(cut_pattern(limit, overlap))
+    by = lambda k: F.regexp_extract_all("_t", pattern, F.lit(k))
+    cut = big.select("id", "_t", by(0).alias("cores"), *(by(k).alias(f"_{k}") for k in (1, 2, 3)))
+    used = lambda k: F.size(F.filter(f"_{k}", lambda x: x != ""))  # noqa: E731  cuts of a kind
+    # exact check of a run of white space behind a sentence that is itself above the limit
+    run = F.col("_t").rlike(rf"{END}{SPACE}{{{limit}}}") & fits(F.col("_t"), SENTENCE, limit)
+    boundary = (
+        F.when(used(1) == F.size("cores"), NAMES[0])
+        .when((used(1) + used(2) == F.size("cores")) | run, NAMES[1])
+        .when(used(1) + used(2) + used(3) == F.size("cores"), NAMES[2])
+        .otherwise(NAMES[3])
     )
+    return cut.select("id", boundary.alias("boundary"), "cores")
 
 
-def pieces(split: DataFrame, overlap: int = 200) -> DataFrame:
+def pieces(split: DataFrame, limit: int = 4000, overlap: int = 200) -> DataFrame:
     """Rows ``id, boundary, piece_no, n_pieces, start, overlap, piece`` from :func:`split_oversized`.
 
-    ``piece`` begins with the last ``overlap`` characters of the core before (none for the first piece);
-    ``start`` is the offset of the core in the text, from 0; ``overlap`` is the number of characters
-    that the piece shares with the one before.
+    ``piece`` begins with the end of the core before (none for the first piece): at most ``overlap`` characters and what the limit leaves,
+    from the first start of a word in them on, or all of them where no word starts. ``start`` is the offset of the core in
+    the text, from 0; ``overlap`` is the number of characters that the piece shares with the one before.
     """
     size = int(overlap)
 
+    def tail(before: Column, core: Column) -> Column:
+        room = F.least(F.lit(size), F.lit(int(limit)) - F.char_length(core))
+        words = F.regexp_extract(F.right(before, room + 1), rf"(?s){SPACE}([^ \t\n\r\f].*)$", 1)
+        return F.when(F.char_length(before) <= room, before).when(words != "", words).otherwise(F.when(room > 0, F.right(before, room)).otherwise(""))
+
     def rows(cores: Column) -> Column:
         lengths = F.transform(cores, lambda x: F.char_length(x).cast("bigint"))
-        tail = lambda i: F.when(i > 0, F.right(F.element_at(cores, i), F.lit(size))).otherwise(F.lit("")) if size else F.lit("")
+        tails = F.transform(cores, lambda x, i: F.when(i > 0, tail(F.element_at(cores, i), x)).otherwise(""))
         return let(
-            lengths,
-            lambda n: F.transform(
+            F.struct(lengths.alias("n"), tails.alias("t")),
+            lambda v: F.transform(
                 cores,
                 lambda x, i: F.struct(
                     (i + 1).cast("bigint").alias("piece_no"),
-                    F.size(n).cast("bigint").alias("n_pieces"),
-                    F.aggregate(F.slice(n, F.lit(1), i), F.lit(0).cast("bigint"), lambda a, y: a + y).alias("start"),
-                    F.least(F.lit(size), F.when(i > 0, F.element_at(n, i)).otherwise(0)).cast("bigint").alias("overlap"),
-                    F.concat(tail(i), x).alias("piece"),
+                    F.size(v["n"]).cast("bigint").alias("n_pieces"),
+                    F.aggregate(F.slice(v["n"], F.lit(1), i), F.lit(0).cast("bigint"), lambda a, y: a + y).alias("start"),
+                    F.char_length(v["t"][i]).cast("bigint").alias("overlap"),
+                    F.concat(v["t"][i], x).alias("piece"),
                 ),
             ),
         )
