@@ -1,7 +1,5 @@
 """Mails put together by the table's generator with another seed, and odd inputs."""
 
-import random
-
 import numpy as np
 
 from vellumq.llm import mail as M
@@ -41,4 +39,27 @@ def test_parts(spark):
 
 
 def test_generator_is_fixed():
-    assert M.labelled_mail(random.Random(1)) == M.labelled_mail(random.Random(1))
+    a, b = M.labelled_table(40), M.labelled_table(40)
+    assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+    assert a[0][:, M.N_OWN :].any(axis=0).all()  # counts over other mails are computed, all three occur
+
+
+def test_only_earlier_mails_of_the_thread_are_ancestors():
+    first, reply = M.blocks("Мы получили ваше письмо и ждём ответа сегодня."), M.blocks("Понял.\n\nМы получили ваше письмо и ждём ответа сегодня.")
+    c = M.Counts.over([("a", "счёт", 1.0, first), ("b", "счёт", 2.0, reply), ("c", "", 3.0, first), ("d", "склад", 3.0, first)])
+    assert c.features("a", "счёт", 1.0, first)[0, 2] == 0 and c.features("b", "счёт", 2.0, reply)[1, 2] == 1
+    assert c.features("c", "", 3.0, first)[0, 2] == 0 and c.features("b", "счёт", None, reply)[1, 2] == 0
+    assert c.features("d", "склад", 3.0, first)[0, 1] > 0  # the block itself is frequent
+
+
+def test_labels_by_structure():
+    bs = M.blocks("Мы получили ваше письмо и ждём ответа сегодня до шести часов вечера.\n\n> Когда?\n\n-- \nПётр Громов\n+7 900 000-11-22")
+    x = np.zeros((len(bs), M.N_OWN + 3))
+    assert M.structural_labels(bs, x)[:2] == [0, 1] and 2 in M.structural_labels(bs, x)
+    x[0, M.N_OWN + 2] = 1
+    assert M.structural_labels(bs, x)[0] == 1
+
+
+def test_dates_of_headers():
+    assert M.sent(["От: a", "Дата: Mon, 1 Jan 2024 10:00:00 +0300"]) < M.sent(["Date: Mon, 1 Jan 2024 10:00:00 +0000"])
+    assert M.sent(["Дата: вчера"]) is None and M.sent([]) is None

@@ -2,15 +2,18 @@
 
 A mail body is cut into blocks (paragraphs, cut again where the quote depth changes or a separator, an introduction
 or a closing line stands). Gradient-boosted trees classify each block as new, quoted, signature or disclaimer
-by contact density, quote depth, frequency of the block with its sender, overlap with other mails and the form of
-its lines. They are trained on a small labelled table of mails that a fixed generator puts together.
+by contact density, quote depth, frequency of the block with its sender, overlap with earlier mails of the thread and the form of
+its lines. They are trained on two labelled tables: threads of mails that a fixed generator puts together, whose counts over other mails are
+computed as those of real ones, and a bounded sample of the real mails, of which those blocks have a label that their
+structure gives away (marks of quotation, text found in an earlier mail of the thread, lines behind a separator, blocks repeated by a sender).
 """
 
 from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from email.utils import parsedate_to_datetime
 from math import log1p
 
 import numpy as np
@@ -27,9 +30,9 @@ from vellumq.session import bound_arrow, cut
 PARTS = ["new", "quoted", "signature", "disclaimer"]
 
 MARK = re.compile(r"((?:[>|](?!=)[ ]?)+)")
-BANNER = re.compile(r"-{2,}\s*[^\W\d_][^\n]*?-{2,}|_{5,}|={5,}|-- ?|-{10,}")
+BANNER = re.compile(r"-{2,}+\s*+[^\W\d_][^\n]*(?<=--)|_{5,}|={5,}|-- ?|-{10,}")
 HEADER = re.compile(r"[^\W\d_][\w .-]{0,24}: \S.*")
-NAME = re.compile(r"(?:[^\W\d_]+\.? )?(?:[A-ZА-ЯЁÄÖÜ][\w.'-]*[., ]*){1,4}")
+NAME = re.compile(r"(?:[^\W\d_]++\.? )?(?:[A-ZА-ЯЁÄÖÜ][\w.'-]*+[., ]*+){1,4}")
 CONTACT = re.compile(r"[\w.+-]+@[\w-]+\.[\w.-]+|\+?\d[\d ().-]{7,}\d|https?://\S+|www\.\S+")
 WHEN = re.compile(r"\d{1,2}[./]\d{1,2}[./]\d{2,4}|\d{4}-\d\d-\d\d|\d{1,2} [^\W\d_]{3,9}\.? \d{4}|[^\W\d_]{3,9} \d{1,2}, \d{4}")
 CLOCK = re.compile(r"\b\d{1,2}:\d\d\b")
@@ -40,6 +43,7 @@ LEGAL_START = re.compile(r"(?:внимание|disclaimer|hinweis|notice|confide
 LEGAL = re.compile(r"meant only|addressee|attachments|binding|без согласия|приложени\w* предназнач|author\b|ограниченного доступа|конфиденциальн|предназначен\w* только|адресат|получили .{0,20}ошибк|запрещен|оферт|обязательств .{0,40}|юридическ|distribution|confidential|intended (?:only|solely)|disclaimer|liability|privileged|received .{0,30}error|bestimmt|vertraulich|irrtümlich|rechtlich|verbindlich|haftung|unauthori[sz]ed|views expressed|вирус|virus|не является|copying|notify the sender|löschen|unbefugt", re.I)
 INTRO = re.compile(r"(?:wrote|writes|schrieb|пишет|писал|написал)\w*(?:\([^)]*\))?[^\n]{0,40}:\s*$|(?:original|forwarded|исходн|пересланн|пересыла|ursprüngliche|weitergeleitet)\w* (?:message|mail|сообщени|nachricht|письмо)|begin forwarded", re.I)
 SUBJECT = re.compile(r"(?:Тема|Subject|Betreff): ")
+DATE = re.compile(r"(?:Дата|Date|Datum|Sent|Gesendet|Отправлено): ")
 REPLY = re.compile(r"^(?:\s*(?:re|fwd?|aw|wg|отв|пер)\s*:)+", re.I)
 SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n")
 
@@ -72,7 +76,7 @@ def blocks(body: str) -> list[dict]:
                 here = None
             blank = True
             continue
-        banner = len(s) <= 200 and bool(BANNER.fullmatch(s))
+        banner = bool(BANNER.fullmatch(s))
         starts = banner or (len(s) < 110 and bool(INTRO.search(s))) or (len(s) <= 48 and len(s.split()) <= 6 and bool(CLOSING.match(s))) or (len(s) <= 64 and bool(DEVICE.match(s))) or bool(LEGAL_START.match(s) and (LEGAL.search(s) or len(s) < 100))
         if here is None or here["depth"] != depth or starts or (here["lines"] and here["closed"]):
             here = {"depth": depth, "lines": [], "blank": blank, "sep": sep, "closed": False}
@@ -107,7 +111,7 @@ def features(bs: list[dict], sender: str) -> np.ndarray:
         n = len(b["lines"])
         first, last = b["lines"][0], b["lines"][-1]
         contacts = len(CONTACT.findall(text))
-        name_lines = sum(len(x) <= 80 and bool(NAME.fullmatch(x)) for x in b["lines"])
+        name_lines = sum(bool(NAME.fullmatch(x)) for x in b["lines"])
         org_lines = sum(len(x) < 50 and bool(re.search(r"«.+»|\b(?:Ltd|LLC|Inc|PLC|Group|GmbH|AG|KG)\b\.?$", x)) for x in b["lines"])
         header_lines = sum(bool(HEADER.fullmatch(x)) for x in b["lines"])
         intro = bool(INTRO.search(first[:160])) or bool(INTRO.search(flat)) and n <= 3
@@ -121,11 +125,11 @@ def features(bs: list[dict], sender: str) -> np.ndarray:
         prev_closing = bool(prev and len(prev["lines"]) == 1 and len(prev_first) <= 48 and CLOSING.match(prev_first) and prev_first[-1] not in ".?")
         rows.append([
             b["depth"], n, len(flat), len(flat) / n, i, len(bs) - 1 - i, contacts / n, contacts, name_lines / n, org_lines / n,
-            header_lines / n, float(intro), float(when), float(intro and when), b["sep"], float(len(first) <= 200 and bool(BANNER.fullmatch(first))), float(closing), float(prev_closing), legal, legal / max(1, len(w)) * 10,
+            header_lines / n, float(intro), float(when), float(intro and when), b["sep"], float(bool(BANNER.fullmatch(first))), float(closing), float(prev_closing), legal, legal / max(1, len(w)) * 10,
             float(device), own, float(last[-1:] in ".!?"), float(last[-1:] == ":"), len(w), float(b["blank"]), float(bool(LEGAL_START.match(first))), quoted_before, float(bool(re.search(r"\b(?:не|not|nicht|kein)\b.{0,3} ?(?:конфиденц|confidential|vertraulich|geheim)", flat, re.I))),
             sum(c.isdigit() for c in flat) / max(1, len(flat)), float(len(first) < 48 and first[-1:] == ","),
         ])
-        if b["depth"] or intro and (when or header_lines or len(first) <= 200 and BANNER.fullmatch(first)):
+        if b["depth"] or intro and (when or header_lines or BANNER.fullmatch(first)):
             quoted_before = 1.0
     return np.array(rows, float).reshape(len(bs), N_OWN)
 
@@ -186,36 +190,63 @@ def _wrap(s: str, width: int) -> list[str]:
     return [*out, here]
 
 
-def labelled_mail(r: random.Random) -> tuple[str, list[tuple[str, str]]]:
-    """Sender and labelled stretches ``(part, text)`` of a mail of the table."""
-    t = _TABLE[r.choice(list(_TABLE))]
-    sender = r.choice(t["name"])
+class Sender:
+    """A sender of the labelled table, with signatures and notices of their own."""
+
+    def __init__(self, r: random.Random):
+        self.lang = r.choice(list(_TABLE))
+        t = _TABLE[self.lang]
+        self.name = r.choice(t["name"])
+        self.address = f"{r.choice(['info', 'p.grom', 'lowell77', 'anna'])}{r.randint(1, 999)}@{r.choice(['wind.example', 'oak.test'])}"
+        self.legal = r.choice(t["legal"])
+        self.phone = r.choice([f"+7 ({r.randint(900, 999)}) 000-{r.randint(10, 99)}-{r.randint(10, 99)}", f"0{r.randint(30, 90)} {r.randint(10000, 99999)} {r.randint(100, 999)}", f"+7{r.randint(9000000000, 9999999999)}"])
+        self.usual = r.random() < 0.5  # signs the same way always
+        self.rows: list[str] | None = None
+
+    def signature(self, r: random.Random) -> list[str]:
+        if self.usual and self.rows:
+            return self.rows
+        t = _TABLE[self.lang]
+        if r.random() < 0.25:
+            rows = [r.choice(t["device"])]
+        else:
+            rows = [self.name if r.random() < 0.5 else r.choice(t["name"])]
+            if r.random() < 0.6:
+                rows += [r.choice(t["org"]), r.choice([self.phone, self.address, f"{self.phone} | {self.address}"])]
+            if r.random() < 0.6:
+                rows = [r.choice(t["close"]), *([""] if r.random() < 0.5 else []), *rows]
+            else:
+                rows = [r.choice(["-- ", "--", "_" * r.randint(10, 30)]), *([r.choice(t["close"])] if r.random() < 0.4 else []), *rows]
+        self.rows = rows
+        return rows
+
+
+def labelled_mail(r: random.Random, sender: Sender, earlier: list[str]) -> list[tuple[str, str]]:
+    """Labelled stretches ``(part, text)`` of a mail of the table; it may quote paragraphs of the earlier mails of its thread."""
+    t = _TABLE[sender.lang]
     mail = lambda: f"{r.choice(['info', 'p.grom', 'lowell77', 'anna'])}@{r.choice(['wind.example', 'oak.test'])}"
     date = lambda: r.choice([f"{r.randint(1, 28):02d}.{r.randint(1, 12):02d}.20{r.randint(15, 25)}", f"{r.randint(1, 28)} {r.choice(['Mar', 'June', 'Oct'])} 20{r.randint(15, 25)}"])
-    phone = lambda: r.choice([f"+7 ({r.randint(900, 999)}) 000-{r.randint(10, 99)}-{r.randint(10, 99)}", f"0{r.randint(30, 90)} {r.randint(10000, 99999)} {r.randint(100, 999)}", f"+7{r.randint(9000000000, 9999999999)}"])
     fill = lambda s: s.format(d=date(), t=f"{r.randint(8, 19):02d}:{r.randint(0, 59):02d}", n=r.choice(t["name"]), m=mail())
-    para = lambda: " ".join(r.choice(t["new"]) for _ in range(r.randint(1, 5)))
+    fresh = lambda: " ".join(r.choice(t["new"]) for _ in range(r.randint(1, 5)))
+
+    def para() -> str:
+        here = fresh()
+        earlier.append(here)
+        return here
+
+    def old() -> str:
+        return r.choice(earlier) if earlier and r.random() < 0.5 else fresh()
 
     def signature() -> list[str]:
-        if r.random() < 0.25:
-            return [r.choice(t["device"])]
-        name = sender if r.random() < 0.5 else r.choice(t["name"])
-        rows = [name]
-        if r.random() < 0.6:
-            rows += [r.choice(t["org"]), r.choice([phone(), mail(), f"{phone()} | {mail()}"])]
-        kind = r.random()
-        if kind < 0.6:
-            gap = [""] if r.random() < 0.5 else []
-            return [r.choice(t["close"]), *gap, *rows]
-        return [r.choice(["-- ", "--", "_" * r.randint(10, 30)]), *([r.choice(t["close"])] if r.random() < 0.4 else []), *rows]
+        return (sender if r.random() < 0.8 else Sender(r)).signature(r)
 
     def quote(depth: int = 1) -> list[str]:
         mark = r.choice(["> ", ">", "| ", ">> "])
         inner: list[str] = []
         for _ in range(r.randint(1, 2)):
-            inner += [*_wrap(para().replace("\n>= ", " "), r.choice([60, 68])), ""]
+            inner += [*_wrap(old().replace("\n>= ", " "), r.choice([60, 68])), ""]
         if r.random() < 0.3:
-            inner += signature()
+            inner += Sender(r).signature(r)
         if r.random() < 0.25 and depth < 3:
             inner += [fill(r.choice(t["intro"])), *quote(depth + 1)]
         return [mark + x for x in inner if x or r.random() < 0.7]
@@ -235,44 +266,127 @@ def labelled_mail(r: random.Random) -> tuple[str, list[tuple[str, str]]]:
     gap = lambda: r.choice(["\n", "\n\n", "\n\n\n"])
     if r.random() < 0.5:
         out.append(("signature", gap() + "\n".join(signature()) + "\n"))
-    tail = [("disclaimer", lambda: gap() + "\n".join(_wrap(r.choice(t["legal"]), r.choice([70, 200]))) + "\n")] if r.random() < 0.35 else []
+    tail = [("disclaimer", lambda: gap() + "\n".join(_wrap(sender.legal if r.random() < 0.5 else r.choice(t["legal"]), r.choice([70, 200]))) + "\n")] if r.random() < 0.35 else []
     if not above and r.random() < 0.5:
         if r.random() < 0.6:
             tail.append(("quoted", lambda: gap() + fill(r.choice(t["intro"])) + r.choice(["\n", "\n\n"]) + "\n".join(quote()) + "\n"))
         else:
-            tail.append(("quoted", lambda: gap() + r.choice([r.choice(t["banner"]) + "\n", "", r.choice(t["banner"]) + "\n"]) + "\n".join(fill(x) for x in t["heads"][: r.randint(2, 4)]) + "\n\n" + para() + "\n"))
+            tail.append(("quoted", lambda: gap() + r.choice([r.choice(t["banner"]) + "\n", "", r.choice(t["banner"]) + "\n"]) + "\n".join(fill(x) for x in t["heads"][: r.randint(2, 4)]) + "\n\n" + old() + "\n"))
     r.shuffle(tail) if r.random() < 0.3 else None
-    return sender, out + [(p, f()) for p, f in tail]
+    return out + [(p, f()) for p, f in tail]
+
+
+class Counts:
+    """Counts over other mails: how many mails have a block, how many of its sender do, and when a sentence first stood in its thread."""
+
+    def __init__(self, rows: Iterable[tuple[int, int, int, float | None]] = ()):
+        self.known = {(kind, k): (n, first) for kind, k, n, first in rows}
+
+    @classmethod
+    def over(cls, mails: Iterable[tuple[str, str, float | None, list[dict]]]) -> Counts:
+        n: dict[tuple[int, int], int] = {}
+        first: dict[tuple[int, int], float] = {}
+        for address, subject, at, bs in mails:
+            for x in block_keys(address, subject, bs):
+                n[x] = n.get(x, 0) + 1
+                if at is not None:
+                    first[x] = min(at, first.get(x, at))
+        return cls((*x, m, first.get(x)) for x, m in n.items())
+
+    def features(self, address: str, subject: str, at: float | None, bs: list[dict]) -> np.ndarray:
+        """Sender frequency, block frequency and ancestor overlap of each block: a sentence counts if an earlier mail of the thread has it."""
+        c = np.zeros((len(bs), 3))
+        for k, b in enumerate(bs):
+            s = normal(b["lines"])
+            if len(s) >= 4:
+                c[k, 0] = log1p(self.known.get((1, key(f"{address} {s}")), (1, None))[0] - 1)
+                c[k, 1] = log1p(self.known.get((0, key(s)), (1, None))[0] - 1)
+            ks = sentence_keys(b["lines"], subject)
+            firsts = (self.known.get((2, q), (1, None))[1] for q in ks)
+            c[k, 2] = sum(at is not None and f is not None and f < at for f in firsts) / len(ks) if ks else 0
+        return c
+
+
+def block_keys(address: str, subject: str, bs: list[dict]) -> set[tuple[int, int]]:
+    """Keys of the blocks of a mail (kind 0), with the sender (kind 1), and of its sentences in the thread of its subject (kind 2)."""
+    out: set[tuple[int, int]] = set()
+    for b in bs:
+        s = normal(b["lines"])
+        if len(s) >= 4:
+            out |= {(0, key(s)), (1, key(f"{address} {s}"))} | {(2, k) for k in sentence_keys(b["lines"], subject)}
+    return out
 
 
 def labelled_table(mails: int = 1500, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Features and classes of the blocks of the labelled table. Counts over other mails are drawn: they only support the other signs."""
+    """Features and classes of the blocks of the generated threads."""
     r = random.Random(seed)
-    xs, ys = [], []
-    for _ in range(mails):
-        sender, parts = labelled_mail(r)
+    made: list[tuple[Sender, str, float, list[dict], list[int]]] = []
+    senders = [Sender(r) for _ in range(max(1, mails // 3))]
+    thread, subject, earlier = 0, "", []
+    for n in range(mails):
+        if thread <= 0:
+            thread, subject, earlier = r.choice([1, 1, 1, 2, 4]), f"subject {n}", []
+        thread -= 1
+        sender = r.choice(senders)
+        parts = labelled_mail(r, sender, earlier)
         body = "".join(s for _, s in parts)
         owner: list[int] = []
         for p, s in parts:
             owner += [PARTS.index(p)] * s.count("\n")
         owner += [owner[-1] if owner else 0]
-        bs, at = blocks(body), []
+        bs = blocks(body)
         lines = [i for i, x in enumerate(body.split("\n")) if depth_of(x)[1].strip()]
-        k = 0
+        y, k = [], 0
         for b in bs:
-            at.append(lines[k])
+            y.append(owner[lines[k]])
             k += len(b["lines"])
-        y = [owner[i] for i in at]
-        x = features(bs, sender)
-        counts = np.array([[log1p(r.choice([0, 0, 1, 3] if c in (2, 3) else [0, 0, 0, 1, 2])), log1p(r.choice([0, 2, 9, 40] if c in (2, 3) else [0, 0, 1, 3, 20])), r.choice([0, 0, 0.5, 1, 1] if c == 1 else [0, 0, 0, 0, 0.3, 1])] for c in y]).reshape(len(y), 3)
-        xs.append(np.hstack([x, counts]))
-        ys += y
-    return np.vstack(xs), np.array(ys)
+        made.append((sender, subject, float(n), bs, y))
+    counts = Counts.over((m[0].address, *m[1:4]) for m in made)
+    xs = [np.hstack([features(bs, sender.name), counts.features(sender.address, subject, at, bs)]) for sender, subject, at, bs, _ in made]
+    return np.vstack(xs), np.array([c for m in made for c in m[4]])
+
+
+def structural_labels(bs: list[dict], x: np.ndarray) -> list[int | None]:
+    """The class of the blocks of a real mail whose structure gives it away, none for the others."""
+    out: list[int | None] = [None] * len(bs)
+    signed = False
+    for i, b in enumerate(bs):
+        text = " ".join(b["lines"])
+        sender_n, overlap = x[i, N_OWN], x[i, N_OWN + 2]
+        if sum(bool(HEADER.fullmatch(h)) for h in b["lines"]) >= 3 and b["sep"]:
+            out[i] = 1  # header lines of a message; what follows them looks like any other text
+            return out
+        if b["depth"] or overlap >= 0.8 or (i + 1 < len(bs) and bs[i + 1]["depth"] > b["depth"] and text[-1] == ":" and WHEN.search(text)):
+            out[i] = 1
+        elif b["sep"] == 1 and len(b["lines"]) <= 5 and (CONTACT.search(text) or NAME.fullmatch(b["lines"][0])):
+            out[i], signed = 2, True
+        elif sender_n >= log1p(1) and (CONTACT.search(text) or len(b["lines"]) <= 4 and NAME.fullmatch(b["lines"][-1])):
+            out[i], signed = 2, True
+        elif signed and sender_n >= log1p(1) and len(text.split()) >= 12:
+            out[i] = 3
+        elif not signed and i <= 1 and text[-1] in ".!?…" and len(text.split()) >= 10 and not CONTACT.search(text) and not LEGAL_START.match(text):
+            out[i] = 0
+    return out
 
 
-def trained(mails: int = 1500) -> list[Boosted]:
-    """One model for each part, against the rest."""
-    x, y = labelled_table(mails)
+def real_table(rows: list, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
+    """Features and classes of the blocks of real mails that have a label by structure."""
+    xs, ys = [np.empty((0, N_OWN + 3))], []
+    for r in rows:
+        bs = blocks(r["body"])
+        if bs:
+            x = np.hstack([features(bs, r["sender"]), counts.features(r["address"], r["subject"], r["at"], bs)])
+            y = structural_labels(bs, x)
+            keep = [k for k, c in enumerate(y) if c is not None]
+            xs.append(x[keep])
+            ys += [y[k] for k in keep]
+    return np.vstack(xs), np.array(ys, int)
+
+
+def trained(mails: int = 1500, rows: list = (), counts: Counts = Counts()) -> list[Boosted]:
+    """One model for each part, against the rest, from generated and real blocks."""
+    tables = [labelled_table(mails), real_table(rows, counts)]
+    x, y = np.vstack([t[0] for t in tables]), np.concatenate([t[1] for t in tables])
     return [fit(x, (y == k).astype(float), loss="logistic", trees=60, depth=4, rate=0.2) for k in range(len(PARTS))]
 
 
@@ -280,31 +394,19 @@ def trained(mails: int = 1500) -> list[Boosted]:
 
 
 def decide(bs: list[dict], scores: np.ndarray) -> list[int]:
-    """Part of each block; behind an introduction whose quotation is not marked all that follows is quoted."""
+    """Part of each block by its scores; behind an introduction whose quotation is not marked all that follows is quoted."""
     part = scores.argmax(axis=1).tolist() if len(bs) else []
     rest = False
     for i, b in enumerate(bs):
         if rest:
             part[i] = 1
-            continue
-        first, n = b["lines"][0], len(b["lines"])
-        if b["depth"]:
-            part[i] = 1
-        # exact checks: forms that leave no doubt
-        elif LEGAL_START.match(first) and LEGAL.search(" ".join(b["lines"])):
-            part[i] = 3
-        elif n == 1 and DEVICE.match(first) and first[-1] not in "?!:" and len(first) <= 64:
-            part[i] = 2
-        elif 2 <= n <= 6 and len(first) <= 48 and CLOSING.match(first) and first[-1] not in ".?!" and len(b["lines"][1]) <= 80 and NAME.fullmatch(b["lines"][1]):
-            part[i] = 2
-        elif part[i] == 1:
+        elif part[i] == 1 and not b["depth"]:
             text = " ".join(b["lines"])
             begins = bool(INTRO.search(text)) or bool(BANNER.match(text)) or sum(bool(HEADER.fullmatch(x)) for x in b["lines"]) >= 2
             marked = i + 1 < len(bs) and bs[i + 1]["depth"] > 0
-            if begins and not marked:
-                rest = True
+            rest = begins and not marked
     for i, b in enumerate(bs):  # a line before an introduction or a signature belongs to it
-        if len(b["lines"]) == 1 and len(b["lines"][0]) <= 200 and BANNER.fullmatch(b["lines"][0]) and i + 1 < len(bs) and part[i + 1]:
+        if len(b["lines"]) == 1 and BANNER.fullmatch(b["lines"][0]) and i + 1 < len(bs) and part[i + 1]:
             part[i] = part[i + 1]
     return part
 
@@ -313,7 +415,7 @@ def _prepare(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fix = Restorer(*shared.value)
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for i, t in zip(*(c.to_pylist() for c in batch.columns)):
                 t = fix.text(t)[0]
                 got = head_and_body(t)
@@ -321,27 +423,32 @@ def _prepare(shared):
                     head, body = got
                     m = re.search(r"<([^>]*)>", head[0])
                     subject = next((x.partition(": ")[2] for x in head if SUBJECT.match(x)), "")
-                    for col, x in zip(out, (i, head[0].partition(": ")[2], (m.group(1) if m else head[0]).lower(), REPLY.sub("", subject).strip().lower(), body)):
+                    for col, x in zip(out, (i, head[0].partition(": ")[2], (m.group(1) if m else head[0]).lower(), REPLY.sub("", subject).strip().lower(), sent(head), body)):
                         col.append(x)
-            types = (pa.int64(), *[pa.string()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["id", "sender", "address", "subject", "body"])
+            types = (pa.int64(), *[pa.string()] * 3, pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["id", "sender", "address", "subject", "at", "body"])
 
     return run
 
 
+def sent(head: list[str]) -> float | None:
+    """When a mail was sent, in seconds; none if its header does not tell."""
+    value = next((x.partition(": ")[2] for x in head if DATE.match(x)), "")
+    try:
+        return parsedate_to_datetime(value).timestamp()
+    except (ValueError, TypeError, OverflowError):
+        return None
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each mail the keys of its blocks (kind 0, with the sender: kind 1) and of its sentences with the thread's subject (kind 2)."""
+    """The keys of each mail, with its date."""
     for batch in batches:
-        out: tuple[list, ...] = ([], [], [])
-        for i, address, subject, body in zip(*(batch.column(k).to_pylist() for k in ("id", "address", "subject", "body"))):
-            for b in blocks(body):
-                s = normal(b["lines"])
-                if len(s) >= 4:
-                    rows = {(0, key(s)), (1, key(f"{address} {s}"))} | {(2, k) for k in sentence_keys(b["lines"], subject)}
-                    for kind, k in rows:
-                        for col, x in zip(out, (i, kind, k)):
-                            col.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64()))], ["id", "kind", "key"])
+        out: tuple[list, ...] = ([], [], [], [])
+        for i, address, subject, at, body in zip(*(batch.column(k).to_pylist() for k in ("id", "address", "subject", "at", "body"))):
+            for kind, k in block_keys(address, subject, blocks(body)):
+                for col, x in zip(out, (i, kind, k, at)):
+                    col.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["id", "kind", "key", "at"])
 
 
 def sentence_keys(lines: list[str], subject: str) -> list[int]:
@@ -349,6 +456,10 @@ def sentence_keys(lines: list[str], subject: str) -> list[int]:
     return [key(f"{subject}\n{s}") for x in SENTENCE.split(" ".join(lines)) if subject and (s := " ".join(words(x))).count(" ") >= 4]
 
 
+def counted(rows: list | None) -> Counts:
+    return Counts((a["kind"], a["key"], a["n"], a["first"]) for a in rows or ())
+
+
 def _classify(models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = models.value
@@ -358,15 +469,7 @@ def _classify(models):
             for r in rows:
                 bs = blocks(r["body"])
                 x = features(bs, r["sender"])
-                known = {(a["kind"], a["key"]): a["n"] for a in r["counts"] or []}
-                c = np.zeros((len(bs), 3))
-                for k, b in enumerate(bs):
-                    s = normal(b["lines"])
-                    if len(s) >= 4:
-                        c[k, 0] = log1p(known.get((1, key(f"{r['address']} {s}")), 1) - 1)
-                        c[k, 1] = log1p(known.get((0, key(s)), 1) - 1)
-                    ks = sentence_keys(b["lines"], r["subject"])
-                    c[k, 2] = sum(known.get((2, q), 1) > 1 for q in ks) / len(ks) if ks else 0
+                c = counted(r["counts"]).features(r["address"], r["subject"], r["at"], bs)
                 all_blocks.append(bs)
                 xs.append(np.hstack([x, c]))
             x = np.vstack(xs) if xs else np.empty((0, N_OWN + 3))
@@ -385,23 +488,27 @@ def _classify(models):
     return run
 
 
-def newly_written(results: DataFrame, id_col: str = "result_id", text_col: str = "text", mails: int = 1500) -> DataFrame:
+def newly_written(results: DataFrame, id_col: str = "result_id", text_col: str = "text", mails: int = 1500, sample: int = 1000) -> DataFrame:
     """``result_id, new_text, foreign_parts`` of each row whose text is a mail.
 
     ``new_text`` is what the sender newly wrote, paragraphs parted by a blank line; ``foreign_parts`` lists which of quoted, signature and
     disclaimer the body holds. Rows that don't begin with header lines, null and empty texts give no row; rows of an id
-    that come twice count once. ``mails`` bounds the labelled table. Other columns are ignored whatever their names.
+    that come twice count once. ``mails`` is the size of the generated table, ``sample`` bounds the real mails that the trees are trained on;
+    all mails are counted and classified. Other columns are ignored whatever their names.
     """
     spark = results.sparkSession
     bound_arrow(spark)
     x = results.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null and text <> ''")
     b = spark.sparkContext.broadcast
-    mail = cut(x.mapInArrow(_prepare(b(prepared(x))), "id bigint, sender string, address string, subject string, body string").dropDuplicates(["id"]))
-    keys = mail.mapInArrow(_keys, "id bigint, kind int, key bigint").distinct()
+    mail = cut(x.mapInArrow(_prepare(b(prepared(x))), "id bigint, sender string, address string, subject string, at double, body string").dropDuplicates(["id"]))
+    keys = mail.mapInArrow(_keys, "id bigint, kind int, key bigint, at double")
     # a key of a third of all mails is counted with partial sums; the join back is on (kind, key), which AQE splits
-    often = keys.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1")
-    counts = keys.join(often, ["kind", "key"]).groupBy("id").agg(F.collect_list(F.struct("kind", "key", "n")).alias("counts"))
-    return mail.join(counts, "id", "left").mapInArrow(_classify(b(trained(mails))), "result_id bigint, new_text string, foreign_parts array<string>")
+    often = keys.groupBy("kind", "key").agg(F.count("*").alias("n"), F.min("at").alias("first")).where("n > 1")
+    counts = keys.join(often, ["kind", "key"]).groupBy("id").agg(F.collect_list(F.struct("kind", "key", "n", "first")).alias("counts"))
+    every = cut(mail.join(counts, "id", "left"))
+    some = every.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    known = counted([a for r in some for a in r["counts"] or ()])
+    return every.mapInArrow(_classify(b(trained(mails, some, known))), "result_id bigint, new_text string, foreign_parts array<string>")
 
 
 def foreign_parts(results: DataFrame) -> DataFrame:
