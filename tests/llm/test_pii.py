@@ -3,6 +3,8 @@
 import json
 import random
 
+import numpy as np
+
 from vellumq.llm import pii as P
 
 FIRST, LAST = ["Анна", "Пётр", "Олег", "Мария", "Иван"], ["Громова", "Соколов", "Лавров", "Дроздова", "Ветров", "Белов", "Зуев"]
@@ -44,9 +46,22 @@ def test_held_out(spark):
     assert clean[5001] == "" and 5000 not in clean
     i, t, _, ys = held[0]
     assert all(v not in clean[i] for k, v in ys if k in ("person", "email", "address")) and "[PERSON]" in clean[i] and "Отдел контроля просит" in clean[i]
+    lists = {x["id"]: x["redacted_entities"] for x in P.redacted(df, most=150).collect()}
+    assert lists[5001] == "{}" and lists[5002] == '{"PERSONS": ["[PERSON]", "Пёт' and lists[5003] == "[1]" and lists[1000] is None
+    got = json.loads(lists[0])
+    assert set(got["PERSONS"]) == {"[PERSON]"} and got["CONTACTS"] == ["[EMAIL]", "[PHONE]"] and got["ORGANIZATIONS"] == json.loads(rows[0][2])["ORGANIZATIONS"]
     assert P.personal_data(df.limit(0)).count() == 0
 
 
+def test_tokens_left_out_are_proved_to_be_none():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        pairs = r.normal(-1, 1.5, (P.N, P.N)).astype(np.float32)
+        e = r.normal(-1.5, 2, (30, P.N)).astype(np.float32)
+        (y,) = P.viterbi([e], pairs)
+        assert not (y[~P.possible(e, pairs)] != 0).any()
+
+
 def test_values():
     assert P.values("person", "Mr. Hatfield") == ["Hatfield"] and P.values("person", "гражданина Белова") == ["Белова"]
     assert P.values("person", "Белов П. Р.") == ["Белов П. Р."] and P.values("person", "Белова. Мария Зуева") == ["Белова", "Мария Зуева"]

@@ -3,8 +3,8 @@
 Features are the shape, ending and (frequent) form of the tokens in a window of five; the weights are trained on a small
 labelled table and decoding is Viterbi over numpy batches. The labelled table is a bounded sample of the files whose entities were
 computed: their entity lists and a few sure patterns label the tokens. As features depend on the token's type alone, a
-document's scores are sums of table rows; tokens that can't begin or carry an entity under these scores are never
-decoded, and texts pass through Python once. Plain checks of the found spans follow (digits of a number, sign of an address).
+document's scores are sums of table rows; tokens that are proved to be in no entity of the best labelling need
+no decoding, and texts pass through Python once. Plain checks of the found spans follow (digits of a number, sign of an address).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,6 @@ EMAIL = re.compile(_EMAIL, re.I)
 _DIGITS = str.maketrans("012345678", "999999999")
 ROUNDS = 8
 LEAN = 1.0
-#: A token whose best label is so much worse than O is not decoded, unless it is beside one that is.
-SLACK = 2.0
 #: Pieces of the labelled table that differ in names and digits alone: so many are kept.
 ALIKE = 5
 GLUE = re.compile(r"[\w+/=]")
@@ -445,6 +444,19 @@ def decode_all(crf: Crf, texts: list[str], most: int = 1_000_000) -> list[list[t
     return out + decode(crf, texts[a:]) if a < len(texts) else out
 
 
+def possible(e: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Whether a token may be part of an entity in the best labelling; the others are O in it for sure.
+
+    An entity gains at most the best scores of its tokens over O and the best transitions; a token that no stretch with a gain holds is O.
+    """
+    inner = float(pairs[1:, 1:].max() - pairs[0, 0])
+    ends = float(pairs[0, 1:].max() + pairs[1:, 0].max() - 2 * pairs[0, 0])
+    s = np.cumsum((e[:, 1:].max(axis=1) - e[:, 0]).astype(np.float64) + inner)
+    high = np.maximum.accumulate(s[::-1])[::-1]
+    low = np.minimum.accumulate(np.r_[0.0, s[:-1]])
+    return high - low + ends - inner > -1e-3
+
+
 def decode(crf: Crf, texts: list[str]) -> list[list[tuple[str, int, int, str]]]:
     """``kind, start, end, value as written`` of the entities of each text.
 
@@ -463,7 +475,7 @@ def decode(crf: Crf, texts: list[str]) -> list[list[tuple[str, int, int, str]]]:
     e = crf.scores(np.array(ids))
     starts = np.array(begin)
     ends = starts + np.array([len(t) for t in toks_of])
-    hot = np.flatnonzero(e[:, 1:].max(axis=1) - e[:, 0] > -SLACK)
+    hot = np.flatnonzero(possible(e, crf.pairs))
     text_of = np.searchsorted(starts, hot, "right") - 1
     ok = (text_of >= 0) & (hot < ends[text_of])
     hot, text_of = hot[ok], text_of[ok]
@@ -543,28 +555,26 @@ def _find(model):
             out: tuple[list, ...] = ([], [], [], [], [])
             for k in range(0, len(ids), 1000):
                 some = decode_all(crf, [t or "" for t in texts[k : k + 1000]])
-                entries = [parse_entities(r) for r in raws[k : k + 1000]]
-                flat = [(d, kind, v) for d, es in enumerate(entries) for kind, v in es if v.strip()]
-                alone = decode(crf, [in_list(kind, v) for _, kind, v in flat])
                 for d, spans in enumerate(some):
                     for kind, a, _, v in spans:
                         for c in values(kind, v):
                             for col, x in zip(out, (ids[k + d], "extracted_text", kind, c, a)):
                                 col.append(x)
-                said = [{c: kind for kind, _, _, v in spans for c in [squeeze(v), *values(kind, v)]} for spans in some]
-                for (d, kind, v), spans in zip(flat, alone):
-                    what = said[d].get(squeeze(v)) or next((s[0] for s in spans if s[2] - s[1] >= 0.6 * len(v)), None)
-                    if what == "email" and not EMAIL.fullmatch(squeeze(v)):
-                        what = "id_number" if IDENTITY.fullmatch(squeeze(v)) else "phone" if PHONE.fullmatch(squeeze(v)) else "person"
-                    for c in values(what, v)[:1] if what else []:
-                        for col, x in zip(out, (ids[k + d], "entities_json", what, c, None)):
-                            col.append(x)
+                for d, pairs in enumerate(entry_kinds(crf, raws[k : k + 1000], some)):
+                    for what, v in pairs:
+                        for c in values(what, v)[:1]:
+                            for col, x in zip(out, (ids[k + d], "entities_json", what, c, None)):
+                                col.append(x)
             types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["id", "field", "kind", "value", "start"])
 
     return run
 
 
+#: The last models of this process by the hash of their labelled table, so that queries over the same files train once.
+_MODELS: dict[int, tuple] = {}
+
+
 def fit(files: DataFrame, most: int = 900) -> tuple:
     """Train on at most ``most`` files with computed entities, half of them with the rarer types (those of smallest hash). Without any there is nothing to learn."""
     known = files.where("entities is not null and length(entities) > 2 and text is not null").select("id", F.xxhash64("id").alias("h"), F.col("entities").rlike("LOCATIONS|CONTACTS|DOCUMENTS").alias("rare"))
@@ -574,10 +584,20 @@ def fit(files: DataFrame, most: int = 900) -> tuple:
         return {}, set(), np.zeros((len(OFFSETS), 0, N), np.float32), np.zeros((N, N), np.float32)
     wanted = F.broadcast(files.sparkSession.createDataFrame([(i,) for i in set(ids)], "id bigint"))  # at most ``most`` rows
     some = files.where("entities is not null and text is not null").join(wanted, "id", "left_semi").dropDuplicates(["id"]).orderBy("id").select("text", "entities").collect()
-    crf = learn([(r["text"], r["entities"]) for r in some])
-    if crf is None:
-        return {}, set(), np.zeros((len(OFFSETS), 0, N), np.float32), np.zeros((N, N), np.float32)
-    return crf.index, crf.known, crf.weights, crf.pairs
+    rows = [(r["text"], r["entities"]) for r in some]
+    digest = xxhash.xxh3_128()
+    for text, entities in rows:
+        for part in (text, entities):
+            raw = part.encode("utf-8", "surrogatepass")
+            digest.update(len(raw).to_bytes(8, "little") + raw)
+    which = digest.intdigest()
+    if which not in _MODELS:
+        crf = learn(rows)
+        none = {}, set(), np.zeros((len(OFFSETS), 0, N), np.float32), np.zeros((N, N), np.float32)
+        while len(_MODELS) >= 4:
+            _MODELS.pop(next(iter(_MODELS)))
+        _MODELS[which] = none if crf is None else (crf.index, crf.known, crf.weights, crf.pairs)
+    return _MODELS[which]
 
 
 def personal_data(files: DataFrame, most: int = 900, id_col: str = "id", text_col: str = "extracted_text", json_col: str = "entities_json") -> DataFrame:
@@ -606,24 +626,65 @@ def redact(text: str, spans: list[tuple[str, int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
+_LITERAL = re.compile(r'"((?:[^"\\]|\\.)*)"(\s*:)?')
+
+
+def redact_entities(raw: str | None, kinds: dict[str, str]) -> str | None:
+    """An entity list in JSON with placeholders in its values; ``kinds`` tells the kind of a value. Keys and what is cut at the end stay as they are."""
+
+    def one(m: re.Match) -> str:
+        try:
+            v = json.loads(f'"{m.group(1)}"')
+        except ValueError:
+            return m.group()
+        kind = None if m.group(2) else kinds.get(v)
+        if kind is None:
+            return m.group()
+        return json.dumps(redact(v, [(kind, 0, len(v), v)]), ensure_ascii=m.group(1).isascii())
+
+    return _LITERAL.sub(one, raw) if raw else raw
+
+
+def entry_kinds(crf: Crf, raws: list[str | None], spans_of: list[list[tuple[str, int, int, str]]]) -> list[list[tuple[str, str]]]:
+    """``(kind, value)`` of the entries of each list that are personal data, told by the same value in the text or by the model alone."""
+    entries = [parse_entities(r) for r in raws]
+    flat = [(d, kind, v) for d, es in enumerate(entries) for kind, v in es if v.strip()]
+    alone = decode(crf, [in_list(kind, v) for _, kind, v in flat])
+    said = [{c: kind for kind, _, _, v in spans for c in [squeeze(v), *values(kind, v)]} for spans in spans_of]
+    out: list[list[tuple[str, str]]] = [[] for _ in raws]
+    for (d, _, v), spans in zip(flat, alone):
+        what = said[d].get(squeeze(v)) or next((s[0] for s in spans if s[2] - s[1] >= 0.6 * len(v)), None)
+        if what == "email" and not EMAIL.fullmatch(squeeze(v)):
+            what = "id_number" if IDENTITY.fullmatch(squeeze(v)) else "phone" if PHONE.fullmatch(squeeze(v)) else "person"
+        if what:
+            out[d].append((what, v))
+    return out
+
+
 def _redact(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = Crf(*model.value)
         for batch in batches:
-            ids, texts = (c.to_pylist() for c in batch.columns)
-            spans = decode_all(crf, texts)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([redact(t, s) for t, s in zip(texts, spans)]), pa.array([len(s) for s in spans], pa.int32())], ["id", "redacted", "n_spans"])
+            ids, texts, raws = (c.to_pylist() for c in batch.columns)
+            spans = decode_all(crf, [t or "" for t in texts])
+            kinds = entry_kinds(crf, raws, spans)
+            lists = [redact_entities(r, {v: kind for kind, v in some}) for r, some in zip(raws, kinds)]
+            cols = (ids, [None if t is None else redact(t, s) for t, s in zip(texts, spans)], [len(s) for s in spans], lists, [len(k) for k in kinds])
+            types = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["id", "redacted", "n_spans", "redacted_entities", "n_entries"])
 
     return run
 
 
 def redacted(files: DataFrame, most: int = 900, id_col: str = "id", text_col: str = "extracted_text", json_col: str = "entities_json") -> DataFrame:
-    """``id, redacted, n_spans``: each text with its personal data replaced by typed placeholders, otherwise unchanged.
+    """``id, redacted, n_spans, redacted_entities, n_entries``: text and entity list with personal data replaced by typed placeholders, otherwise unchanged.
 
-    Null texts give no row, empty texts stay empty; of rows of an id that come twice one is kept.
+    Rows without text and list give no row, a null text or list stays null and an empty one empty; a list that is cut stays cut. Of rows of
+    an id that come twice one is kept.
     """
     spark = files.sparkSession
     bound_arrow(spark)
-    x = files.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(json_col).alias("entities")).where("id is not null and text is not null")
+    x = files.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(json_col).alias("entities")).where("id is not null")
     model = spark.sparkContext.broadcast(fit(x, most))
-    return x.select("id", "text").mapInArrow(_redact(model), "id bigint, redacted string, n_spans int").dropDuplicates(["id"])
+    some = x.where("text is not null or entities is not null")
+    return some.mapInArrow(_redact(model), "id bigint, redacted string, n_spans int, redacted_entities string, n_entries int").dropDuplicates(["id"])
