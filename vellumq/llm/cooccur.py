@@ -1,14 +1,17 @@
 """Items that occur together more often than chance.
 
-The plan is an external sort of packed pair codes: entities get dense 31-bit numbers, a pair in a file
+The plan is an external sort of packed 64-bit pair codes: entities are 64-bit hashes from the first step on; those in too few files are dropped, the
+others get dense 31-bit numbers, a pair in a file
 becomes one 64-bit code, codes are range-partitioned and sorted on disk by Spark (sorted runs are
 spilled and merged), and runs are counted over Arrow batches. The range key holds the file number too,
 so that a pair which occurs in a third of all files is cut into many runs on many tasks; the runs of a
-pair are few and are added up afterwards.
+pair are few and are added up afterwards. The texts of entities are only looked up for the numbered ones, where it is also checked that
+no two of them have the same hash.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellumq.session import cut
+from vellumq.operators.numbering import dense_numbers
+from vellumq.session import broadcast_if_small, cut
 
 
 def normal(col: str) -> Column:
@@ -60,23 +64,6 @@ def run_counts(coded: DataFrame) -> DataFrame:
     return runs.groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def dense_numbers(df: DataFrame) -> DataFrame:
-    """``df`` with ``eid``, numbers from 0 without holes in partition order; no global sort.
-
-    Rows are numbered inside their partition; the driver sees one count per partition only.
-    """
-    numbered = cut(df.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
-    sizes = sorted((r["_p"], r["n"]) for r in numbered.groupBy("_p").agg(F.count("*").alias("n")).collect())
-    base, offsets = 0, []
-    for p, n in sizes:
-        offsets.append((p, base))
-        base += n
-    if base >= 1 << 31:
-        raise ValueError("more than 2^31 distinct items: pack the codes into two columns")
-    offset = F.broadcast(df.sparkSession.createDataFrame(offsets or [(0, 0)], "_p int, _base bigint"))
-    return numbered.join(offset, "_p").withColumn("eid", F.col("_m") + F.col("_base")).drop("_p", "_m", "_base")
-
-
 def cooccurrence(links: DataFrame, min_files: int = 5) -> DataFrame:
     """Pairs of entities that share at least ``min_files`` file_ids, with counts and strength.
 
@@ -93,26 +80,29 @@ def cooccurrence(links: DataFrame, min_files: int = 5) -> DataFrame:
     rows = links.where("file_id is not null").select(
         normal("entity1").alias("v1"), F.col("entity1_type").alias("t1"), normal("entity2").alias("v2"), F.col("entity2_type").alias("t2"), F.col("file_id").cast("bigint").alias("file_id")
     )
-    rows = cut(rows.dropDuplicates())
-    n_files = rows.agg(F.count_distinct("file_id")).first()[0]
-    ends = rows.select(F.inline(F.array(F.struct(F.col("t1").alias("t"), F.col("v1").alias("v")), F.struct(F.col("t2").alias("t"), F.col("v2").alias("v"))))).where("t is not null and v is not null")
-    entities = cut(dense_numbers(ends.distinct()))
-    # numbers for both ends: a hot entity makes a skewed join, which AQE splits (the dictionary side is unique)
-    first = entities.select(F.col("t").alias("t1"), F.col("v").alias("v1"), F.col("eid").alias("e1"))
-    second = entities.select(F.col("t").alias("t2"), F.col("v").alias("v2"), F.col("eid").alias("e2"))
-    coded = cut(rows.join(first, ["t1", "v1"], "left").join(second, ["t2", "v2"], "left").select("e1", "e2", "file_id"))
+    for seed in itertools.count():
+        mark = lambda t, v: F.when(F.col(t).isNotNull() & F.col(v).isNotNull(), F.xxhash64(F.lit(seed), t, v))  # noqa: B023, E731
+        hashed = rows.select("*", mark("t1", "v1").alias("h1"), mark("t2", "v2").alias("h2"))
+        ends = hashed.select(F.inline(F.array(F.struct(F.col("h1").alias("h"), F.col("t1").alias("t"), F.col("v1").alias("v")), F.struct(F.col("h2").alias("h"), F.col("t2").alias("t"), F.col("v2").alias("v"))))).where("h is not null")
+        narrow = cut(hashed.select("h1", "h2", "file_id"))
+        often = run_counts(narrow.select(F.explode(F.array("h1", "h2")).alias("code"), "file_id").where("code is not null")).where(F.col("n") >= min_files)
+        counts = cut(dense_numbers(often.select(F.col("code").alias("h"), "n")))
+        small = counts.count()
+        near = (lambda x, width: broadcast_if_small(x, small, width))  # noqa: B023, E731
+        names = ends.join(near(counts.select("h"), 16), "h", "left_semi").groupBy("h").agg(F.min(F.struct("t", "v")).alias("x"), F.max(F.struct("t", "v")).alias("y"))
+        entities = cut(counts.join(names, "h").select("eid", "h", F.col("n").alias("m"), F.col("x.t").alias("t"), F.col("x.v").alias("v"), (F.col("x") != F.col("y")).alias("clash")))
+        if entities.where("clash").isEmpty():
+            break  # else two entities have one hash: all over with other hashes
+    if small >= 1 << 31:
+        raise ValueError("more than 2^31 frequent items: pack the codes into two columns")
+    n_files = narrow.agg(F.count_distinct("file_id")).first()[0]
+    # a hot entity makes a skewed join, which AQE splits (the numbered side is unique)
+    number = lambda k: near(counts.select(F.col("h").alias(f"h{k}"), F.col("eid").alias(f"e{k}")), 24)
+    coded = narrow.where("h1 <> h2").join(number(1), "h1").join(number(2), "h2")
     pair = F.shiftleft(F.least("e1", "e2"), 32).bitwiseOR(F.greatest("e1", "e2"))
-    pairs = run_counts(coded.where("e1 is not null and e2 is not null and e1 <> e2").select(pair.alias("code"), "file_id")).where(F.col("n") >= min_files)
-    single = coded.select(F.explode(F.array("e1", "e2")).alias("code"), "file_id").where("code is not null")
-    singles = run_counts(single)
-    n1, n2 = (singles.select(F.col("code").alias(f"e{i}"), F.col("n").alias(f"m{i}")) for i in (1, 2))
-    counted = (
-        pairs.select(F.shiftright("code", 32).alias("e1"), F.col("code").bitwiseAND((1 << 32) - 1).alias("e2"), F.col("n").alias("n12"))
-        .join(n1, "e1")
-        .join(n2, "e2")
-        .join(first, "e1")
-        .join(second, "e2")
-    )
+    pairs = run_counts(coded.select(pair.alias("code"), "file_id")).where(F.col("n") >= min_files)
+    first, second = (entities.select(F.col("eid").alias(f"e{k}"), F.col("t").alias(f"t{k}"), F.col("v").alias(f"v{k}"), F.col("m").alias(f"m{k}")) for k in (1, 2))
+    counted = pairs.select(F.shiftright("code", 32).alias("e1"), F.col("code").bitwiseAND((1 << 32) - 1).alias("e2"), F.col("n").alias("n12")).join(first, "e1").join(second, "e2")
     a, b = F.struct("t1", "v1", "m1"), F.struct(F.col("t2").alias("t1"), F.col("v2").alias("v1"), F.col("m2").alias("m1"))
     x = counted.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "n12")
     n = F.lit(int(n_files or 0))
