@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,9 +76,20 @@ def leaks(text: str, a: ahocorasick.Automaton, run: int) -> list[tuple[int, int,
     return out
 
 
-def _scan(items, run: int):
+#: The automaton that this Python worker made last, with the key of its items; workers serve many tasks.
+_KEPT: list[tuple] = []
+
+
+def kept_automaton(key: tuple[int, int], items, run: int):
+    """The automaton of items, made once in a worker."""
+    if not _KEPT or _KEPT[0][0] != key:
+        _KEPT[:] = [(key, automaton(item_grams(items.value, run)))]
+    return _KEPT[0][1]
+
+
+def _scan(items, run: int, key: tuple[int, int]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(item_grams(items.value, run))
+        a = kept_automaton(key, items, run)
         for batch in batches:
             rows = [(i, *x) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text for x in leaks(text, a, run)] if len(a) else []
             cols = list(zip(*rows)) or [()] * 6
@@ -93,7 +105,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, run: int = 12, id_col: str =
     An item leaks into a document if both share a run of at least ``run`` consecutive words. ``n_words`` counts the
     document's words inside such runs, ``longest`` the longest run; ``first_char`` and ``last_char`` are offsets of the
     original text around all runs. Null and empty texts, and items shorter than ``run`` words, give no row; rows of an id that
-    come twice count once. Other columns are ignored whatever their names.
+    come twice count once. Other columns are ignored whatever their names. Items above ``BLOCK_CHARS`` characters together make several automata, each of
+    which scans the texts once.
     """
     spark = docs.sparkSession
     bound_arrow(spark)
@@ -110,6 +123,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, run: int = 12, id_col: str =
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null and doc_id is not null")
     out = None
     for block in blocks:
-        found = texts.mapInArrow(_scan(spark.sparkContext.broadcast(block), run), SCHEMA)
+        key = xxhash.xxh3_64_intdigest(repr(block).encode("utf-8", "surrogatepass")), run
+        found = texts.mapInArrow(_scan(spark.sparkContext.broadcast(block), run, key), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out.dropDuplicates(["doc_id", "item_id"])

@@ -173,7 +173,13 @@ def learn(texts: list[str], y: np.ndarray, sources: list[str | None]) -> tuple[R
     for k in range(FOLDS):
         inside, outside = folds == k, folds != k
         if inside.any() and outside.any():
-            held[inside] = fit(x[outside], y[outside], **settings).raw(x[inside])
+            # word levels of the documents that train here must not know the documents held out
+            z = x.copy()
+            for j in set(folds[outside].tolist()):
+                some, others = np.flatnonzero(folds == j), np.flatnonzero(outside & (folds != j))
+                if len(others):
+                    z[some] = Texts(*word_levels([texts[i] for i in others], y[others])).features([texts[i] for i in some])
+            held[inside] = fit(z[outside], y[outside], **settings).raw(x[inside])
     # slope and offset from held-out predictions, then what is left by source, drawn to 0
     var = float(np.var(held))
     slope = float(np.clip(np.cov(held, y)[0, 1] / var, 0.8, 1.25)) if var > 1e-6 and len(y) > 20 else 1.0
