@@ -69,7 +69,7 @@ def test_secrets(spark):
 
 
 def test_dates():
-    assert [d for d, _, _ in D.dates_of("от 15 марта 2024 и 15.03.2024; 31.02.2024; 2023-12-01")] == [date(2023, 12, 1), date(2024, 3, 15)]
+    assert sorted(d for d, _, _ in D.dates_of("от 15 марта 2024 и 15.03.2024; 31.02.2024; 2023-12-01")) == [date(2023, 12, 1), date(2024, 3, 15)]
     assert D.dates_of("в марте") == []
     assert len(D.dates_of("01.01.2020 " + "x" * 300 + " 01.01.2020")) == 2
 
@@ -104,7 +104,7 @@ def test_matching_finds_misread_words(spark):
 
 def test_nothing_of_a_long_text_is_cut():
     days = [f"{d:02}.{m:02}.{y}" for y in (2001, 2002) for m in range(1, 13) for d in range(1, 26)]
-    assert len(D.dates_of(" и ".join(days))) == 600
+    assert len(list(D.dates_of(" и ".join(days)))) == 600
     text = " ".join(f"почта a{i}@b{i}.com;" for i in range(150))
     assert len(E.extract(text)["CONTACTS"]) == 150
     text = "Иванов Пётр работает в компании Ромашка.\n" * 70

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import date
 
@@ -18,8 +17,11 @@ NUMBER = {m: i % 12 + 1 for i, m in enumerate(MONTHS + MONTHS_BASE)}
 _MONTH = "|".join(NUMBER)
 DMY, ISO = r"\b(\d{1,2})[./](\d{1,2})[./](\d{4})\b", r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b"
 DAY_MONTH, MONTH_YEAR = rf"\b(\d{{1,2}})\s+({_MONTH})\s+(\d{{4}})\b", rf"\b({_MONTH})\s+(\d{{4}})\b"
-#: Order of the groups (year, month, day) in each pattern; none for the first day.
-PATTERNS = [(re.compile(p, re.I), g) for p, g in ((DMY, (3, 2, 1)), (ISO, (1, 2, 3)), (DAY_MONTH, (3, 2, 1)), (MONTH_YEAR, (2, 1, None)))]
+#: One scanner for all forms; a day before a month belongs to it, so no form is found inside another.
+SCANNER = re.compile(
+    rf"\b(?:(?P<d1>\d{{1,2}})[./](?P<m1>\d{{1,2}})[./](?P<y1>\d{{4}})|(?P<y2>\d{{4}})-(?P<m2>\d{{1,2}})-(?P<d2>\d{{1,2}})|(?:(?P<d3>\d{{1,2}})\s+)?(?P<m3>{_MONTH})\s+(?P<y3>\d{{4}}))\b",
+    re.I,
+)
 #: Kinds of events and what tells them, the first that fits counts.
 EVENTS = [
     ("agreement", ["договор", "контракт", "соглашени", "подписан"]),
@@ -40,44 +42,43 @@ def event_type(context: Column) -> Column:
 
 
 def parse_date(text: Column) -> Column:
-    """One date of a string: day.month.year, ISO, or a Russian month; null if none is valid."""
-    month = F.lower(F.regexp_extract(text, rf"(?iu){DAY_MONTH}", 2))
-    named = F.element_at(F.create_map(*(x for m, i in NUMBER.items() for x in (F.lit(m), F.lit(i)))), month)
-    part = lambda p, g: F.regexp_extract(text, p, g)
-    return F.coalesce(
-        F.try_to_date(F.concat_ws("-", part(DMY, 3), F.lpad(part(DMY, 2), 2, "0"), F.lpad(part(DMY, 1), 2, "0")), "yyyy-MM-dd"),
-        F.try_to_date(F.concat_ws("-", part(ISO, 1), F.lpad(part(ISO, 2), 2, "0"), F.lpad(part(ISO, 3), 2, "0")), "yyyy-MM-dd"),
-        F.try_to_date(F.concat_ws("-", part(f"(?iu){DAY_MONTH}", 3), F.lpad(named.cast("string"), 2, "0"), F.lpad(part(f"(?iu){DAY_MONTH}", 1), 2, "0")), "yyyy-MM-dd"),
-    )
-
-
-def dates_of(text: str, most: int | None = None, most_chars: int | None = None, apart: int = 200) -> list[tuple[date, str, int]]:
-    """``(date, context, position)`` of a text: longer matches win, a date again within ``apart`` characters counts once."""
-    sample, found = text[:most_chars], []
-    for pattern, (y, m, d) in PATTERNS:
-        for hit in pattern.finditer(sample):
-            month = hit.group(m)
-            try:
-                when = date(int(hit.group(y)), int(month) if month.isdigit() else NUMBER[month.lower()], int(hit.group(d)) if d else 1)
-            except ValueError:
-                continue
-            if 1900 <= when.year <= 2100:
-                found.append((*hit.span(), when))
-    free: list[tuple[int, int, date]] = []  # by start; they never overlap, so the neighbours tell
-    for a, b, when in sorted(found, key=lambda x: (x[0] - x[1], x[0])):
-        k = bisect_left(free, (a,))
-        if (k == 0 or free[k - 1][1] <= a) and (k == len(free) or b <= free[k][0]):
-            free.insert(k, (a, b, when))
-    out: list[tuple[date, str, int]] = []
-    last: dict[date, int] = {}
-    for a, b, when in free:
-        if when in last and a - last[when] < apart:
+    """One date of a string: day.month.year, ISO, a Russian month with its day, or a Russian month alone (its first day, also if the day is none of it); null if none is valid."""
+    number = F.create_map(*(x for m, i in NUMBER.items() for x in (F.lit(m), F.lit(f"{i:02d}"))))
+
+    def found(pattern: str, year: int, month: int, day: int | None) -> Column:
+        group = lambda g: F.regexp_extract(text, pattern, g)
+        m = F.lpad(group(month), 2, "0") if pattern in (DMY, ISO) else F.element_at(number, F.lower(group(month)))
+        return F.try_to_date(F.concat_ws("-", group(year), m, F.lpad(group(day), 2, "0") if day else F.lit("01")), "yyyy-MM-dd")
+
+    return F.coalesce(found(DMY, 3, 2, 1), found(ISO, 1, 2, 3), found(f"(?iu){DAY_MONTH}", 3, 2, 1), found(f"(?iu){MONTH_YEAR}", 2, 1, None))
+
+
+def date_of(m: re.Match) -> date | None:
+    """The date of a hit of the scanner between 1900 and 2100, none if there is no such day; of a named month then its first day."""
+    form = m.lastgroup[-1]
+    year, month, day = (m[f"{k}{form}"] for k in "ymd")
+    if not "1900" <= year <= "2100":
+        return None
+    number = NUMBER[month.lower()] if form == "3" else int(month)
+    for d in (day, "1") if form == "3" else (day,):
+        try:
+            return date(int(year), number, int(d or 1))
+        except ValueError:
             continue
-        last[when] = a
-        out.append((when, text[max(0, a - 100) : b + 100].strip().replace("\n", " "), a))
-        if len(out) == most:
-            break
-    return sorted(out, key=lambda x: (x[0], x[2]))
+    return None
+
+
+def dates_of(text: str, most: int | None = None, apart: int = 200) -> Iterator[tuple[date, str, int]]:
+    """``(date, context, position)`` in the order of the text; a date again within ``apart`` characters of the last time it counted is none."""
+    counted: dict[date, int] = {}
+    for m in SCANNER.finditer(text):
+        when, at = date_of(m), m.start()
+        if when is None or at - counted.get(when, -apart) < apart:
+            continue
+        counted[when] = at
+        yield when, text[max(0, at - 100) : m.end() + 100].strip().replace("\n", " "), at
+        if most is not None and (most := most - 1) <= 0:
+            return
 
 
 def _events(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
