@@ -70,8 +70,8 @@ def test_secrets(spark):
 
 def test_dates():
     assert sorted(d for d, _, _ in D.dates_of("от 15 марта 2024 и 15.03.2024; 31.02.2024; 2023-12-01")) == [date(2023, 12, 1), date(2024, 3, 15)]
-    assert D.dates_of("в марте") == []
-    assert len(D.dates_of("01.01.2020 " + "x" * 300 + " 01.01.2020")) == 2
+    assert list(D.dates_of("в марте")) == []
+    assert len(list(D.dates_of("01.01.2020 " + "x" * 300 + " 01.01.2020"))) == 2
 
 
 def test_entities():
@@ -117,6 +117,6 @@ def test_simhash_of_all_shingles(spark, tmp_path):
     t = " ".join(f"w{i}" for i in range(110_000))
     df = spark.createDataFrame([(1, t)], "id long, extracted_text string")
     df.write.parquet(str(tmp_path / "files.parquet"))
-    h = [r[0] for r in df.select(F.explode(U.shingles(U.words(F.col("extracted_text")))).alias("s")).select(F.xxhash64("s")).collect()]
+    h = [r[0] for r in df.select(F.explode(U.shingles(U.words(F.col("extracted_text")))).alias("s")).select(F.conv(F.substring(F.md5("s"), 1, 16), 16, -10).cast("bigint")).collect()]
     want = sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
     assert len(h) == 109_996 and R.dup_simhash(spark, str(tmp_path)).first()["simhash"] % (1 << 64) == want

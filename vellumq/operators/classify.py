@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Beginnings of words (or whole phrases) of each category, in the order that breaks ties.
@@ -18,6 +23,7 @@ DEFAULT = "общий"
 POSITIVE = ["успех", "хорош", "отличн", "прибыль", "рост", "одобрен", "достижен", "улучшен", "эффективн", "качеств"]
 NEGATIVE = ["убыт", "штраф", "нарушен", "отказ", "проблем", "ошибк", "жалоб", "недостат", "плох", "снижен"]
 WORD = r"(?U)[\p{L}\p{N}_]+"
+WORDS = re.compile(r"\w+")
 
 
 def norm(text: Column) -> Column:
@@ -76,15 +82,32 @@ def classify(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ).dropDuplicates(["id"])
 
 
+#: Words that are no topics.
+TOPIC_STOP = [
+    "и", "в", "на", "с", "по", "не", "что", "это", "как", "для", "из", "за", "к", "о", "от", "до", "или", "но", "а", "у", "при", "так", "же", "бы", "был", "была", "было", "были",
+    "быть", "есть", "будет", "более", "эти", "этот", "весь", "вся", "все", "который", "которая", "которые", "которых", "также", "является", "может", "можно", "этого", "этой", "только",
+    "через", "после", "когда", "между", "своей", "своего", "очень",
+]
+
+
 def topics(df: DataFrame, id_col: str, text_col: str, most: int = 5, stop: list[str] | None = None) -> DataFrame:
-    """``id, word, n, rank``: the most frequent words of more than four characters, earlier words first among equals."""
-    ws = words(F.lower(F.col(text_col)))
-    x = df.select(F.col(id_col).alias("id"), F.posexplode(ws).alias("pos", "word")).where(F.char_length("word") > 4)
-    if stop:
-        x = x.where(~F.col("word").isin(stop))
-    x = x.distinct().groupBy("id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    order = Window.partitionBy("id").orderBy(F.desc("n"), "pos")
-    return x.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("id", "word", "n", "rank")
+    """``id, word, n, rank``: the most frequent words of more than four characters that are no stop words, earlier words first among equals.
+
+    Words are counted where their text is, so only the result leaves the row. Null and empty texts have none; repeated rows of an id count once.
+    """
+    left_out = frozenset(TOPIC_STOP if stop is None else stop)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, t in zip(b["id"], b["t"]):
+                counts = Counter(w for w in WORDS.findall(t.lower()) if len(w) > 4 and w not in left_out)
+                rows += [(i, w, n, k) for k, (w, n) in enumerate(counts.most_common(most), 1)]
+            yield pd.DataFrame(rows, columns=["id", "word", "n", "rank"])
+
+    x = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    kind = x.schema["id"].dataType.simpleString()
+    return x.mapInPandas(run, f"id {kind}, word string, n bigint, rank int").dropDuplicates(["id", "rank"])
 
 
 def distribution(classified: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ and relation.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -88,21 +89,25 @@ def component_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return components(nodes, edges).groupBy("component").agg(F.count("*").alias("n"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """``id, rank``; sums to 1. The rank of nodes without edges is shared by all. A fixed number of rounds."""
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """``id, rank``; sums to 1. The rank of nodes without edges is shared by all. Ends when no rank changes by ``tolerance``, after ``rounds`` at the latest."""
     near = both_ways(edges)
     deg = degrees(edges)
     out = cut(near.join(deg.select(F.col("id").alias("a"), "degree"), "a").select("a", "b", "degree"))
-    all_nodes = cut(nodes.select("id").distinct().join(deg, "id", "left"))
-    n = all_nodes.count()
+    rank = cut(nodes.select("id").distinct().join(deg, "id", "left"))
+    n = rank.count()
     if not n:
-        return all_nodes.select("id", F.lit(0.0).alias("rank"))
-    rank = all_nodes.select("id", "degree", F.lit(1.0 / n).alias("rank"))
-    for k in range(rounds):
-        loose = rank.where("degree is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("s")).first()["s"]
+        return rank.select("id", F.lit(0.0).alias("rank"))
+    rank = rank.select("id", "degree", F.lit(1.0 / n).alias("rank"))
+    loose = rank.where("degree is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("s")).first()["s"]
+    for _ in range(rounds):
         flow = out.join(rank.select(F.col("id").alias("a"), "rank"), "a").groupBy("b").agg(F.sum(F.col("rank") / F.col("degree")).alias("f"))
-        rank = all_nodes.join(flow, all_nodes["id"] == flow["b"], "left").select("id", "degree", ((1 - damping) / n + damping * (F.coalesce("f", F.lit(0.0)) + loose / n)).alias("rank"))
-        rank = cut(rank) if k % 4 == 3 or k == rounds - 1 else rank
+        new = (1 - damping) / n + damping * (F.coalesce("f", F.lit(0.0)) + loose / n)
+        then = cut(rank.join(flow, rank["id"] == flow["b"], "left").select("id", "degree", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")))
+        told = then.agg(F.max("change").alias("most"), F.coalesce(F.sum(F.when(F.col("degree").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose")).first()
+        rank, loose = then.select("id", "degree", "rank"), told["loose"]
+        if told["most"] < tolerance:
+            break
     return rank.select("id", "rank")
 
 
@@ -121,12 +126,12 @@ def hops(edges: DataFrame, start: str, depth: int) -> DataFrame:
     return seen
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, most: int = 20) -> list[str]:
-    """Nodes of a shortest path, empty if there is none within ``most`` steps."""
+def shortest_path(edges: DataFrame, source: str, target: str, most: int | None = None) -> list[str]:
+    """Nodes of a shortest path, empty if there is none (within ``most`` steps)."""
     near = cut(both_ways(edges))
     seen = cut(edges.sparkSession.createDataFrame([(source, 0, None)], "id string, distance int, parent string"))
     front = seen
-    for d in range(1, most + 1):
+    for d in count(1) if most is None else range(1, most + 1):
         if seen.where(F.col("id") == target).limit(1).count():
             break
         step = near.join(front.select(F.col("id").alias("a")), "a").groupBy("b").agg(F.min("a").alias("parent")).select(F.col("b").alias("id"), F.lit(d).alias("distance"), "parent")
@@ -219,61 +224,45 @@ def centralities(nodes: DataFrame, edges: DataFrame, most_edges: int = 50_000) -
     return x.groupBy("id").agg((F.sum("betweenness") * scale).alias("betweenness"), F.sum("closeness").alias("closeness"))
 
 
-def bridges_of(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Edges whose loss parts a component, by lowest reachable numbers without recursion."""
-    adjacent: dict[str, list[str]] = {}
-    for a, b in pairs:
-        adjacent.setdefault(a, []).append(b)
-        adjacent.setdefault(b, []).append(a)
-    number: dict[str, int] = {}
-    low: dict[str, int] = {}
-    out = []
-    for root in sorted(adjacent):
-        if root in number:
-            continue
-        number[root] = low[root] = len(number)
-        stack = [(root, "", iter(adjacent[root]))]
-        while stack:
-            v, parent, more = stack[-1]
-            w = next(more, None)
-            if w is None:
-                stack.pop()
-                if stack:
-                    u = stack[-1][0]
-                    low[u] = min(low[u], low[v])
-                    if low[v] > number[u]:
-                        out.append((min(u, v), max(u, v)))
-            elif w not in number:
-                number[w] = low[w] = len(number)
-                stack.append((w, v, iter(adjacent[w])))
-            elif w != parent:
-                low[v] = min(low[v], number[w])
-    return out
+def forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, parent, level`` of a breadth-first spanning forest; the roots are the smallest ids of the components, at level 0 without parent."""
+    near = cut(both_ways(edges))
+    part = components(nodes, edges)
+    front = cut(part.where("id = component").select("id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level")))
+    seen = front
+    for level in count(1):
+        step = near.join(front.select(F.col("id").alias("a")), "a").groupBy("b").agg(F.min("a").alias("parent")).select(F.col("b").alias("id"), "parent", F.lit(level).alias("level"))
+        front = cut(step.join(seen.select("id"), "id", "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(front))
 
 
-def bridges(nodes: DataFrame, edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
+def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``src, dst`` of the bridges; pairs with several relations count as one edge.
 
-    Nodes of degree one are peeled off in the DataFrame first (their edges are bridges); what remains is searched component by component,
-    each in one task, so a component of more than ``most_edges`` edges is refused.
+    A bridge is an edge of the spanning forest that no other edge goes around. Each edge outside of the forest has a random label of 128 bits at both
+    ends; the labels of a subtree are combined by exclusive or, level by level, so that an edge whose ends are both in it leaves nothing. What is left
+    at a forest edge are the labels of the edges around it.
     """
     pairs = cut(edges.select("src", "dst").distinct())
-    found = None
-    while True:
-        leaves = degrees(pairs).where("degree = 1").select("id")
-        cutoff = pairs.join(leaves.select(F.col("id").alias("src")), "src", "left_semi").unionByName(pairs.join(leaves.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")).distinct()
-        cutoff = cut(cutoff)
-        if not cutoff.limit(1).count():
-            break
-        found = cutoff if found is None else found.unionByName(cutoff)
-        pairs = cut(pairs.join(cutoff, ["src", "dst"], "left_anti"))
-    part = components(pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct(), pairs)
-    tagged = cut(pairs.join(part.select(F.col("id").alias("src"), "component"), "src"))
-    if tagged.groupBy("component").count().where(F.col("count") > most_edges).limit(1).count():
-        raise ValueError("a component is too large for one task; take a subgraph")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(bridges_of(list(zip(group["src"], group["dst"]))), columns=["src", "dst"])
-
-    rest = tagged.groupBy("component").applyInPandas(run, "src string, dst string")
-    return rest if found is None else found.unionByName(rest)
+    every = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    tree = cut(forest(every, pairs))
+    inside = tree.where("parent is not null").select(F.least("id", "parent").alias("src"), F.greatest("id", "parent").alias("dst"))
+    around = pairs.join(inside, ["src", "dst"], "left_anti").withColumn("x", F.xxhash64("src", "dst")).withColumn("y", F.xxhash64("dst", F.lit(1), "src"))
+    own = around.select(F.explode(F.array("src", "dst")).alias("id"), "x", "y").groupBy("id").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    now = cut(tree.join(own, "id", "left").select("id", "parent", "level", F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y")))
+    depth = now.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
+    below = None
+    found = []
+    for level in range(depth, 0, -1):
+        here = now.where(F.col("level") == level).select("id", "parent", "x", "y")
+        if below is not None:
+            here = here.join(below, "id", "left").select("id", "parent", *(F.col(c).bitwiseXOR(F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in "xy"))
+        here = cut(here)
+        below = here.groupBy(F.col("parent").alias("id")).agg(F.bit_xor("x").alias("_x"), F.bit_xor("y").alias("_y"))
+        found.append(here.where("x = 0 and y = 0").select(F.least("id", "parent").alias("src"), F.greatest("id", "parent").alias("dst")))
+    out = pairs.limit(0)
+    for x in found:
+        out = out.unionByName(x)
+    return out

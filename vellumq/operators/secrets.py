@@ -19,17 +19,26 @@ PATTERNS = {
     "ethereum": r"\b0x[0-9a-fA-F]{40}\b",
     "bitcoin": r"\b(?:[13][a-km-zA-HJ-NP-Z1-9]{25,34}|bc1[ac-hj-np-z02-9]{11,71})\b",
     "bcrypt": r"\$2[abxy]\$\d{2}\$[./A-Za-z0-9]{53}",
+    "argon2": r"\$argon2(?:id|i|d)\$v=\d+\$m=\d+,t=\d+,p=\d+\$[A-Za-z0-9+/]+\$[A-Za-z0-9+/]+",
+    "sha256_crypt": r"\$5\$(?:rounds=\d+\$)?[./A-Za-z0-9]{1,16}\$[./A-Za-z0-9]{43}",
+    "sha512_crypt": r"\$6\$(?:rounds=\d+\$)?[./A-Za-z0-9]{1,16}\$[./A-Za-z0-9]{86}",
+    "md5_crypt": r"\$1\$[./A-Za-z0-9]{1,8}\$[./A-Za-z0-9]{22}",
     "aws_access_key": r"\bAKIA[0-9A-Z]{16}\b",
+    "aws_secret_key": r"(?i)(?:aws_secret(?:_access)?_key|AWS_SECRET(?:_ACCESS)?_KEY|SecretAccessKey)[\s\"'=:]+([A-Za-z0-9/+=]{40})\b",
     "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36,}\b",
     "generic_api_key": r"(?i)api[_-]?key[\"\s:=]+[A-Za-z0-9_\-]{20,}",
 }
+#: A block from its head to the end of the same name, or to the end of the text.
+PEM_BLOCK = r"(?s)-----BEGIN ([A-Z0-9 ]+)-----.*?(?:-----END \1-----|\z)"
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 BECH32 = "qpzry9x8gf2tvdw0s3jn54khce6mua7l"
 #: Fixed values: (name, offset, first bytes in hex) of file formats.
 MAGIC = [
-    ("zip", 0, "504B0304"), ("gzip", 0, "1F8B"), ("bzip2", 0, "425A68"), ("xz", 0, "FD377A585A00"), ("7z", 0, "377ABCAF271C"), ("rar", 0, "526172211A07"), ("zstd", 0, "28B52FFD"),
-    ("png", 0, "89504E470D0A1A0A"), ("jpeg", 0, "FFD8FF"), ("gif", 0, "47494638"), ("pdf", 0, "25504446"), ("ole", 0, "D0CF11E0A1B11AE1"), ("sqlite", 0, "53514C69746520666F726D6174203300"),
-    ("mp4", 4, "66747970"), ("ogg", 0, "4F676753"), ("mp3", 0, "494433"), ("luks", 0, "4C554B53BABE"), ("openssl", 0, "53616C7465645F5F"), ("pgp_armour", 0, "2D2D2D2D2D424547494E20504750"),
+    ("zip", 0, "504B0304"), ("zip", 0, "504B0506"), ("gzip", 0, "1F8B"), ("bzip2", 0, "425A68"), ("xz", 0, "FD377A585A00"), ("7z", 0, "377ABCAF271C"), ("rar", 0, "526172211A07"), ("zstd", 0, "28B52FFD"),
+    ("lz4", 0, "04224D18"), ("cab", 0, "4D534346"), ("png", 0, "89504E470D0A1A0A"), ("jpeg", 0, "FFD8FF"), ("gif", 0, "474946383761"), ("gif", 0, "474946383961"), ("riff", 0, "52494646"),
+    ("tiff", 0, "49492A00"), ("tiff", 0, "4D4D002A"), ("bmp", 0, "424D"), ("mp3", 0, "494433"), ("mp3", 0, "FFFB"), ("mp3", 0, "FFF3"), ("mp3", 0, "FFF2"), ("ogg", 0, "4F676753"), ("flac", 0, "664C6143"),
+    ("mp4", 4, "66747970"), ("mkv", 0, "1A45DFA3"), ("pdf", 0, "25504446"), ("ole", 0, "D0CF11E0A1B11AE1"), ("sqlite", 0, "53514C69746520666F726D6174203300"),
+    ("mpeg", 0, "000001BA"), ("woff", 0, "774F4646"), ("woff2", 0, "774F4632"), ("luks", 0, "4C554B53BABE"), ("openssl", 0, "53616C7465645F5F"), ("pgp_armour", 0, "2D2D2D2D2D424547494E20504750"),
 ]
 
 
@@ -111,8 +120,9 @@ def wallets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def keys(df: DataFrame, id_col: str, text_col: str, most: int = 20) -> DataFrame:
     """``id, kind, value`` of keys and tokens, values cut after ``most`` characters."""
     out = None
-    for kind in ("aws_access_key", "github_token", "generic_api_key", "bcrypt"):
-        v = F.explode(F.regexp_extract_all(F.col(text_col), F.lit(PATTERNS[kind]), F.lit(0)))
+    for kind in ("aws_access_key", "aws_secret_key", "github_token", "generic_api_key", "bcrypt", "argon2", "sha256_crypt", "sha512_crypt", "md5_crypt", "pem_block"):
+        # of a block its head and end with all between, of a secret key its value
+        v = F.explode(F.regexp_extract_all(F.col(text_col), F.lit(PEM_BLOCK if kind == "pem_block" else PATTERNS[kind]), F.lit(1 if kind == "aws_secret_key" else 0)))
         x = df.select(F.col(id_col).alias("id"), F.lit(kind).alias("kind"), v.alias("v"))
         x = x.select("id", "kind", F.when(F.char_length("v") > most, F.concat(F.substring("v", 1, most), F.lit("...(truncated)"))).otherwise(F.col("v")).alias("value"))
         out = x if out is None else out.unionByName(x)
@@ -139,6 +149,38 @@ def verdicts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return x.select("id", "entropy", F.when(yes & (F.col("kind") == "none"), "unknown").otherwise(F.col("kind")).alias("encryption"), "n_artifacts", yes.alias("is_encrypted"), F.least(score, F.lit(1.0)).alias("confidence"))
 
 
+def rar_locked(data: bytes) -> bool:
+    """Whether the head of an archive or one of its files tells of encryption (RAR 4 flags, RAR 5 encryption head)."""
+    if data[6:8] == b"\x01\x00":  # RAR 5: heads of variable length; type 4 is the encryption head
+        return len(data) > 14 and 4 in data[13:15]
+    at = 7
+    while at + 7 <= len(data):
+        kind, flags, size = data[at + 2], int.from_bytes(data[at + 3 : at + 5], "little"), int.from_bytes(data[at + 5 : at + 7], "little")
+        if kind == 0x73 and flags & 0x80 or kind == 0x74 and flags & 0x04:
+            return True
+        packed = int.from_bytes(data[at + 7 : at + 11], "little") if flags & 0x8000 or kind == 0x74 else 0
+        if size < 7:
+            return False
+        at += size + packed
+    return False
+
+
+#: Versions of the OpenPGP packets that begin an encrypted message (1: session key for a public key, 3: for a password).
+_SESSION = {1: (3, 6), 3: (4, 5, 6)}
+
+
+def openpgp_session(data: bytes) -> bool:
+    """Whether the first packet is an encrypted session key of a known version."""
+    if len(data) < 8 or not data[0] & 0x80:
+        return False
+    if data[0] & 0x40:  # packets with one byte for the tag
+        tag, size = data[0] & 0x3F, next((n for high, n in ((192, 1), (224, 2)) if data[1] < high), 5 if data[1] == 255 else 0)
+    else:
+        tag, size = data[0] >> 2 & 0x0F, (1, 2, 4, 0)[data[0] & 3]
+        return data[1 + size] in _SESSION.get(tag, ())
+    return size > 0 and data[1 + size] in _SESSION.get(tag, ())
+
+
 def inspect(data: bytes) -> tuple[str, float, str]:
     """``format, entropy, encryption`` of a file's bytes: flags inside known formats, heads of encrypted ones, even entropy of unknown ones."""
     kind = next((n for n, at, code in MAGIC if data[at : at + len(code) // 2].hex().upper() == code), "unknown")
@@ -156,10 +198,14 @@ def inspect(data: bytes) -> tuple[str, float, str]:
         return kind, e, "pdf" if b"/Encrypt" in data else "none"
     if kind == "ole":
         return kind, e, "ole" if "EncryptedPackage".encode("utf-16-le") in data else "none"
+    if kind == "rar":
+        return kind, e, "rar" if rar_locked(data) else "none"
     if kind in ("luks", "openssl", "pgp_armour"):
         return kind, e, kind
-    if data[3:11] == b"-FVE-FS-":
+    if data[3:11] == b"-FVE-FS-" or data[:4] == bytes(4) and b"BitLocker" in data[:512]:
         return "bitlocker", e, "bitlocker"
+    if openpgp_session(data):
+        return "openpgp", e, "gpg"
     if kind == "unknown" and len(data) >= 65536:
         blocks = [data[i * len(data) // 4 : i * len(data) // 4 + 16384] for i in range(4)]
         if all(entropy_of(b) > 7.9 for b in blocks):
