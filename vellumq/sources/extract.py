@@ -16,13 +16,11 @@ import html
 import io
 import json
 import lzma
-import mailbox
 import os
 import re
 import sqlite3
 import struct
 import tarfile
-import tempfile
 import zipfile
 import zlib
 from collections import Counter
@@ -149,7 +147,7 @@ def xml_text(data: bytes, name: str, depth: int) -> Result:
 def html_to_text(page: str) -> tuple[str, str]:
     """Title and text of a page."""
     title = re.search(r"(?is)<title[^>]*>(.*?)</title>", page)
-    x = re.sub(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<head\b.*?</head>", " ", page)
+    x = re.sub(r"(?is)<(script|style|noscript|template|title)\b.*?</\1\s*>|<!--.*?-->|<head\b.*?</head>", " ", page)
     x = re.sub(r"(?i)<(?:br|/p|/div|/tr|/li|/h[1-6]|/td)\b[^>]*>", "\n", x)
     x = html.unescape(re.sub(r"<[^>]+>", " ", x))
     return html.unescape(title.group(1)).strip() if title else "", "\n".join(s for line in x.split("\n") if (s := " ".join(line.split())))
@@ -410,18 +408,23 @@ def eml(data: bytes, name: str, depth: int) -> Result:
     return mail_text(email.message_from_bytes(data, policy=email.policy.default), depth)
 
 
+def mbox_messages(data: bytes) -> Iterator[bytes]:
+    """Messages of a mailbox; a line "From " behind a blank line begins the next, ">From " in a body is "From "."""
+    starts = [m.start() for m in re.finditer(rb"(?:\A|(?<=\n\n)|(?<=\n\r\n))From [^\n]*\n", data)]
+    for a, b in zip(starts, [*starts[1:], len(data)]):
+        yield re.sub(rb"(?m)^>(>*From )", rb"\1", data[data.index(b"\n", a) + 1 : b])
+
+
 @register(".mbox")
 def mbox(data: bytes, name: str, depth: int) -> Result:
-    with tempfile.NamedTemporaryFile(suffix=".mbox") as f:  # a scratch copy for the library, gone with the row
-        f.write(data)
-        f.flush()
-        box = mailbox.mbox(f.name, factory=None, create=False)
-        texts, failed = [], 0
-        for m in box:
-            try:
-                texts.append(mail_text(email.message_from_bytes(m.as_bytes(), policy=email.policy.default), depth)[0])
-            except Exception:  # noqa: BLE001
-                failed += 1
+    """All messages, each with its attachments below it."""
+    texts, failed = [], 0
+    for raw in mbox_messages(data):
+        try:
+            text, _, inner = mail_text(email.message_from_bytes(raw, policy=email.policy.default), depth)
+            texts.append("\n\n".join([text, *(f"--- [вложение] {n} ---\n{t}" for n, t in inner)]))
+        except Exception:  # noqa: BLE001
+            failed += 1
     return "\n\n".join(texts), {"messages": len(texts), "failed": failed}, []
 
 
@@ -471,17 +474,27 @@ def single(data: bytes, name: str, depth: int) -> Result:
 # ---------------------------------------------------------------- databases
 
 
-@register(".sqlite .sqlite3 .db")
-def sqlite(data: bytes, name: str, depth: int) -> Result:
+def sqlite_rows(data: bytes) -> Iterator[tuple[str, list[tuple[str, object]]]]:
+    """``table, [(column, value)]`` of all rows of a database file; a file that is kept with a write-ahead log opens as it was at the last checkpoint."""
+    if data[18:20] == b"\x02\x02":
+        data = data[:18] + b"\x01\x01" + data[20:]
     con = sqlite3.connect(":memory:")
     con.deserialize(data)
-    out, tables = [], [r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name")]
-    for t in tables:
+    for (t,) in con.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name").fetchall():
         cur = con.execute('SELECT * FROM "{}"'.format(t.replace('"', '""')))
         cols = [c[0] for c in cur.description]
         for row in cur:
-            out.append(" | ".join(f"{c}: {v if not isinstance(v, bytes) else f'<{len(v)} bytes>'}" for c, v in zip(cols, row) if v is not None))
-    return "\n".join(out), {"tables": len(tables), "rows": len(out)}, []
+            yield t, list(zip(cols, row))
+
+
+def _shown(row: list[tuple[str, object]]) -> str:
+    return " | ".join(f"{c}: {v if not isinstance(v, bytes) else f'<{len(v)} bytes>'}" for c, v in row if v is not None)
+
+
+@register(".sqlite .sqlite3 .db")
+def sqlite(data: bytes, name: str, depth: int) -> Result:
+    rows = [(t, _shown(r)) for t, r in sqlite_rows(data)]
+    return "\n".join(r for _, r in rows), {"tables": len({t for t, _ in rows}), "rows": len(rows)}, []
 
 
 @register(".sql .dump")
@@ -507,44 +520,6 @@ def mysql_bytes(data: bytes, name: str, depth: int) -> Result:
     return "\n".join(x for x in [*runs, *more] if x.strip()), {}, []
 
 
-# ---------------------------------------------------------------- network captures
-
-
-@register(".pcap .cap")
-def pcap(data: bytes, name: str, depth: int) -> Result:
-    """Packets by pair of addresses, ports, names asked of DNS and HTTP request lines."""
-    order = {b"\xd4\xc3\xb2\xa1": "<", b"\xa1\xb2\xc3\xd4": ">"}.get(data[:4])
-    if not order:
-        raise ValueError("no capture head")
-    pairs, ports, asked, requests = Counter(), Counter(), set(), []
-    at, n = 24, 0
-    while at + 16 <= len(data) and n < 100_000:
-        size = struct.unpack(order + "I", data[at + 8 : at + 12])[0]
-        p = data[at + 16 : at + 16 + size]
-        at += 16 + size
-        n += 1
-        if len(p) < 34 or p[12:14] != b"\x08\x00":
-            continue
-        ip = p[14:]
-        head = (ip[0] & 15) * 4
-        pairs[".".join(map(str, ip[12:16])), ".".join(map(str, ip[16:20]))] += 1
-        seg = ip[head:]
-        if len(seg) < 8 or ip[9] not in (6, 17):
-            continue
-        to = struct.unpack(">H", seg[2:4])[0]
-        ports[to] += 1
-        if ip[9] == 17 and to == 53 and len(seg) > 20:
-            q, labels = 20, []
-            while q < len(seg) and seg[q]:
-                labels.append(seg[q + 1 : q + 1 + seg[q]].decode("ascii", "replace"))
-                q += 1 + seg[q]
-            asked.add(".".join(labels))
-        elif ip[9] == 6 and (m := re.match(rb"(?:GET|POST|PUT|DELETE|HEAD) \S+ HTTP/\d\.\d", seg[(seg[12] >> 4) * 4 :] if len(seg) > 12 else b"")):
-            requests.append(m.group().decode())
-    lines = [f"{a} -> {b}: {c}" for (a, b), c in pairs.most_common()] + [f"port {k}: {c}" for k, c in ports.most_common(20)] + [f"dns {x}" for x in sorted(asked)] + requests
-    return "\n".join(lines), {"packets": n}, []
-
-
 # ---------------------------------------------------------------- Spark
 
 
@@ -574,3 +549,25 @@ def extracted(files: DataFrame) -> DataFrame:
     schema = "path string, filename string, extension string, size bigint, mtime double, extracted_text string, metadata array<struct<key:string,value:string>>, n_attachments int, error string"
     x = files.select("path", "filename", "extension", "size", "mtime", "content").mapInPandas(_extract, schema)
     return x.withColumn("metadata", F.map_from_entries("metadata"))
+
+
+def parts(files: DataFrame) -> DataFrame:
+    """``path, part_no, kind, text``: each message of a mailbox and each row of a database as a row of its own (kind is the table, or message)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"]):
+                data, ext, rows = bytes(content), extension_of(path), []
+                try:
+                    if ext == ".mbox":
+                        rows = [("message", mail_text(email.message_from_bytes(m, policy=email.policy.default), 0)[0]) for m in mbox_messages(data)]
+                    elif ext in (".sqlite", ".sqlite3", ".db"):
+                        rows = [(t, _shown(r)) for t, r in sqlite_rows(data)]
+                except Exception as e:  # noqa: BLE001  (a broken file is a row with its error)
+                    rows = [("error", f"{type(e).__name__}: {e}"[:500])]
+                yield pd.DataFrame([(path, n, k, t) for n, (k, t) in enumerate(rows, 1)], columns=["path", "part_no", "kind", "text"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, part_no int, kind string, text string")
+
+
+from vellumq.sources import binary as _binary  # noqa: E402, F401  (its formats register themselves)
