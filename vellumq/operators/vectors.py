@@ -160,3 +160,8 @@ def context(scored: DataFrame, k: int = 5, per_doc: int = 3, most_chars: int = 6
 
 def store_stats(chunked: DataFrame) -> DataFrame:
     return chunked.agg(F.count_distinct("doc_id").alias("n_documents"), F.count("*").alias("n_chunks"))
+
+
+def delete_documents(chunks: DataFrame, gone: DataFrame) -> DataFrame:
+    """The chunks of all documents but those of ``gone`` (column doc_id)."""
+    return chunks.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*chunks.columns)

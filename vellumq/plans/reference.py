@@ -190,12 +190,12 @@ def idx_link_types(spark, sf):
 # ------------------------------------------------------------------ search and matching
 
 
-def _bm25(words: list[str], prefix: bool = True, any_word: bool = False) -> str:
+def _bm25(words: list[str], prefix: bool = True, any_word: bool = False, phrase: bool = True) -> str:
     """SQL of the ranked search."""
     cols = S.WEIGHTS
-    terms = [[w] for w in words] + ([words] if len(words) > 1 else [])
+    terms = [[w] for w in words] + ([words] if len(words) > 1 and phrase else [])
     one = lambda c, t: f"len(list_filter({c}, lambda x: {'starts_with(x, ' + chr(39) + t[0] + chr(39) + ')' if prefix else 'x = ' + chr(39) + t[0] + chr(39)}))" if len(t) == 1 else f"len(list_filter(range(1, len({c}) - {len(t) - 2}), lambda i: {c}[i:i+{len(t) - 1}] = {t}))"
-    tok = ", ".join(f"regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}]+') t_{c}" for c in cols)
+    tok = ", ".join(f"regexp_extract_all(translate(lower(coalesce({c}, '')), '{S.ACCENTS[0]}', '{S.ACCENTS[1]}'), '[\\p{{L}}\\p{{N}}]+') t_{c}" for c in cols)
     tfs = ", ".join("(" + " + ".join(f"{w} * {one('t_' + c, t)}" for c, w in cols.items()) + f") tf{i}" for i, t in enumerate(terms))
     dl = " + ".join(f"len(t_{c})" for c in cols)
     n = len(terms)
@@ -223,7 +223,7 @@ def fts_whole_words(spark, sf):
     return S.search(files(spark, sf), "вертрагс договор", prefix=False, any_word=True).select("id", "path", "score")
 
 
-@query("""WITH t AS (SELECT DISTINCT id, extracted_text FROM files), w AS (SELECT id, unnest(regexp_extract_all(lower(extracted_text), '[\\p{L}\\p{N}]+')) term FROM t)
+@query("""WITH t AS (SELECT DISTINCT id, extracted_text FROM files), w AS (SELECT id, unnest(regexp_extract_all(translate(lower(extracted_text), '""" + S.ACCENTS[0] + """', '""" + S.ACCENTS[1] + """'), '[\\p{L}\\p{N}]+')) term FROM t)
 SELECT term, count(DISTINCT id) n_files, count(*) n_all FROM w GROUP BY term""")
 def fts_term_stats(spark, sf):
     return S.term_stats(files(spark, sf).select("id", "extracted_text").distinct())
