@@ -14,7 +14,6 @@ import random
 import re
 from collections.abc import Iterable, Iterator
 from email.utils import parsedate_to_datetime
-from math import log1p
 
 import numpy as np
 import pyarrow as pa
@@ -277,30 +276,41 @@ def labelled_mail(r: random.Random, sender: Sender, earlier: list[str]) -> list[
 
 
 class Counts:
-    """Counts over other mails: how many mails have a block, how many of its sender do, and when a sentence first stood in its thread."""
+    """Counts over other mails: what share of all mails and of those of its sender have a block, and when a sentence first stood in its thread.
 
-    def __init__(self, rows: Iterable[tuple[int, int, int, float | None]] = ()):
+    Shares, not numbers, so that a collection of any size gives the same features.
+    """
+
+    def __init__(self, rows: Iterable[tuple[int, int, int, float | None]] = (), total: int = 1):
         self.known = {(kind, k): (n, first) for kind, k, n, first in rows}
+        self.total = total
 
     @classmethod
     def over(cls, mails: Iterable[tuple[str, str, float | None, list[dict]]]) -> Counts:
         n: dict[tuple[int, int], int] = {}
         first: dict[tuple[int, int], float] = {}
+        total = 0
         for address, subject, at, bs in mails:
+            total += 1
             for x in block_keys(address, subject, bs):
                 n[x] = n.get(x, 0) + 1
                 if at is not None:
                     first[x] = min(at, first.get(x, at))
-        return cls((*x, m, first.get(x)) for x, m in n.items())
+        return cls(((*x, m, first.get(x)) for x, m in n.items()), total)
+
+    def others(self, kind: int, k: int) -> int:
+        """How many other mails have a key."""
+        return self.known.get((kind, k), (1, None))[0] - 1
 
     def features(self, address: str, subject: str, at: float | None, bs: list[dict]) -> np.ndarray:
         """Sender frequency, block frequency and ancestor overlap of each block: a sentence counts if an earlier mail of the thread has it."""
         c = np.zeros((len(bs), 3))
+        mine = max(1, self.others(3, key(address)))
         for k, b in enumerate(bs):
             s = normal(b["lines"])
             if len(s) >= 4:
-                c[k, 0] = log1p(self.known.get((1, key(f"{address} {s}")), (1, None))[0] - 1)
-                c[k, 1] = log1p(self.known.get((0, key(s)), (1, None))[0] - 1)
+                c[k, 0] = self.others(1, key(f"{address} {s}")) / mine
+                c[k, 1] = self.others(0, key(s)) / max(1, self.total - 1)
             ks = sentence_keys(b["lines"], subject)
             firsts = (self.known.get((2, q), (1, None))[1] for q in ks)
             c[k, 2] = sum(at is not None and f is not None and f < at for f in firsts) / len(ks) if ks else 0
@@ -308,8 +318,8 @@ class Counts:
 
 
 def block_keys(address: str, subject: str, bs: list[dict]) -> set[tuple[int, int]]:
-    """Keys of the blocks of a mail (kind 0), with the sender (kind 1), and of its sentences in the thread of its subject (kind 2)."""
-    out: set[tuple[int, int]] = set()
+    """Keys of the blocks of a mail (kind 0), with the sender (kind 1), of its sentences in the thread of its subject (kind 2), and of the sender (kind 3)."""
+    out: set[tuple[int, int]] = {(3, key(address))}
     for b in bs:
         s = normal(b["lines"])
         if len(s) >= 4:
@@ -360,9 +370,9 @@ def structural_labels(bs: list[dict], x: np.ndarray) -> list[int | None]:
             out[i] = 1
         elif b["sep"] == 1 and len(b["lines"]) <= 5 and (CONTACT.search(text) or NAME.fullmatch(b["lines"][0])):
             out[i], signed = 2, True
-        elif sender_n >= log1p(1) and (CONTACT.search(text) or len(b["lines"]) <= 4 and NAME.fullmatch(b["lines"][-1])):
+        elif sender_n > 0 and (CONTACT.search(text) or len(b["lines"]) <= 4 and NAME.fullmatch(b["lines"][-1])):
             out[i], signed = 2, True
-        elif signed and sender_n >= log1p(1) and len(text.split()) >= 12:
+        elif signed and sender_n > 0 and len(text.split()) >= 12:
             out[i] = 3
         elif not signed and i <= 1 and text[-1] in ".!?…" and len(text.split()) >= 10 and not CONTACT.search(text) and not LEGAL_START.match(text):
             out[i] = 0
@@ -402,7 +412,8 @@ def decide(bs: list[dict], scores: np.ndarray) -> list[int]:
             part[i] = 1
         elif part[i] == 1 and not b["depth"]:
             text = " ".join(b["lines"])
-            begins = bool(INTRO.search(text)) or bool(BANNER.match(text)) or sum(bool(HEADER.fullmatch(x)) for x in b["lines"]) >= 2
+            words_between = BANNER.match(text) and text.strip("-_= ")  # a line of signs alone may as well begin a signature
+            begins = bool(INTRO.search(text)) or bool(words_between) or sum(bool(HEADER.fullmatch(x)) for x in b["lines"]) >= 2
             marked = i + 1 < len(bs) and bs[i + 1]["depth"] > 0
             rest = begins and not marked
     for i, b in enumerate(bs):  # a line before an introduction or a signature belongs to it
@@ -456,11 +467,11 @@ def sentence_keys(lines: list[str], subject: str) -> list[int]:
     return [key(f"{subject}\n{s}") for x in SENTENCE.split(" ".join(lines)) if subject and (s := " ".join(words(x))).count(" ") >= 4]
 
 
-def counted(rows: list | None) -> Counts:
-    return Counts((a["kind"], a["key"], a["n"], a["first"]) for a in rows or ())
+def counted(rows: list | None, total: int) -> Counts:
+    return Counts(((a["kind"], a["key"], a["n"], a["first"]) for a in rows or ()), total)
 
 
-def _classify(models):
+def _classify(models, total: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = models.value
         for batch in batches:
@@ -469,7 +480,7 @@ def _classify(models):
             for r in rows:
                 bs = blocks(r["body"])
                 x = features(bs, r["sender"])
-                c = counted(r["counts"]).features(r["address"], r["subject"], r["at"], bs)
+                c = counted(r["counts"], total).features(r["address"], r["subject"], r["at"], bs)
                 all_blocks.append(bs)
                 xs.append(np.hstack([x, c]))
             x = np.vstack(xs) if xs else np.empty((0, N_OWN + 3))
@@ -507,8 +518,9 @@ def newly_written(results: DataFrame, id_col: str = "result_id", text_col: str =
     counts = keys.join(often, ["kind", "key"]).groupBy("id").agg(F.collect_list(F.struct("kind", "key", "n", "first")).alias("counts"))
     every = cut(mail.join(counts, "id", "left"))
     some = every.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
-    known = counted([a for r in some for a in r["counts"] or ()])
-    return every.mapInArrow(_classify(b(trained(mails, some, known))), "result_id bigint, new_text string, foreign_parts array<string>")
+    total = every.count()
+    known = counted([a for r in some for a in r["counts"] or ()], total)
+    return every.mapInArrow(_classify(b(trained(mails, some, known)), total), "result_id bigint, new_text string, foreign_parts array<string>")
 
 
 def foreign_parts(results: DataFrame) -> DataFrame:
