@@ -15,6 +15,7 @@ def test_folder(spark, tmp_path):
     assert x.index(str(src)) == {"new": 3} and x.index(str(src)) == {"unchanged": 3}
     assert {r["filename"] for r in x.scan("договоры поставки").collect()} == {"contract.txt", "copy.txt"}
     assert [r["path"].rpartition("/")[2] for r in x.search("сервер").collect()] == ["memo.txt"]
+    assert [r["path"].rpartition("/")[2] for r in x.find("сервер").collect()] == ["memo.txt"] and "<mark>" in x.answers("сервер").first()["snippet"]
     assert x.status().first()["n_files"] == 3 and {r["category"] for r in x.classify().collect()} == {"юридический", "техническая"}
     exact, members, pairs = x.dedup()
     assert exact.first()["groups"] == 1 and members.groupBy("rep").count().where("count = 2").count() == 1 and pairs.count() == 0

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumq.functions.text import Matcher, matching, scorer, snippet
-from vellumq.operators import answers, classify, entities, fingerprints, graph, index, search, secrets, timeline
+from vellumq.operators import answers, classify, entities, fingerprints, graph, index, lookup, search, secrets, timeline
+from vellumq.session import broadcast_if_small, cut, read_text, write_text
 from vellumq.sources import extract, sinks
 
 
@@ -21,14 +22,10 @@ class Index:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        os.makedirs(self.folder, exist_ok=True)
 
     def _version(self) -> int:
-        try:
-            with open(f"{self.folder}/current.json", encoding="utf-8") as f:
-                return int(json.load(f)["version"])
-        except FileNotFoundError:
-            return 0
+        text = read_text(self.spark, f"{self.folder}/current.json")
+        return int(json.loads(text)["version"]) if text else 0
 
     @property
     def files(self) -> DataFrame:
@@ -43,9 +40,8 @@ class Index:
         files.write.mode("overwrite").parquet(f"{self.folder}/v{v}/files")
         saved = self.spark.read.parquet(f"{self.folder}/v{v}/files")
         index.entity_pairs(saved).select("entity1", "entity1_type", "entity2", "entity2_type", "file_id", F.lit(None).cast("string").alias("context"), F.lit(1.0).alias("weight")).write.mode("overwrite").parquet(f"{self.folder}/v{v}/entity_links")
-        with open(f"{self.folder}/current.tmp", "w", encoding="utf-8") as f:
-            json.dump({"version": v}, f)
-        os.replace(f"{self.folder}/current.tmp", f"{self.folder}/current.json")
+        search.write_postings(saved.select("id", "path", "filename", "extracted_text", "entities_json"), f"{self.folder}/v{v}/postings")
+        write_text(self.spark, f"{self.folder}/current.json", json.dumps({"version": v}))
 
     def index(self, folder: str, clean_up: bool = False) -> dict[str, int]:
         """Extract new and changed files, keep the rest; with ``clean_up`` drop files that vanished below the folder. Counts by status."""
@@ -53,15 +49,19 @@ class Index:
         meta = found.drop("content")
         known = self.files if self._version() else None
         status = index.changed(meta, known) if known is not None else meta.select("path", F.lit("new").alias("status"))
-        todo = found.join(F.broadcast(status.where("status <> 'unchanged'").select("path")), "path", "left_semi")
-        texts = extract.extracted(todo)
+        status = cut(status)
+        counts = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
+        changed = status.where("status <> 'unchanged'").select("path")
+        todo = found.join(broadcast_if_small(changed, sum(n for k, n in counts.items() if k != "unchanged"), 200), "path", "left_semi")
+        staging = f"{self.folder}/staging"  # texts are extracted once and read twice
+        extract.extracted(todo).write.mode("overwrite").parquet(staging)
+        texts = self.spark.read.parquet(staging)
         kinds = entities.extract_entities(texts.select(F.xxhash64("path").alias("id"), "extracted_text"))
         lists = kinds.groupBy("id", "kind").agg(F.array_sort(F.collect_list(F.struct("ord", "value"))).alias("v")).groupBy("id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("kind", F.col("v.value"))))).alias("entities_json"))
         fresh = texts.withColumn("id", F.xxhash64("path")).join(lists, "id", "left").select(
             "path", "filename", "extension", "size", "mtime", F.md5("extracted_text").alias("hash_md5"), F.current_timestamp().alias("indexed_at"), "extracted_text", F.coalesce("entities_json", F.lit("{}")).alias("entities_json")
         )
         base = known if known is not None else self.spark.createDataFrame([], "id bigint, path string, filename string, extension string, size bigint, mtime double, hash_md5 string, indexed_at timestamp, extracted_text string, entities_json string")
-        counts = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}
         merged = index.upsert(base, fresh)
         if clean_up and known is not None:
             gone = index.missing(base, meta, os.path.abspath(folder))
@@ -71,8 +71,18 @@ class Index:
         return counts
 
     def search(self, query: str, limit: int = 100, least: float = 0.0, **options) -> DataFrame:
+        """Ranked rows by words and phrase, from the texts."""
         return search.search(self.files, query, limit, **options).where(F.col("score") >= least)
 
+    def find(self, query: str, limit: int = 100, **options) -> DataFrame:
+        """Ranked rows by words alone, from the postings at rest: only the terms of the query are read."""
+        folder = f"{self.folder}/v{self._version()}/postings"
+        return search.search_kept(self.spark.read.parquet(f"{folder}/terms"), self.spark.read.parquet(f"{folder}/docs"), query, limit, **options)
+
+    def answers(self, query: str, limit: int = 20, least: float = 0.0) -> DataFrame:
+        """Hits with marked snippets, ranked again by their relevance."""
+        return lookup.search_reranked(self.files, query, limit, least)
+
     def scan(self, query: str, limit: int = 100, least: float = 0.1) -> DataFrame:
         """Files that match a query in any form of its words or with misread characters, with relevance and a snippet."""
         m = Matcher(query)

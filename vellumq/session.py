@@ -27,13 +27,15 @@ def bound_arrow(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a temporary one only where none is set (tests)."""
+    """The shared checkpoint folder of the session; a temporary one only where none is set and all runs on one machine (tests)."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     folder = sc.getConf().get("spark.checkpoint.dir", "")
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="vellumq-ckpt-")
     sc.setCheckpointDir(folder)
     return folder
@@ -45,6 +47,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file of any file system that Spark knows; none if there is none."""
+    p, fs = _file(spark, path)
+    if not fs.exists(p):
+        return None
+    return "\n".join(r[0] for r in spark.read.text(path).collect())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file of any file system that Spark knows."""
+    p, fs = _file(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def broadcast_if_small(df: DataFrame, rows: int, bytes_per_row: int, limit_bytes: int = 64 << 20) -> DataFrame:
     """``broadcast(df)`` when its counted size is below the limit, else ``df`` for a shuffled join."""
     return F.broadcast(df) if rows * bytes_per_row <= limit_bytes else df

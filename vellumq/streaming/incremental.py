@@ -28,6 +28,13 @@ def index_stream(stream: DataFrame, target: str, checkpoint: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def current_index(spark: SparkSession, target: str) -> DataFrame:
+    """The index that :func:`index_stream` writes, with one row per path: that of the last batch which had it. Texts are not shuffled, only the latest batch of each path is looked up."""
+    rows = spark.read.parquet(target)
+    last = rows.groupBy("path").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["path", "batch"], "left_semi")
+
+
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Events by type and window of event time, with a watermark for late rows; the same for batch and stream."""
     w = F.window("ts", window, slide) if slide else F.window("ts", window)
