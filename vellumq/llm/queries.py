@@ -175,4 +175,10 @@ SELECT id, CASE
     "p7_found": f"""WITH {_GRAMS} SELECT id1, id2 FROM c JOIN s a ON a.id = id1 JOIN s b ON b.id = id2 WHERE c >= 0.7 * (a.n + b.n - c)""",
     "p8_found": f"{_RUNS} SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (h)",
 }
+SQL["p7_groups"] = f"""WITH {_GRAMS}, k AS (SELECT id, list_sort(list(h)) k FROM g GROUP BY id),
+m AS (SELECT id, min(id) OVER (PARTITION BY k) class_id, count(*) OVER (PARTITION BY k) copies FROM k),
+near AS (SELECT id1, id2 FROM c JOIN s a ON a.id = id1 JOIN s b ON b.id = id2 WHERE c >= 0.8 * (a.n + b.n - c)),
+l AS (SELECT x.class_id a, y.class_id b FROM near JOIN m x ON x.id = id1 JOIN m y ON y.id = id2 WHERE x.class_id <> y.class_id),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), n AS (SELECT a, count(*) n FROM e GROUP BY a)
+SELECT m.id, class_id, copies, coalesce(n.n, 0) n_links FROM m LEFT JOIN n ON n.a = class_id"""
 SQL["p4_pieces"] = _PIECES.replace("{boundary}", SQL["p4_found"])
