@@ -61,6 +61,8 @@ class Index:
         fresh = texts.withColumn("id", F.xxhash64("path")).join(lists, "id", "left").select(
             "path", "filename", "extension", "size", "mtime", F.md5("extracted_text").alias("hash_md5"), F.current_timestamp().alias("indexed_at"), "extracted_text", F.coalesce("entities_json", F.lit("{}")).alias("entities_json")
         )
+        if known is not None and not clean_up and set(counts) <= {"unchanged"}:
+            return counts  # nothing to write
         base = known if known is not None else self.spark.createDataFrame([], "id bigint, path string, filename string, extension string, size bigint, mtime double, hash_md5 string, indexed_at timestamp, extracted_text string, entities_json string")
         merged = index.upsert(base, fresh)
         if clean_up and known is not None:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumq.session import spread
+
 #: Beginnings of words (or whole phrases) of each category, in the order that breaks ties.
 CATEGORIES = {
     "финансы": ["оплат", "счет", "баланс", "перевод", "сумм", "рубл", "доллар", "банк", "бюджет", "прибыл", "убыт", "налог", "кредит"],
@@ -61,8 +63,7 @@ def classify(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     The category is the one with most hits; the confidence is best / (best + second), or 0.9 if one alone has hits.
     Rows of an id that come twice count once.
     """
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    x = df.select(F.col(id_col).alias("id"), t.alias("t"), norm(F.col(text_col)).alias("n"))
+    x = spread(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))).select("id", "t", norm(F.col("t")).alias("n"))
     x = x.withColumn("w", words(F.col("n")))
     hits = F.array(*(F.struct(counts(F.col("n"), F.col("w"), k).alias("c"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, k) in enumerate(CATEGORIES.items())))
     x = x.select(
@@ -105,7 +106,7 @@ def topics(df: DataFrame, id_col: str, text_col: str, most: int = 5, stop: list[
                 rows += [(i, w, n, k) for k, (w, n) in enumerate(counts.most_common(most), 1)]
             yield pd.DataFrame(rows, columns=["id", "word", "n", "rank"])
 
-    x = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    x = spread(df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")))
     kind = x.schema["id"].dataType.simpleString()
     return x.mapInPandas(run, f"id {kind}, word string, n bigint, rank int").dropDuplicates(["id", "rank"])
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from vellumq.functions.text import let
-from vellumq.session import cut
+from vellumq.session import cut, spread
 
 #: Words of a shingle, least words of a text, hashes of a sketch.
 SHINGLE, LEAST, SKETCH = 5, 10, 256
@@ -98,7 +98,8 @@ def near_pairs(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8
     first. The similarity is that of the sketches, rounded to four digits. Texts of less than ten words and nulls are in neither;
     repeated rows of an id count once.
     """
-    x = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), sketch(words(F.col(text_col)), hasher).alias("s")).where(F.size("s") > 0)
+    texts = spread(df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t")))
+    x = texts.select("id", sketch(words(F.col("t")), hasher).alias("s")).where(F.size("s") > 0)
     x = cut(x.dropDuplicates(["id"]).withColumn("key", F.xxhash64("s")))
     classes = cut(x.groupBy("key", "s").agg(F.min("id").alias("rep")))
     members = x.select("id", "key", "s").join(classes, ["key", "s"]).select("id", "rep")

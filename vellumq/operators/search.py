@@ -13,7 +13,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumq.session import cut
+from vellumq.session import cut, spread
 
 #: Weights of the columns, BM25 parameters, most tokens of a query.
 WEIGHTS = {"path": 5.0, "filename": 10.0, "extracted_text": 1.0, "entities_json": 3.0}
@@ -70,7 +70,7 @@ def search(files: DataFrame, query: str, limit: int = 100, prefix: bool = True,
     terms = [[w] for w in words] + ([words] if len(words) > 1 else [])
     if not words:
         return files.select("id", "path", F.lit(0.0).alias("strength"), F.lit(0.0).alias("score")).limit(0)
-    rows = files.select("id", "path", *(folded(F.col(c)).alias(f"_{c}") for c in WEIGHTS))
+    rows = spread(files.select("id", *WEIGHTS)).select("id", "path", *(folded(F.col(c)).alias(f"_{c}") for c in WEIGHTS))
     counts = [sum((F.lit(w) * _count(F.col(f"_{c}"), t, prefix and len(t) == 1) for c, w in WEIGHTS.items()), F.lit(0.0)).alias(f"tf{i}") for i, t in enumerate(terms)]
     length = sum((F.regexp_count(f"_{c}", F.lit(TOKEN)) for c in WEIGHTS), F.lit(0)).alias("dl")
     rows = cut(rows.select("id", "path", length, *counts).dropDuplicates(["id"]))  # the texts are read once; numbers alone are kept
@@ -107,7 +107,7 @@ def postings(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Written by :func:`write_postings`, so that a search reads the terms of its query alone.
     """
-    x = files.dropDuplicates(["id"])
+    x = files.select("id", *WEIGHTS).dropDuplicates(["id"])
     both = [x.select("id", F.lit(w).alias("w"), F.explode(tokens(F.col(c))).alias("term")) for c, w in WEIGHTS.items()]
     every = both[0]
     for y in both[1:]:

@@ -15,7 +15,7 @@ from vellumq.operators import search as S
 from vellumq.operators import secrets as P
 from vellumq.operators import timeline as D
 from vellumq.operators import vectors as V
-from vellumq.session import cut, table
+from vellumq.session import cut, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -256,7 +256,7 @@ def txt_match_forms(spark, sf):
 @query()
 def txt_relevance(spark, sf):
     q = "сверки платежей"
-    return documents(spark, sf).where("text is not null").select("doc_id", T.scorer(q)("text").alias("score")).where("score > 0.1")
+    return spread(documents(spark, sf).where("text is not null").select("doc_id", "text")).select("doc_id", T.scorer(q)("text").alias("score")).where("score > 0.1")
 
 
 @query("""WITH v AS (SELECT DISTINCT entity1 v FROM entity_links WHERE entity1_type = 'ORGANIZATIONS'), q AS (SELECT min(v) q FROM v),
@@ -395,7 +395,7 @@ def dup_report(spark, sf):
 def dup_sketches(spark, sf):
     w = U.words(F.col("extracted_text"))
     s = U.sketch(w, hasher=lambda x: F.substring(F.md5(x), 1, 16))
-    return files(spark, sf).where("extracted_text is not null").select("id", F.array_join(s, ",").alias("sketch"), F.size(w).alias("n")).where("n >= 10").select("id", "sketch").dropDuplicates(["id"])
+    return spread(files(spark, sf).where("extracted_text is not null").select("id", "extracted_text")).select("id", F.array_join(s, ",").alias("sketch"), F.size(w).alias("n")).where("n >= 10").select("id", "sketch").dropDuplicates(["id"])
 
 
 _BITS = " | ".join(f"(CASE WHEN 2 * count(*) FILTER ((h >> {k}) & 1 = 1) > count(*) THEN 1::UBIGINT << {k} ELSE 0::UBIGINT END)" for k in range(64))

@@ -70,6 +70,17 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A narrow scan over all cores where the table has fewer partitions than there are cores, as one small file has; larger tables stay as they are read."""
+    if df.isStreaming:
+        return df
+    plan = df._jdf.queryExecution().executedPlan()
+    if "Exchange" in plan.toString() or "Adaptive" in plan.toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if plan.execute().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, bytes_per_row: int, limit_bytes: int = 64 << 20) -> DataFrame:
     """``broadcast(df)`` when its counted size is below the limit, else ``df`` for a shuffled join."""
     return F.broadcast(df) if rows * bytes_per_row <= limit_bytes else df
