@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumq.functions.words import WORD, fold
-from vellumq.session import bound_arrow
+from vellumq.session import bound_arrow, spread
 
 SCHEMA = "doc_id bigint, item_id bigint, n_words int, longest int, first_char int, last_char int"
 #: Characters of normalised item text that one automaton holds (about 100 MB of it); more items are scanned in blocks.
@@ -121,6 +121,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, run: int = 12, id_col: str =
         size += len(row["t"])
         blocks[-1].append((row["i"], w))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null and doc_id is not null")
+    texts = spread(texts)
     out = None
     for block in blocks:
         key = xxhash.xxh3_64_intdigest(repr(block).encode("utf-8", "surrogatepass")), run

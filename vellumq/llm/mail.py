@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from vellumq.functions.words import words
 from vellumq.learn.gbt import Boosted, fit
 from vellumq.llm.encoding import Restorer, prepared
-from vellumq.session import bound_arrow, cut
+from vellumq.session import bound_arrow, cut, spread
 
 PARTS = ["new", "quoted", "signature", "disclaimer"]
 
@@ -510,6 +510,7 @@ def newly_written(results: DataFrame, id_col: str = "result_id", text_col: str =
     spark = results.sparkSession
     bound_arrow(spark)
     x = results.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null and text <> ''")
+    x = spread(x)
     b = spark.sparkContext.broadcast
     mail = cut(x.mapInArrow(_prepare(b(prepared(x))), "id bigint, sender string, address string, subject string, at double, body string").dropDuplicates(["id"]))
     keys = mail.mapInArrow(_keys, "id bigint, kind int, key bigint, at double")

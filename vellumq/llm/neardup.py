@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumq.functions.words import words
-from vellumq.session import bound_arrow, cut
+from vellumq.session import bound_arrow, cut, spread
 
 GRAM = 5
 #: Slots of the frequency sketch that gives the global order, and the slots of one of its rows.
@@ -404,7 +404,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "id", t
     """
     spark = df.sparkSession
     bound_arrow(spark)
-    docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    docs = spread(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null"))
     every = cut(docs.mapInArrow(_sets(least_words), "id bigint, sig binary, n int, counts binary, block int"))
     sets = every.where("id is not null")
     total = sets.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("grams")).first()

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumq.session import bound_arrow
+from vellumq.session import bound_arrow, spread
 
 KINDS = ["person", "email", "phone", "id_number", "address"]
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
@@ -611,7 +611,7 @@ def personal_data(files: DataFrame, most: int = 900, id_col: str = "id", text_co
     bound_arrow(spark)
     x = files.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(json_col).alias("entities")).where("id is not null")
     model = spark.sparkContext.broadcast(fit(x, most))
-    found = x.where("text is not null or entities is not null").mapInArrow(_find(model), "id bigint, field string, kind string, value string, start int")
+    found = spread(x.where("text is not null or entities is not null")).mapInArrow(_find(model), "id bigint, field string, kind string, value string, start int")
     return found.select("id", "field", "kind", "value").distinct()
 
 
@@ -686,5 +686,5 @@ def redacted(files: DataFrame, most: int = 900, id_col: str = "id", text_col: st
     bound_arrow(spark)
     x = files.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(json_col).alias("entities")).where("id is not null")
     model = spark.sparkContext.broadcast(fit(x, most))
-    some = x.where("text is not null or entities is not null")
+    some = spread(x.where("text is not null or entities is not null"))
     return some.mapInArrow(_redact(model), "id bigint, redacted string, n_spans int, redacted_entities string, n_entries int").dropDuplicates(["id"])

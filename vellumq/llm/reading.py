@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from vellumq.functions.words import fold
 from vellumq.learn.gbt import Boosted, fit
-from vellumq.session import bound_arrow
+from vellumq.session import bound_arrow, spread
 
 TOKEN = re.compile(r"\w+|[.!?…]+|[,;:()«»\"—–]|\n\s*\n")
 _VOWELS = re.compile(r"[aeiouyäöüаеёиоуыэюя]+", re.I)
@@ -229,7 +229,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, most: int = 6000) -> Data
     if not len(y):
         return x.select("doc_id", F.lit(None).cast("double").alias("grade"), F.lit(None).cast("int").alias("level")).distinct()
     reader, _ = learn(texts, y, sources)
-    return x.mapInArrow(_score(spark.sparkContext.broadcast(reader)), "doc_id bigint, grade double, level int").dropDuplicates(["doc_id"])
+    return spread(x).mapInArrow(_score(spark.sparkContext.broadcast(reader)), "doc_id bigint, grade double, level int").dropDuplicates(["doc_id"])
 
 
 def reading_profile(docs: DataFrame, labels: DataFrame) -> DataFrame:

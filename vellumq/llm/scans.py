@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellumq.functions.words import fold
-from vellumq.session import bound_arrow, cut
+from vellumq.session import bound_arrow, cut, spread
 
 #: What comes from a scanner.
 SCANNED = [".pdf", ".tiff", ".tif", ".djvu", ".jpg", ".jpeg", ".png"]
@@ -578,7 +578,7 @@ def repaired_scans(files: DataFrame, id_col: str = "id", text_col: str = "extrac
     spark = files.sparkSession
     bound_arrow(spark)
     x = files.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.lower(F.regexp_extract(F.col(name_col), r"(\.\w+)$", 1)).alias("ending"))
-    x = x.where("id is not null and text is not null and text <> ''")
+    x = spread(x.where("id is not null and text is not null and text <> ''"))
     words, pairs = lexicon(x)
     laid = cut(x.where(F.col("ending").isin(SCANNED)).select("id", "text").mapInArrow(_laid_out, "id bigint, laid string, defects array<string>").dropDuplicates(["id"]))
     known = cut(candidates(laid.select("laid").mapInArrow(_words, "word string").distinct(), words))
