@@ -241,7 +241,7 @@ def txt_stems(spark, sf):
     return v.where(F.col("word").rlike("^[а-яё]+$")).select("word", T.stem("word").alias("stem"))
 
 
-@query("""SELECT doc_id, least(len(regexp_extract_all(lower(text), '(?:^|[^\\p{L}\\p{N}])(ledger)')), 200)::INT hits FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])ledger($|[^\\p{L}\\p{N}])')""")
+@query("""SELECT doc_id, len(regexp_extract_all(lower(text), '(?:^|[^\\p{L}\\p{N}])(ledger)'))::INT hits FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])ledger($|[^\\p{L}\\p{N}])')""")
 def txt_match(spark, sf):
     m = T.Matcher("ledger", stems=False)
     return documents(spark, sf).select("doc_id", m.hits(F.col("text")).cast("int").alias("hits")).where("hits > 0")
