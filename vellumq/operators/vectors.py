@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 from math import sqrt
 
 import numpy as np
@@ -87,29 +89,20 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int =
 
 def chunk_text(text: str | None, size: int = 80, overlap: int = 15) -> list[str]:
     """Chunks of whole sentences up to ``size`` words; a chunk repeats trailing sentences of up to ``overlap`` words; longer sentences are cut with that stride."""
+    sentences = [w for s in re.split(r"(?<=[.!?…])\s+|\n+", text or "") if (w := s.split())]
     out: list[str] = []
-    here: list[list[str]] = []
-    for s in re.split(r"(?<=[.!?…])\s+|\n+", (text or "").strip()):
-        w = s.split()
-        if not w:
+    for long, group in groupby(sentences, key=lambda w: len(w) > size):
+        if long:
+            out += [" ".join(w[a : a + size]) for w in group for a in range(0, len(w) - overlap, size - overlap)]
             continue
-        if len(w) > size:
-            if here:
-                out.append(" ".join(x for y in here for x in y))
-                here = []
-            out += [" ".join(w[a : a + size]) for a in range(0, max(1, len(w) - overlap), size - overlap)]
-            continue
-        if here and sum(map(len, here)) + len(w) > size:
-            out.append(" ".join(x for y in here for x in y))
-            keep: list[list[str]] = []
-            for y in reversed(here):
-                if sum(map(len, keep)) + len(y) > overlap or sum(map(len, keep)) + len(y) + len(w) > size:
-                    break
-                keep.insert(0, y)
-            here = keep
-        here.append(w)
-    if here:
-        out.append(" ".join(x for y in here for x in y))
+        some = list(group)
+        ends = list(accumulate(map(len, some), initial=0))  # words before each sentence
+        first = last = 0
+        while last < len(some):
+            last = bisect_right(ends, ends[first] + size) - 1
+            out.append(" ".join(" ".join(w) for w in some[first:last]))
+            if last < len(some):  # the next chunk begins so far back as the overlap and its first new sentence allow
+                first = bisect_left(ends, max(ends[last] - overlap, ends[last + 1] - size))
     return out
 
 
@@ -155,7 +148,7 @@ def context(scored: DataFrame, k: int = 5, per_doc: int = 3, most_chars: int = 6
     order = Window.partitionBy().orderBy(F.desc("score"), "chunk_id")  # k rows
     x = top.withColumn("number", F.row_number().over(order)).withColumn("before", F.sum(F.char_length("text")).over(order) - F.char_length("text"))
     room = F.lit(most_chars) - F.col("before")
-    return x.where((room >= 200) | (F.col("number") == 1)).select("number", "chunk_id", "doc_id", "score", F.expr(f"substring(text, 1, greatest(0, {int(most_chars)} - int(before)))").alias("text"))
+    return x.where((room >= 200) | (F.col("number") == 1)).select("number", "chunk_id", "doc_id", "score", _shortened(F.col("text"), room).alias("text"))
 
 
 def store_stats(chunked: DataFrame) -> DataFrame:
@@ -165,3 +158,10 @@ def store_stats(chunked: DataFrame) -> DataFrame:
 def delete_documents(chunks: DataFrame, gone: DataFrame) -> DataFrame:
     """The chunks of all documents but those of ``gone`` (column doc_id)."""
     return chunks.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*chunks.columns)
+
+
+def _shortened(text: Column, room: Column) -> Column:
+    """A text, or what of it fits up to the end of a word (of any character where there is no white space)."""
+    part = F.substring(text, F.lit(1), F.greatest(room, F.lit(0)).cast("int"))
+    words = F.regexp_extract(part, r"(?s)^(.*\S)\s", 1)
+    return F.when(F.char_length(text) <= room, text).when(words != "", words).otherwise(part)
