@@ -597,7 +597,20 @@ def vec_neighbours(spark, sf):
     return V.neighbours(e, e.where("vec_id % 50 = 0"), k=10).withColumn("score", F.round("score", 6))
 
 
-@query()
+_CHUNKS = r"""WITH RECURSIVE d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?…])[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+', '\1' || chr(10), 'g'), '\n+'), lambda x: len(list_filter(regexp_split_to_array(x, '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]+'), lambda w: w <> ''))), lambda n: n > 0) n FROM d),
+g AS (SELECT doc_id, n, i, n[i] > 80 long, CASE WHEN i > 1 AND n[i - 1] <= 80 AND n[i] <= 80 THEN 0 ELSE 1 END fresh FROM (SELECT doc_id, n, unnest(range(1, len(n) + 1)) i FROM s)),
+h AS (SELECT doc_id, i, n[i] m, long, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) part FROM g),
+b AS (SELECT doc_id, part, min(i) i, list(m ORDER BY i) m FROM h WHERE NOT long GROUP BY ALL),
+e AS (SELECT doc_id, part, m, list_transform(range(0, len(m) + 1), lambda k: coalesce(list_sum(m[1:k]), 0)) c FROM b),
+w AS (SELECT doc_id, part, c, 0::BIGINT first, 0::BIGINT last, 0 no FROM e UNION ALL
+ SELECT doc_id, part, c, f, list_max(list_filter(range(f + 1, len(c)), lambda k: c[k + 1] <= c[f + 1] + 80)), no + 1 FROM (SELECT *, CASE WHEN no = 0 THEN 0 ELSE list_min(list_filter(range(0, last + 1), lambda k: c[k + 1] >= greatest(c[last + 1] - 15, c[last + 2] - 80))) END f FROM w WHERE last < len(c) - 1)),
+k AS (SELECT doc_id, part, max(no) n FROM w GROUP BY ALL UNION ALL SELECT doc_id, part, len(range(0, m::BIGINT - 15, 65)) FROM h WHERE long),
+t AS (SELECT doc_id, sum(n)::BIGINT chunk_count FROM k GROUP BY doc_id)
+SELECT doc_id || '_chunk_' || i chunk_id, doc_id, i chunk_index, chunk_count FROM (SELECT *, unnest(range(0, chunk_count)) i FROM t)"""
+
+
+@query(_CHUNKS)
 def vec_chunks(spark, sf):
     return V.chunks(documents(spark, sf), "doc_id", "text").select("chunk_id", "doc_id", "chunk_index", "chunk_count")
 
