@@ -268,13 +268,24 @@ def snk_graph(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "form string, n_nodes int, n_edges int")
 
 
+def snk_workbook(spark: SparkSession, sf: str) -> DataFrame:
+    """What the extraction reads back of a workbook report over the regions."""
+    import tempfile
+
+    with tempfile.NamedTemporaryFile(suffix=".xlsx") as f:  # on the driver, which writes reports
+        sinks.xlsx_report({"Regions": spark.read.parquet(f"{sf}/region.parquet").select("r_regionkey", "r_name").orderBy("r_regionkey")}, f.name)
+        lines = X.extract_bytes(f.read(), "r.xlsx")["text"].split("\n")
+    return spark.createDataFrame([(n, x) for n, x in enumerate(lines)], "row int, line string")
+
+
 _EXPECTED = planted_files()
-QUERIES = {f.__name__: f for f in (src_formats, src_errors, src_parts, src_charsets, src_signatures, snk_graph)}
+QUERIES = {f.__name__: f for f in (src_formats, src_errors, src_parts, src_charsets, src_signatures, snk_graph, snk_workbook)}
 SQL = {
     "src_formats": _values([(n, t) for n, (_, t) in _EXPECTED.items()], "filename, text"),
     "src_errors": _values([(f"broken{e}", True) for e in (".docx", ".doc", ".xls", ".msg", ".zip", ".sqlite", ".pcap", ".lz4", ".jpg")], "filename, no_text"),
     "src_parts": _values([("/in/a.mbox", 1, "message", _HEAD), ("/in/a.mbox", 2, "message", _HEAD), ("/in/a.sqlite", 1, "my table", "e-mail: a@b.test | phone: 89991112233 | note: <2 bytes>"), ("/in/a.sqlite", 2, "my table", "e-mail: c@d.test")], "path, part_no, kind, text"),
     "src_charsets": _values([(c, "Это достаточно длинный текст договора, чтобы по нему можно было узнать кодировку.") for c in ("utf-8", "cp1251", "koi8-r", "cp866", "utf-16", "utf-8-sig")], "written, text"),
     "src_signatures": _values([("ole", 4), ("zip", 6), ("gzip", 2), ("bzip2", 1), ("xz", 1), ("zstd", 1), ("lz4", 1), ("pdf", 1), ("sqlite", 1), ("unknown", 16)], "format, n"),
+    "snk_workbook": "SELECT 0 AS row, 'r_regionkey' || chr(9) || 'r_name' AS line UNION ALL SELECT row_number() OVER (ORDER BY r_regionkey), r_regionkey || chr(9) || r_name FROM region",
     "snk_graph": _values([("d3", 3, 2), ("cytoscape", 3, 2)], "form, n_nodes, n_edges"),
 }

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import zipfile
 from html import escape
 
 from pyspark.sql import Column, DataFrame
@@ -72,3 +74,38 @@ def html_report(title: str, sections: dict[str, DataFrame], path: str, most: int
                 cells = (escape("" if v is None else str(v)).replace("&lt;mark&gt;", "<mark>").replace("&lt;/mark&gt;", "</mark>") for v in r)
                 f.write(f"<tr>{''.join(f'<td>{c}</td>' for c in cells)}</tr>\n")
             f.write("</table>\n")
+
+
+_MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+
+
+def _cells(values: list, row: int) -> str:
+    """A row of a sheet: numbers as such, all else as text, signs that XML forbids left out."""
+    out = []
+    for v in values:
+        if isinstance(v, (int, float)) and not isinstance(v, bool) and v == v and abs(v) != float("inf"):
+            out.append(f"<c><v>{v}</v></c>")
+        else:
+            text = re.sub(r"[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]", "", "" if v is None else str(v))
+            out.append(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(text[:32767], quote=False)}</t></is></c>')
+    return f'<row r="{row}">{"".join(out)}</row>'
+
+
+def xlsx_report(sections: dict[str, DataFrame], path: str, most: int = 1_000_000) -> None:
+    """A workbook with a sheet per section, its columns in the first row. A sheet shows ``most`` rows, which is what the format can hold; a cell its first 32,767 characters."""
+    names = [re.sub(r"[\[\]:*?/\\\\]", " ", n)[:31] or f"Sheet{k}" for k, n in enumerate(sections, 1)]
+    many = range(1, len(names) + 1)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in many)
+        z.writestr("[Content_Types].xml", f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="r1" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'<workbook {_MAIN} xmlns:r="{_OFFICE}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{k}" r:id="r{k}"/>' for k, n in zip(many, names)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{_PACKAGE}/relationships">' + "".join(f'<Relationship Id="r{k}" Type="{_OFFICE}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in many) + "</Relationships>")
+        for k, df in zip(many, sections.values()):
+            with z.open(f"xl/worksheets/sheet{k}.xml", "w", force_zip64=True) as f:
+                f.write(f"<worksheet {_MAIN}><sheetData>{_cells(df.columns, 1)}".encode())
+                for n, r in enumerate(df.limit(most).toLocalIterator(), 2):
+                    f.write(_cells(list(r), n).encode())
+                f.write(b"</sheetData></worksheet>")
