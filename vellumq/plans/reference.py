@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellumq.functions import text as T
@@ -160,18 +161,30 @@ def idx_missing(spark, sf):
     return X.missing(f, f.where("coalesce(lower(extension), '') <> '.txt'").select("path"), "/vol00/share")
 
 
-@query("SELECT count(DISTINCT path) n_paths, count(DISTINCT id) n_ids, max(id) max_id FROM (SELECT path, id FROM files UNION ALL SELECT path || '.x', (SELECT max(id) FROM files) + row_number() OVER () FROM (SELECT DISTINCT path FROM files WHERE lower(extension) = '.csv'))")
+@query("""WITH m AS (SELECT max(id) m FROM files), old AS (SELECT DISTINCT path, id FROM files), fresh AS (SELECT DISTINCT path || '.x' path FROM files WHERE lower(extension) = '.csv')
+SELECT path, id, false AS added FROM old UNION ALL SELECT path, m + row_number() OVER (ORDER BY path), true FROM fresh, m""")
 def idx_upsert(spark, sf):
+    """The keys after updates of known and of new paths; new ids, which follow no order, are numbered here by their paths."""
     f = files(spark, sf)
     some = f.where("lower(extension) = '.csv'").drop("id").dropDuplicates(["path"])
     updates = some.unionByName(some.withColumn("path", F.concat("path", F.lit(".x"))))
-    return X.upsert(f, updates).agg(F.count_distinct("path").alias("n_paths"), F.count_distinct("id").alias("n_ids"), F.max("id").alias("max_id"))
+    most = f.agg(F.max("id")).first()[0]
+    x = cut(X.upsert(f, updates).select("path", "id").distinct())
+    new = x.where(F.col("id") > most)
+    by_id, by_path = (new.select("path", "id", F.row_number().over(W.partitionBy().orderBy(c)).alias("r")) for c in ("id", "path"))  # as many rows as there are new files
+    named = by_path.select("path", "r").join(by_id.select("id", "r"), "r").select("path", "id", F.lit(True).alias("added"))
+    return x.where(F.col("id") <= most).select("path", "id", F.lit(False).alias("added")).unionByName(named)
 
 
-@query("SELECT count(*) n FROM entity_links WHERE file_id IS NULL OR file_id NOT IN (SELECT id FROM files WHERE lower(extension) = '.txt')")
+@query("""WITH gone AS (SELECT id FROM files WHERE lower(extension) = '.txt'), f AS (SELECT id, count(*) n FROM files WHERE id NOT IN (SELECT id FROM gone) GROUP BY id)
+SELECT 'file' what, id, NULL::VARCHAR entity1, NULL::VARCHAR entity2, n FROM f UNION ALL
+SELECT 'link', file_id, entity1, entity2, count(*) FROM entity_links WHERE file_id IS NULL OR file_id NOT IN (SELECT id FROM gone) GROUP BY ALL""")
 def idx_delete(spark, sf):
     f = files(spark, sf)
-    return X.delete_files(f, links(spark, sf), f.where("lower(extension) = '.txt'").select("id").distinct())[1].agg(F.count("*").alias("n"))
+    left, kept = X.delete_files(f, links(spark, sf), f.where("lower(extension) = '.txt'").select("id").distinct())
+    none = F.lit(None).cast("string")
+    a = left.groupBy("id").agg(F.count("*").alias("n")).select(F.lit("file").alias("what"), "id", none.alias("entity1"), none.alias("entity2"), "n")
+    return a.unionByName(kept.groupBy(F.lit("link").alias("what"), F.col("file_id").alias("id"), "entity1", "entity2").agg(F.count("*").alias("n")))
 
 
 @query(f"WITH {_CURRENT} SELECT id, path, size FROM cur ORDER BY size DESC, id LIMIT 20 OFFSET 40")
