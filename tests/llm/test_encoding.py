@@ -89,3 +89,63 @@ def test_what_no_table_explains_is_used_as_learned():
     assert only.table == {u: x for u, x in votes} and not only.wide
 
 
+
+
+def word(i):
+    """A word of its own for each number, without digits."""
+    return "".join("abcdefghij"[int(d)] for d in f"{i:03}")
+
+
+def mappings(spark, lines):
+    df = spark.createDataFrame([("files", i, t) for i, t in enumerate(lines)], "table_name string, row_id bigint, text string")
+    return X.prepared(df)[1]
+
+
+def test_a_twin_between_others_is_aligned(spark):
+    clean = [f"Karton {word(i)} Regal {' '.join(NOUNS[(i + 5 * k) % 18] for k in range(3))}." for i in range(40)]
+    # the first and the last text of each shape do not map one to one
+    others = ["".join(x if c > "\x7f" else c for c in t) for t in clean for x in "ая"]
+    (only,) = mappings(spark, clean + others + [garble(t, "koi8-r", "latin-1") for t in clean])
+    assert only.table.items() >= {(garble(c, "koi8-r", "latin-1"), c) for t in clean for c in t if c > "\x7f"}
+
+
+def test_characters_aligned_once_count_for_their_transformation(spark):
+    letters = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+    clean = [f"Karton {word(i)} Regal {letters[2 * i : 2 * i + 2]}." for i in range(16)]
+    found = mappings(spark, clean + [garble(t, "cp1251", "latin-1") for t in clean])
+    assert found and found[0].table.items() >= {(garble(c, "cp1251", "latin-1"), c) for c in letters}
+
+
+def test_twins_by_chance_teach_nothing(spark):
+    # capitals of which the shape and the pattern of letters are those of many clean names
+    names = [f"Karton {word(i)} Regal {NOUNS[j]}." for i in range(30) for j in range(18)]
+    assert mappings(spark, names + [f"Karton {word(i)} Regal {NOUNS[(i + 3) % 18].upper()}." for i in range(30)]) == []
+
+
+def test_a_unit_that_stands_for_several_characters_makes_no_table():
+    letters = "абвгдежзийклмнопрст"
+    other = {(chr(0x3041 + i), c): 60 for i, c in enumerate(letters)}
+    assert [m.table for m in X.explain({}, other=other)] == [dict(other.keys())]
+    assert X.explain({}, other=other | {(chr(0x3041 + i), ""): 30 for i in range(len(letters))}) == []
+
+
+def test_all_layers_of_a_garbling_are_undone():
+    m = X.Mapping("utf-8 read as cp1252", X.utf8_map("cp1252"))
+    t = "Größe der Bücher"
+    for n in range(1, 5):
+        t = garble(t, "utf-8", "cp1252")
+        assert X.Restorer(None, [m]).text(t) == ("Größe der Bücher", m.name, 1), n
+
+
+def test_each_proved_mapping_is_tried_on_the_rest_of_a_text():
+    n = X.np.zeros((X.WIDTH, X.WIDTH))
+    c = X.classes(" ".join(sentences(500, 7)).lower())
+    X.np.add.at(n, (c[:-1], c[1:]), 1)
+    logp = X.np.maximum(X.np.log((n + 1e-9) / (n.sum(axis=1, keepdims=True) + 1e-9 * X.WIDTH)), -9.0)
+    kinds = [("koi8-r", "cp1251"), ("cp1251", "koi8-r")]
+    fix = X.Restorer(logp, [X.Mapping(f"{w} read as {r}", X.letter_map(r, w)) for w, r in kinds])
+    long, short = "договор отчёт ведомость накладная поставка. ", "Цех."
+    for first, second in (kinds, kinds[::-1]):
+        bad = garble(long, *first) + garble(long, *second) + garble(short, *second)
+        assert fix.text(garble(short, *second))[1] is None  # not enough by itself
+        assert fix.text(bad) == (long + long + short, "{} read as {}".format(*first), 3)

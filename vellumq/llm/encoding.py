@@ -3,7 +3,9 @@
 Garbled segments are joined with clean near-twins: segments that are equal when each run of digits counts as one and only the place of a
 character that is not ASCII is kept. A twin pair has such a run of characters wherever the other has one, of the same length
 (one sign for each character) or of the length in UTF-8 (one sign for each byte). Both are aligned character by character; a pair
-whose characters don't map one to one is no twin. The aligned characters of all pairs are added up, and the transformations that
+whose characters don't map one to one is no twin. All twins of a segment are aligned; they meet by their shape and by which of their foreign
+characters are equal, so that only those meet that map one to one. A twin by chance shows in that no transformation holds most of what
+it aligns. The aligned characters of the other pairs are added up, and the transformations that
 explain them are taken one after the other, the best first: a transformation is a pair of code tables (any of Python's single-byte
 tables, or UTF-8, read by any single-byte table) that holds what was aligned, which completes it for characters that no twin has; what no
 tables explain stays as it was learned. Nothing is restored that was not learned from twins. The learned mappings are applied
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from encodings.aliases import aliases
@@ -23,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumq.session import bound_arrow, cut, spread
@@ -238,6 +241,14 @@ class Restorer:
         t = pattern.sub(right, text)
         return (t, count) if sure else (text, 0)
 
+    def further(self, t: str) -> str:
+        """A text that was garbled more than once, with all further layers undone; of several mappings the one that leaves fewest strange characters."""
+        while True:
+            tries = [(sum(c not in _FINE for c in u), place, u) for place, (u, n) in enumerate(self.utf8(t, m) for m in self.wide) if n and len(u) < len(t)]
+            if not tries:
+                return t
+            t = min(tries)[2]
+
     def segment(self, s: str) -> tuple[str, Mapping | None]:
         """The segment restored, and the mapping that did it."""
         if s.isascii() or not SUSPECT.search(s):
@@ -249,11 +260,7 @@ class Restorer:
                 continue
             t, n = self.utf8(s, mapping)
             if n and t != s:
-                for other in self.wide:  # garbled twice
-                    again, m = self.utf8(t, other)
-                    if m:
-                        t = again
-                        break
+                t = self.further(t)
                 strange = sum(c not in _FINE for c in t)
                 rank = (n - 2 * strange, -place)
                 if n > 2 * strange and (best is None or rank > best[0]):
@@ -296,26 +303,32 @@ class Restorer:
                     changed[w] = v
         return s.translate(table) if len(changed) == len(words) else _WORD.sub(lambda m: changed.get(m.group(), m.group()), s)
 
-    def alike(self, s: str, which: Mapping) -> str | None:
-        """A suspect segment under a mapping that another segment of its text proved; none if it gains nothing."""
+    def alike(self, s: str, proved: list[Mapping]) -> str | None:
+        """A suspect segment under that mapping by which it gains most, of those that other segments of its text proved; none if it gains nothing."""
+        gain, out = max((self._alike(s, which) for which in proved), key=lambda x: x[0])
+        return out if gain > 3.0 else None
+
+    def _alike(self, s: str, which: Mapping) -> tuple[float, str]:
         table, keys = which.signs, which.keys
         words = {w: frozenset(c for c in w if c > "\x7f") for w in set(_WORD.findall(s)) if not w.isascii()}
         changed = {w: v for w, signs in words.items() if signs <= keys and _PLAIN.fullmatch(v := w.translate(table)) and self.score(v) > self.score(w)}
         gain = sum(self.score(v) - self.score(w) for w, v in changed.items())
-        return self.by_table(s, which, words, changed) if gain > 3.0 else None
+        return gain, self.by_table(s, which, words, changed)
 
     def text(self, t: str) -> tuple[str, str | None, int]:
         """The text restored, how it was garbled (null if it was not), and the number of garbled segments."""
         if t.isascii() or not suspect(t):
             return t, None, 0
-        out, how, n, proved = [], None, 0, None
+        out, how, n = [], None, 0
+        proved: list[Mapping] = []
         open_: list[int] = []
         for s in SEGMENT.findall(t):
             r, which = self.segment(s)
             if which:
                 n += 1
                 how = how or which.name
-                proved = proved or (None if which.wide else which)
+                if not which.wide and which not in proved:
+                    proved.append(which)
             elif not s.isascii() and SUSPECT.search(s):
                 open_.append(len(out))
             out.append(r)
@@ -354,6 +367,27 @@ def key_of(shaped: bytes) -> int | None:
     return xxhash.xxh3_64_intdigest(shaped) >> 1 if len(words) >= 3 and sum(map(len, words)) >= 12 else None
 
 
+def class_of(key: int, lens: str, units: Iterable[str]) -> int:
+    """A hash of a shape's key, the lengths of the clean characters in UTF-8 (none if each is one sign) and which units are equal.
+
+    Units map one to one only to those of the same class.
+    """
+    first: dict[str, int] = {}
+    return xxhash.xxh3_64_intdigest(lens.encode() + array("I", [first.setdefault(u, len(first)) for u in units]).tobytes(), key) >> 1
+
+
+def _twin(key: int, wide: bool, s: str) -> tuple[int, str, int, str, int]:
+    """A row of ``TWIN``: with ``lens`` if the twin is one of sequences of UTF-8, and a hash of its text."""
+    runs = _FOREIGN.findall(s)
+    signs = "".join(runs)
+    lens = "".join(str(len(c.encode("utf-8", "replace"))) for c in signs) if wide else ""
+    return key, lens, class_of(key, lens, signs), " ".join(runs), xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace")) >> 1
+
+
+TWIN = "key bigint, lens string, class bigint, twin string, id bigint"
+_TWIN_TYPES = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+
+
 def _segments(t: str) -> Iterable[str]:
     return (s.strip(" \t\r\n") for s in SEGMENT.findall(t) if not s.isascii())
 
@@ -392,7 +426,7 @@ def _twins(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there, mask = bits.value, (1 << KEY_BITS) - 1
         for batch in batches:
-            found: set[tuple[int, bool, str]] = set()
+            found: set[tuple[int, str, int, str, int]] = set()
             for t in batch.column(0).to_pylist():
                 if not t or t.isascii():
                     continue
@@ -403,9 +437,9 @@ def _twins(bits):
                     for wide in (False, True):
                         k = key_of(shape(s, wide))
                         if k is not None and there[(k & mask) >> 3] & (128 >> (k & 7)):
-                            found.add((k, wide, s))
-            cols = list(zip(*found)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.string()))], ["key", "wide", "twin"])
+                            found.add(_twin(k, wide, s))
+            cols = list(zip(*found)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TWIN_TYPES)], ["key", "lens", "class", "twin", "id"])
 
     return run
 
@@ -438,30 +472,76 @@ def align(garbled: str, clean: str, wide: bool) -> dict[str, str]:
     return {u: x for u, x in out.items() if u.casefold() != x.casefold()} if told > same else {}
 
 
+@lru_cache
+def transformations() -> tuple[list[tuple[str, dict[str, str]]], dict[tuple[str, str], int], np.ndarray]:
+    """All pairs of code tables with their units, the place of each unit and character, and there the bits of the pairs of tables that hold it."""
+    tables = single_byte_tables()
+    known = [(f"utf-8 read as {r}", utf8_map(r)) for r in tables] + [(f"{w} read as {r}", letter_map(r, w)) for w in tables for r in tables if r != w]
+    place: dict[tuple[str, str], int] = {}
+    for _, table in known:
+        for p in table.items():
+            place.setdefault(p, len(place))
+    held = np.zeros((len(place), (len(known) + 7) // 8), np.uint8)
+    for i, (_, table) in enumerate(known):
+        held[[place[p] for p in table.items()], i >> 3] |= 128 >> (i & 7)
+    return known, place, held
+
+
+def told(pairs: dict[str, str]) -> set[tuple[str, str]]:
+    """Of the characters that two segments align, those that the transformations hold which hold most of them; none if that is not more than half."""
+    _, place, held = transformations()
+    some = [p for p in pairs.items() if p in place]
+    if 2 * len(some) <= len(pairs):
+        return set()
+    bits = np.unpackbits(held[[place[p] for p in some]], axis=1)
+    n = bits.sum(axis=0, dtype=np.int64)
+    if 2 * n.max() <= len(pairs):
+        return set()
+    return {p for p, there in zip(some, bits[:, n == n.max()].any(axis=1)) if there}
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes of garbled segments for the lengths of the clean characters that twins of their shape have."""
+    for batch in batches:
+        out = []
+        for key, lens, s, n in zip(*(batch.column(k).to_pylist() for k in ("key", "lens", "segment", "n"))):
+            runs = _FOREIGN.findall(s)
+            units, at = "".join(runs), 0
+            if lens:
+                ends = np.cumsum([int(x) for x in lens]).tolist()
+                units = [units[i:j] for i, j in zip([0, *ends], ends)]
+            out.append((class_of(key, lens, units), lens != "", " ".join(runs), n))
+        cols = list(zip(*out)) or [()] * 4
+        types = (pa.int64(), pa.bool_(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["class", "wide", "segment", "n"])
+
+
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: Counter[tuple[str, str]] = Counter()
+    other: Counter[tuple[str, str]] = Counter()
     for batch in batches:
-        for wide, s, n, *twins in zip(*(batch.column(k).to_pylist() for k in ("wide", "segment", "n", "low", "high"))):
-            for twin in set(twins):
-                for pair in align(s, twin, wide).items():
-                    total[pair] += n
-    cols = list(zip(*((*k, n) for k, n in total.items()))) or [(), (), ()]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()))], ["unit", "right", "n"])
+        for wide, s, n, twin in zip(*(batch.column(k).to_pylist() for k in ("wide", "segment", "n", "twin"))):
+            pairs = align(s, twin, wide)
+            sure = told(pairs)
+            for pair in sure or pairs.items():
+                (total if sure else other)[pair] += n
+    cols = list(zip(*((*k, total[k], other[k]) for k in total | other))) or [()] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["unit", "right", "n", "other"])
 
 
-def explain(votes: dict[tuple[str, str], int], least_votes: int = 12, least_units: int = 3) -> list[Mapping]:
+UNKNOWN = "an unknown table"
+
+
+def explain(votes: dict[tuple[str, str], int], least_votes: int = 12, least_units: int = 3, other: dict[tuple[str, str], int] | None = None) -> list[Mapping]:
     """The transformations behind aligned characters, those that explain most first.
 
     ``votes`` counts the twin pairs in which a unit stands for a character. In each round the pair of code tables that holds most of the votes
     left is taken, with all characters that its tables know, if at least ``least_votes`` in ``least_units`` different units are left for it.
-    What no tables explain makes mappings of its own where a unit clearly stands for one character.
+    What no tables explain makes mappings of its own where a unit clearly stands for one character. ``other`` counts the pairs of segments
+    that no tables explain, beside no character what a unit stands for else.
     """
-    left = dict(votes)
-    tables = single_byte_tables()
-    known = [(f"utf-8 read as {r}", lambda r=r: utf8_map(r)) for r in tables]
-    if any(len(u) == 1 for u, _ in left):
-        known += [(f"{w} read as {r}", lambda r=r, w=w: letter_map(r, w)) for w in tables for r in tables if r != w]
-    built = [(name, {(u, x) for u, x in make().items()}) for name, make in known]
+    left, other = dict(votes), Counter(other or {})
+    built = [(name, set(table.items())) for name, table in transformations()[0]]
     out: list[Mapping] = []
     while built:
         best = None
@@ -479,25 +559,43 @@ def explain(votes: dict[tuple[str, str], int], least_votes: int = 12, least_unit
         out.append(Mapping(name, dict(pairs)))
         for p in pairs:
             left.pop(p, None)
+            other.pop(p, None)
         built = [x for x in rest if x[0] != name]
+    other.update(left)
     for wide in (True, False):
         own: dict[str, tuple[int, str]] = {}
         total: Counter[str] = Counter()
-        for (u, x), n in left.items():
+        for (u, x), n in other.items():
             if (len(u) > 1) == wide:
                 total[u] += n
                 own[u] = max(own.get(u, (0, "")), (n, x))
-        table = {u: x for u, (n, x) in own.items() if n >= 4 * least_votes and n >= 0.9 * total[u]}
+        table = {u: x for u, (n, x) in own.items() if x and n >= 4 * least_votes and n >= 0.9 * total[u]}
         if len(table) >= 4 * least_units:
-            out.append(Mapping("an unknown table", table))
+            out.append(Mapping(UNKNOWN, table))
     return out
 
 
-def _votes(garbled: DataFrame, twins: DataFrame, least: int) -> dict[tuple[str, str], int]:
-    """Aligned characters of ``key, segment, n`` and ``key, wide, twin`` that ``least`` pairs have in common; of each key the first and last twin in text order are aligned."""
-    ends = twins.groupBy("key", "wide").agg(F.min("twin").alias("low"), F.max("twin").alias("high"))
-    votes = garbled.join(ends, "key").mapInArrow(_vote, "unit string, right string, n bigint").groupBy("unit", "right").agg(F.sum("n").alias("n"))
-    return {(r["unit"], r["right"]): r["n"] for r in votes.where(F.col("n") >= least).collect()}
+def _votes(garbled: DataFrame, twins: DataFrame, least: int) -> tuple[dict[tuple[str, str], int], dict[tuple[str, str], int]]:
+    """Aligned characters of ``key, segment, n`` and all twins (``TWIN``): those of segments that tables explain, and of the others.
+
+    A segment votes once for each way in which its twins differ from it, and once more where a second twin differs from it so. What tables hold is bounded by
+    the tables; of the rest come those pairs that ``least`` segments have in common, and for each of their units the number of all others.
+    """
+    twins = cut(twins.groupBy("key", "lens", "class", "twin").agg((1 + (F.min("id") < F.max("id")).cast("bigint")).alias("times")))
+    forms = twins.select("key", "lens").distinct()
+    sides = garbled.join(forms, "key").mapInArrow(_classes, "class bigint, wide boolean, segment string, n bigint")
+    sides = sides.groupBy("class", "wide", "segment").agg(F.sum("n").alias("n"))
+    pairs = sides.join(twins.select("class", "twin", "times"), "class").select("wide", "segment", (F.col("n") * F.col("times")).alias("n"), "twin")
+    votes = pairs.mapInArrow(_vote, "unit string, right string, n bigint, other bigint")
+    votes = votes.groupBy("unit", "right").agg(F.sum("n").alias("n"), F.sum("other").alias("other"))
+    all_of = F.sum(F.col("n") + F.col("other")).over(Window.partitionBy("unit")).alias("total")
+    rows = votes.select("*", all_of).where((F.col("n") > 0) | (F.col("other") >= least)).collect()
+    other = Counter({(r["unit"], r["right"]): r["other"] for r in rows if r["other"]})
+    for unit, total in {r["unit"]: r["total"] for r in rows}.items():
+        other[unit, ""] = total
+    for r in rows:
+        other[r["unit"], ""] -= r["n"] + r["other"]
+    return {(r["unit"], r["right"]): r["n"] for r in rows if r["n"]}, other
 
 
 def _windows(shared):
@@ -506,7 +604,7 @@ def _windows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fix = Restorer(*shared.value)
         for batch in batches:
-            out: list[tuple[int, bool | None, str]] = []
+            out: list[tuple] = []
             for s in batch.column(0).to_pylist():
                 if sum(c < "\x80" for c in s) < 0.5 * len(s):
                     continue  # hardly any ASCII to tell windows by
@@ -515,9 +613,10 @@ def _windows(shared):
                 for a, b in zip(w, w[1:]):
                     x = f"{a} {b}"
                     if not x.isascii() and sum("!" <= c <= "~" for c in x) >= 6:
-                        out += [(xxhash.xxh3_64_intdigest(shape(x, wide)) >> 1, wide if mapping else None, x) for wide in ((False, True) if mapping else (False,))]
-            cols = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.string()))], ["key", "wide", "twin"])
+                        keys = [xxhash.xxh3_64_intdigest(shape(x, wide)) >> 1 for wide in ((False, True) if mapping else (False,))]
+                        out += [_twin(k, wide, x) for k, wide in zip(keys, (False, True))] if mapping else [(keys[0], None, None, x, None)]
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TWIN_TYPES)], ["key", "lens", "class", "twin", "id"])
 
     return run
 
@@ -526,7 +625,7 @@ def learned(texts: DataFrame, first: DataFrame, logp: np.ndarray, least_votes: i
     """The mappings learned from garbled segments (of the first pass) and their clean near-twins.
 
     The keys of the garbled segments go to all tasks as a bitmap of fixed size (32 MB); the join itself is on the
-    full keys. To the driver come only the aligned characters that a quarter of ``least_votes`` pairs have in common. Segments that are restored then
+    full keys. To the driver come the aligned characters that code tables hold, and of the others those that make a mapping of their own. Segments that are restored then
     serve as clean twins for those that are not, by pairs of words, until nothing more is learned.
     """
     share = texts.sparkSession.sparkContext.broadcast
@@ -536,14 +635,16 @@ def learned(texts: DataFrame, first: DataFrame, logp: np.ndarray, least_votes: i
     for r in blocks.toLocalIterator():
         at = r["block"] << 13
         bits[at : at + 8192] |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    twins = texts.select("text").mapInArrow(_twins(share(bits)), "key bigint, wide boolean, twin string")
-    out = explain(_votes(suspects.withColumn("n", F.lit(1).cast("bigint")), twins, least_votes // 4), least_votes)
+    twins = texts.select("text").mapInArrow(_twins(share(bits)), TWIN)
+    votes, other = _votes(suspects.withColumn("n", F.lit(1).cast("bigint")), twins, 4 * least_votes)
+    out = explain(votes, least_votes, other=other)
     more = out
     while more:
-        windows = cut(suspects.select("segment").mapInArrow(_windows(share((logp, out))), "key bigint, wide boolean, twin string"))
-        garbled = windows.where("wide is null").groupBy("key", F.col("twin").alias("segment")).agg(F.count("*").alias("n"))
-        known = {m.name for m in out}
-        more = [m for m in explain(_votes(garbled, windows.where("wide is not null"), least_votes // 4), least_votes) if m.name not in known]
+        windows = cut(suspects.select("segment").mapInArrow(_windows(share((logp, out))), TWIN))
+        garbled = windows.where("lens is null").groupBy("key", F.col("twin").alias("segment")).agg(F.count("*").alias("n"))
+        known, there = {m.name for m in out}, {p for m in out for p in m.table.items()}
+        votes, other = _votes(garbled, windows.where("lens is not null"), 4 * least_votes)
+        more = [m for m in explain(votes, least_votes, other=other) if (m.name not in known if m.name != UNKNOWN else not m.table.items() <= there)]
         out = out + more
     return out
 
